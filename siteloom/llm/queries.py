@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm.pages import boilerplate_lines, main_content, repeated_site_lines, template_residue, text_quality, without_lines
+from siteloom.llm.spans import shared_chars, shared_passages
 from siteloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +45,17 @@ def p4_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_content(table(spark, sf_dir, "pages"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_chars(table(spark, sf_dir, "documents"))
+
+
+def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_quality": p3_quality, "p4_found": p4_found, "p4_main": p4_main,
+    "p10_found": p10_found, "p10_passages": p10_passages,
 }
 
 _P2 = r"""

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm.pages import boilerplate_lines, main_content, repeated_site_lines, template_residue, text_quality, without_lines
+from siteloom.llm.mixing import mixed, reached_shares
+from siteloom.llm.packing import container_fill, packed
 from siteloom.llm.spans import shared_chars, shared_passages
+from siteloom.llm.tokens import token_counts
 from siteloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +48,22 @@ def p4_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_content(table(spark, sf_dir, "pages"))
 
 
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "containers"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return container_fill(p8_packing(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(token_counts(table(spark, sf_dir, "documents"), ("source",)), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reached_shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_chars(table(spark, sf_dir, "documents"))
 
@@ -55,6 +74,7 @@ def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_quality": p3_quality, "p4_found": p4_found, "p4_main": p4_main,
+    "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_passages": p10_passages,
 }
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteloom.session import staged
+
 #: A key starts a chunk if its hash is 0 modulo this: the mean number of rows in a chunk.
 CHUNK_ROWS = 16
 #: Rows of one snapshot of one site that are sorted in one task; larger ones are split by key hash.
@@ -90,7 +92,8 @@ def snapshot_changes(history: DataFrame, chunk_rows: int = CHUNK_ROWS, sort_rows
     ``old_status`` and ``new_status``. The first snapshot of a site gives nothing; a null
     status is a value; an empty table gives an empty result.
     """
-    rows = chunked(latest_rows(history), chunk_rows, sort_rows)
+    # written once: digests, current and previous rows are all read from it
+    rows = staged(chunked(latest_rows(history), chunk_rows, sort_rows).drop("cut", "buckets"), "snapshots")
     marks = digests(rows)
     old = marks.select("host", "bucket", F.col("after").alias("crawled_at"), "chunk", "n", "x", "s").where("crawled_at is not null")
     new = marks.where("before is not null").select("host", "bucket", "crawled_at", "chunk", "n", "x", "s")

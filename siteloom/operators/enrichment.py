@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions.url import match_url, toggled_slash, url_host
 
+def _once(key: Column) -> Column:
+    """A key computed once: a generator keeps the optimizer from repeating its expression in every filter and join that uses it."""
+    return F.explode(F.array(key))
+
+
 GSC_FIELDS = ("clicks", "impressions", "ctr", "position")
 GA4_FIELDS = ("sessions", "screen_page_views", "total_users", "engagement_rate")
 
@@ -19,16 +24,16 @@ def traffic_index(traffic: DataFrame, fields: tuple[str, ...], ord_col: str | No
     """
     value = F.struct(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in fields])
     order = F.col(ord_col) if ord_col else F.lit(0)
-    rows = traffic.where("url is not null").select(match_url(F.col("url")).alias("key"), value.alias("value"), order.alias("ord"))
+    rows = traffic.where("url is not null").select(_once(match_url(F.col("url"))).alias("key"), value.alias("value"), order.alias("ord"))
     exact = rows.groupBy("key").agg(F.max(F.struct("ord", "value")).alias("v"), F.min("ord").alias("first")).select("key", "v.value", "first")
-    other = exact.select(toggled_slash(F.col("key")).alias("key"), "value", "first").where("key is not null")
+    other = exact.select(_once(toggled_slash(F.col("key"))).alias("key"), "value", "first").where("key is not null")
     both = exact.select("key", "value", F.lit(0).alias("prio"), "first").unionByName(other.select("key", "value", F.lit(1).alias("prio"), "first"))
     return both.groupBy("key").agg(F.min_by("value", F.struct("prio", "first")).alias("value"))
 
 
 def with_traffic(pages: DataFrame, gsc: DataFrame | None = None, ga4: DataFrame | None = None) -> DataFrame:
     """``pages`` with a ``metrics`` struct of nullable ``gsc`` and ``ga4``, matched on the canonical final URL."""
-    out = pages.withColumn("_key", match_url(F.col("final_url")))
+    out = pages.withColumn("_key", _once(match_url(F.col("final_url"))))
     parts = []
     for name, table, fields in (("gsc", gsc, GSC_FIELDS), ("ga4", ga4, GA4_FIELDS)):
         empty = F.lit(None).cast("struct<" + ",".join(f"{f}:double" for f in fields) + ">")
@@ -42,7 +47,7 @@ def with_traffic(pages: DataFrame, gsc: DataFrame | None = None, ga4: DataFrame
 
 def match_counts(pages: DataFrame, traffic: DataFrame, fields: tuple[str, ...] = GSC_FIELDS) -> DataFrame:
     """One row: ``total`` rows of traffic, ``matched`` pages, ``unmatched`` = the rest, at least 0."""
-    matched = pages.select(match_url(F.col("final_url")).alias("key")).join(traffic_index(traffic, fields), "key", "left_semi").agg(F.count(F.lit(1)).alias("matched"))
+    matched = pages.select(_once(match_url(F.col("final_url"))).alias("key")).join(traffic_index(traffic, fields), "key", "left_semi").agg(F.count(F.lit(1)).alias("matched"))
     total = traffic.agg(F.count(F.lit(1)).alias("total"))
     one = matched.withColumn("_j", F.lit(1)).join(total.withColumn("_j", F.lit(1)), "_j").drop("_j")
     return one.withColumn("unmatched", F.greatest(F.lit(0), F.col("total") - F.col("matched")))

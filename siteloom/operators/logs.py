@@ -121,6 +121,10 @@ def bot_hits(hits: DataFrame, site: str | None = None, since: str | None = None,
     return rows.withColumn("url", F.coalesce(normalize_url(F.col("url")), "url")) if normalize else rows
 
 
+def _some_ends(names: str, ending: str) -> Column:
+    return F.exists(names, lambda n: F.lower(n).endswith(ending))
+
+
 def verified_hits(hits: DataFrame, dns: DataFrame | None, suffixes: dict[str, tuple[str, ...]] = DNS_SUFFIXES) -> DataFrame:
     """``hits`` with ``verdict``: verified, spoofed or unverified.
 
@@ -136,7 +140,7 @@ def verified_hits(hits: DataFrame, dns: DataFrame | None, suffixes: dict[str, tu
     for bot, ends in suffixes.items():
         fits = F.lit(False)
         for e in ends:
-            fits = fits | F.exists("ptr", lambda n, e=e: F.lower(n).endswith(e))
+            fits = fits | _some_ends("ptr", e)
         named = named | ((F.col("bot") == bot) & fits)
         checked = checked | (F.col("bot") == bot)
     verdict = F.when(~checked, "verified").when(F.col("ptr").isNull(), "unverified").when(named & F.array_contains("forward", F.col("ip")), "verified").otherwise("spoofed")

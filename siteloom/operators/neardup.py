@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.functions.text import shingle_tokens, shingles
 from siteloom.operators.components import connected_components
 from siteloom.session import staged
 
@@ -19,7 +19,7 @@ HASHES, BANDS, ROWS, SHINGLE, THRESHOLD, FEWEST_TOKENS = 128, 16, 8, 5, 0.85, 50
 #: Before each shingle, with the number of the hash; set it to compare signatures with another system.
 SALT = "minhash-salt-"
 
-_P = (1 << 61) - 1
+_NO_WORD = re.compile(r"[^\w\s]|_")
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,17 +43,26 @@ def signature(runs: list[str], hashes: int = HASHES, mode: str = "fast", salt: s
 
 
 def signatures(pages: DataFrame, key: str, text: str, mode: str = "fast", shingle: int = SHINGLE, hashes: int = HASHES, fewest: int = FEWEST_TOKENS, salt: str = SALT) -> DataFrame:
-    """``key, n_tokens, sig`` of every text with at least ``fewest`` tokens. Tokens and shingles are made by
-    Catalyst; only the hashing runs in Python, on Arrow batches."""
-    tokens = shingle_tokens(F.col(text))
-    ready = pages.where(F.col(text).isNotNull()).select(F.col(key), tokens.alias("_t")).where(F.size("_t") >= fewest).select(key, F.size("_t").alias("n_tokens"), shingles(F.col("_t"), shingle).alias("_s")).where(F.size("_s") > 0)
+    """``key, n_tokens, sig`` of every text with at least ``fewest`` tokens. Texts are tokenised, shingled
+    and hashed where they are read, in Arrow batches: Catalyst's distinct over arrays of strings is quadratic."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = [signature(s, hashes, mode, salt) for s in batch.column("_s").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("n_tokens"), pa.array(sigs, pa.list_(pa.int64()))], names=[key, "n_tokens", "sig"])
+            keep, counts, sigs = [], [], []
+            for i, body in enumerate(batch.column(text).to_pylist()):
+                tokens = shingle_words(body)
+                if len(tokens) >= max(fewest, shingle):
+                    keep.append(i)
+                    counts.append(len(tokens))
+                    sigs.append(signature(sorted({" ".join(tokens[j : j + shingle]) for j in range(len(tokens) - shingle + 1)}), hashes, mode, salt))
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(keep, pa.int64())), pa.array(counts, pa.int32()), pa.array(sigs, pa.list_(pa.int64()))], names=[key, "n_tokens", "sig"])
 
-    return ready.mapInArrow(sign, f"{key} {dict(ready.dtypes)[key]}, n_tokens int, sig array<bigint>")
+    return pages.where(F.col(text).isNotNull()).select(key, text).mapInArrow(sign, f"{key} {dict(pages.dtypes)[key]}, n_tokens int, sig array<bigint>")
+
+
+def shingle_words(text: str) -> list[str]:
+    """Lower case, letters and digits of any script, two characters or more."""
+    return [t for t in _NO_WORD.sub(" ", text.lower()).split() if len(t) >= 2]
 
 
 def similar_signatures(signed: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -70,7 +70,8 @@ def page_lookup(pages: DataFrame, by: By = ()) -> DataFrame:
         F.coalesce("expected_locale", primary_lang(F.col("html_lang"))).alias("locale"), F.coalesce("hreflang", html).alias("hreflang"),
     )
     keys = F.array(F.struct(F.col("url").alias("key"), F.lit(1).alias("prio")), F.struct(F.col("final_url").alias("key"), F.lit(0).alias("prio")))
-    both = pages.select(*by, F.explode(keys).alias("k"), "crawl_order", page.alias("page")).where("k.key is not null")
+    # the struct is named before rows are doubled: a generator in its own select loses the names
+    both = pages.select(*by, "crawl_order", keys.alias("keys"), page.alias("page")).select(*by, F.explode("keys").alias("k"), "crawl_order", "page").where("k.key is not null")
     return both.groupBy(*by, F.col("k.key").alias("key")).agg(F.max_by("page", F.struct("k.prio", "crawl_order")).alias("page"))
 
 
@@ -152,13 +153,17 @@ def top_issues(issues: DataFrame, n: int = 5) -> DataFrame:
     return issues.groupBy("code").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "code").limit(n)
 
 
+def _of_severity(severity: str) -> Column:
+    return F.size(F.filter("issues", lambda i: i["severity"] == severity))
+
+
 def site_summary(pages: DataFrame, by: By = ()) -> DataFrame:
     """The counters of a crawl, in one pass over its pages."""
     count = lambda cond, name: F.count_if(cond).alias(name)
     codes = F.transform("issues", lambda i: i["code"])
     return pages.groupBy(*by).agg(
         F.count(F.lit(1)).alias("crawled_pages"),
-        *[F.coalesce(F.sum(F.size(F.filter("issues", lambda i, s=s: i["severity"] == s))), F.lit(0)).cast("long").alias(f"issues_{s}") for s in ("high", "medium", "low")],
+        *[F.coalesce(F.sum(_of_severity(s)), F.lit(0)).cast("long").alias(f"issues_{s}") for s in ("high", "medium", "low")],
         count(has_code("ROBOTS_NOINDEX"), "pages_noindex"), count(has_code("TITLE_MISSING"), "pages_missing_title"), count(has_code("META_DESCRIPTION_MISSING"), "pages_missing_description"),
         F.coalesce(F.sum(F.when(F.col("discovered_links").isNotNull(), F.size("discovered_links"))), F.lit(0)).cast("long").alias("internal_links_checked"),
         count(has_code("INTERNAL_LINK_BROKEN"), "pages_broken_links"), count(has_code("INTERNAL_LINK_REDIRECTS", "INTERNAL_LINK_REDIRECT_CHAIN"), "pages_redirecting_links"),

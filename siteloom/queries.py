@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteloom import audit_queries
 from siteloom.operators.loglines import log_entries, log_templates
 from siteloom.operators.snapshots import snapshot_changes
 from siteloom.operators.timestamps import estimate_zones, normalise_timestamps
@@ -41,9 +42,9 @@ def p7_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimate_zones(table(spark, sf_dir, "log_hits"), ZONES)
 
 
-QUERIES: dict[str, Query] = {"p5_found": p5_found, "p6_found": p6_found, "p6_templates": p6_templates, "p7_found": p7_found, "p7_zones": p7_zones}
+QUERIES: dict[str, Query] = {"p5_found": p5_found, "p6_found": p6_found, "p6_templates": p6_templates, "p7_found": p7_found, "p7_zones": p7_zones} | audit_queries.QUERIES
 
-ORACLES: dict[str, str] = {
+ORACLES: dict[str, str] = audit_queries.ORACLES | {
     "p5_found": r"""
 WITH r AS (
   SELECT host, crawled_at, status, delivered_at,

@@ -60,7 +60,7 @@ LATIN = frozenset(
 _MARKERS = ("{{", "}}", "${", "<%", "<?", "[[", "#{", "{%", "%%", "__", "{", "[", "%", "undefined", "null", "nan", "[object")
 _VARIABLE = re.compile(
     r"\{\{[-~#/]?\s*[\w.|:' -]{1,60}?\s*[-~]?\}\}|\$\{\s*[\w.]{1,60}\s*\}|<%[=-]?\s*[\w.@]{1,60}\s*%>|<\?(?:php|=)?\s*(?:echo )?\$[\w>.\[\]'-]{1,60};?\s*\?>|\[\[[+*~!]?[\w.-]{1,60}\]\]|#\{\s*[\w.]{1,60}\s*\}|\{%-?\s*\w[\w ._'\"-]{0,60}-?%\}"
-    r"|%%[A-Za-z][A-Za-z_]{1,40}%%|(?<![\w%])%[a-z][a-z_]{2,40}%(?![\w%])|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)|(?<![\w){}$#&])&?\{[a-z][a-z_]*(?:\.[a-z_]+)?\}(?![\w{}])|\[[A-Z][\w ]{0,40} here\]|\[(?:Your|Insert|Enter) [\w ]{1,40}\]|\[object Object\]"
+    r"|%%[A-Za-z][A-Za-z_]{1,40}%%|(?<![\w%])%[a-z][a-z_]{2,40}%(?![\w%])|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)|(?<![\w){}$#&])&?\{[a-z][a-z_]{2,}(?:\.[a-z_]+)?\}(?![\w{}])|\[[A-Z][\w ]{0,40} here\]|\[(?:Your|Insert|Enter) [\w ]{1,40}\]|\[object Object\]"
 )
 #: Quoted code is an example, not residue.
 _QUOTED = re.compile(r"`[^`\n]{1,200}`|<code>.*?</code>|“[^”\n]{1,120}”|«[^»\n]{1,120}»", re.DOTALL)

@@ -164,6 +164,8 @@ def _compound(text: str) -> list[re.Match]:
 
 def compile_selector(selector: str) -> list[list[tuple[str, list[re.Match]]]]:
     """Alternatives, each a list of (combinator before, compound)."""
+    if re.search(r"^\s*[>+~,]|[>+~,]\s*$", selector):
+        raise SelectorError(f"selector {selector!r} has nothing on one side of a combinator")
     groups = [[(sep if sep != "," else "", _compound(part)) for sep, part in _split_top(re.sub(r"\s+", " ", alt.strip()), " >+~")] for _, alt in _split_top(selector, ",")]
     if not groups or any(not g for g in groups):
         raise SelectorError("empty selector")

@@ -39,7 +39,7 @@ def parse_rule(text: str) -> dict[str, Any]:
     if text.endswith("#html"):
         return {"selector": text[:-5].strip(), "attr": None, "html": True}
     at = text.rfind("@")
-    if at > text.rfind("]") and at > 0:
+    if at > text.rfind("]"):
         return {"selector": text[:at].strip(), "attr": text[at + 1 :].strip(), "html": False}
     return {"selector": text.strip(), "attr": None, "html": False}
 

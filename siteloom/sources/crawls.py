@@ -128,7 +128,7 @@ def sitemap_seeds(files: DataFrame, roots: list[str], max_urls: int | None = Non
         rows = staged(files.where(F.col("url").isin(batch)).select("url", F.col("xml").rlike("(?i)<sitemapindex\\b").alias("index"), locate("xml").alias("locs")), "sitemaps")
         nested = [r["loc"] for r in rows.where("index").select(F.explode("locs").alias("loc")).distinct().limit(max_files * 50).collect()]
         todo += [u for u in nested if u not in done and u not in todo]
-        urls = rows.where("not index").select(normalize_url(F.explode("locs")).alias("url")).where("url is not null")
+        urls = rows.where("not index").select(F.explode("locs").alias("loc")).select(normalize_url(F.col("loc")).alias("url")).where("url is not null")
         found = urls if found is None else found.unionByName(urls)
     limited = bool(todo)
     out = (found if found is not None else spark.createDataFrame([], "url string")).distinct()
@@ -154,7 +154,7 @@ def html_folder(spark: SparkSession, path: str) -> DataFrame:
     url = F.coalesce(F.nullif(canonical, F.lit("")), F.nullif(og, F.lit("")), relative)
     return files.select(
         url.alias("url"), url.alias("final_url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.create_map().cast("map<string,string>").alias("headers"),
-        F.array().cast("array<struct<fromUrl:string,toUrl:string,status:int>>").alias("redirect_chain"), F.col("value").alias("html"), F.monotonically_increasing_id().cast("int").alias("crawl_order"),
+        F.array().cast("array<struct<fromUrl:string,toUrl:string,status:int>>").alias("redirect_chain"), F.col("value").alias("html"), F.monotonically_increasing_id().alias("crawl_order"),
     )
 
 

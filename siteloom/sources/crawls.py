@@ -147,8 +147,8 @@ def sitemap_table(files: DataFrame) -> DataFrame:
 def html_folder(spark: SparkSession, path: str) -> DataFrame:
     """HTML files below a folder as captures. A page's URL is its canonical link, else og:url, else its path, with index files as their folder."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path).withColumn("file", F.col("_metadata.file_path")).where(F.col("file").rlike("(?i)\\.html?$"))
-    root = "file://" + path.removeprefix("file://").rstrip("/")
-    relative = F.regexp_replace(F.replace(F.replace(F.col("file"), F.lit("file:///"), F.lit("file:///")), F.lit(root), F.lit("")), "(?i)/index\\.html?$", "/")
+    bare = lambda text: re.sub(r"^file:/+", "/", text).rstrip("/")
+    relative = F.regexp_replace(F.replace(F.regexp_replace("file", "^file:/+", "/"), F.lit(bare(path)), F.lit("")), "(?i)/index\\.html?$", "/")
     canonical = F.regexp_extract("value", "(?is)<link\\b[^>]*rel=[\"']canonical[\"'][^>]*href=[\"'](https?://[^\"']+)", 1)
     og = F.regexp_extract("value", "(?is)<meta\\b[^>]*property=[\"']og:url[\"'][^>]*content=[\"'](https?://[^\"']+)", 1)
     url = F.coalesce(F.nullif(canonical, F.lit("")), F.nullif(og, F.lit("")), relative)

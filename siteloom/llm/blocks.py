@@ -158,7 +158,7 @@ def _first_pass(line: str) -> int:
         if m and not _ENDS.search(line):
             items = [x.strip() for x in re.split(rf" {re.escape(m['s'])} ", line)]
             first = items[0].lower()
-            if first in ANCHORS or first in ("-", "–") or (len(items) > 2 and all(len(x.split()) <= 2 for x in items[:-1])) or (m["s"] in ">›" and _SECTION.match(items[0])) or (m["s"] in "/–" and _SECTION.match(items[0]) and len(items) == 2):
+            if m["s"] not in "–→" and (first in ANCHORS or first in ("-", "–") or (len(items) > 2 and all(len(x.split()) <= 2 for x in items[:-1])) or (m["s"] in ">›" and _SECTION.match(items[0]))):
                 return BAD
     words = _WORD.findall(low)
     if len(words) >= 9 or len(line) >= 70:
@@ -206,7 +206,8 @@ def content_lines(body: str | None, title: str | None = None) -> tuple[list[str]
             labels[i] = BAD
         else:
             boxed = False
-    content = any(label == GOOD for label in labels) or sum(label == SHORT for i, label in enumerate(labels) if i != head) > 2
+    # a demand is the content itself where only headings stand beside it
+    content = any(label == GOOD and i != head and (len(lines[i]) > 140 or re.search(r"[.!?][\"'”»)]*$", lines[i])) for i, label in enumerate(labels)) or sum(label == SHORT for i, label in enumerate(labels) if i != head) > 2
     for i, label in enumerate(labels):
         if label == DEMAND:
             labels[i] = BAD if content else GOOD

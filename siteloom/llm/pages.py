@@ -108,8 +108,8 @@ def without_lines(pages: DataFrame, drop: DataFrame, text: str = "clean_text") -
 
 # ---------------------------------------------------------------- 3: text quality
 
-#: A page is an outlier beyond this squared distance: the 95 % point of chi-square with five degrees.
-FAR = 11.07
+#: A page is an outlier beyond this squared distance: the 90 % point of chi-square with five degrees.
+FAR = 9.24
 #: Languages with fewer pages than this use the mean and covariance of all languages together.
 FEWEST_PAGES = 50
 #: Least spread of each statistic, for trimming and as ridge of the covariance.

@@ -18,6 +18,7 @@ _SYMBOL = re.compile(r"[^\w\s]")
 _CELLS = re.compile(r"\t|;|,|\||\s{2,}")
 _RULE = re.compile(r"^[|\s:+-]{3,}$")
 _CODE = re.compile(r"[{}();=<>\[\]&|!]")
+_TERM = re.compile(r"^[^\W\d_][\w' -]{0,24} [–—] \S")
 _COUNT = re.compile(r"\(\d+\)$")
 _LONG = re.compile(r"\S{25,}")
 _ODD = re.compile(r"[{}=<>|\t;~^#$&@¤¦§¶]|\S{25,}")
@@ -59,6 +60,8 @@ def line_kind(line: str) -> str:
         return JUNK
     if bullet and (not _SENTENCE_END.search(line) or len(lows) <= 12):
         return ITEM
+    if _TERM.match(line) and not _SENTENCE_END.search(line) and len(lows) <= 18:
+        return ITEM
     if _COUNT.search(line) and not _SENTENCE_END.search(line) and len(lows) <= 16:
         return ITEM
     if _SENTENCE_END.search(line) or n > 160:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from siteloom.functions.url import bucket_key
 
+#: Leading characters of a URL by which a bucket is split for numbering.
+HEAD = 60
+
 
 def bucket_quotas(sizes: list[tuple[str, int]], sample: int) -> dict[str, int]:
     """How many of each bucket's URLs are taken: one each, then by largest remainder of the rest's share.
@@ -50,8 +53,13 @@ def sampled_urls(urls: DataFrame, sample: int) -> DataFrame:
     if not quota:
         return rows.limit(0)
     plan = urls.sparkSession.createDataFrame([(k, int(q), int(n)) for k, n in sizes if (q := quota.get(k, 0)) > 0], "bucket string, quota int, size int")
-    number = F.row_number().over(Window.partitionBy("bucket").orderBy("url")) - 1
-    placed = rows.join(F.broadcast(plan), "bucket").withColumn("i", number)
+    # numbered in two levels, so a hot bucket isn't sorted in one task: by the URL's head, then inside
+    head = F.substring("url", 1, HEAD)
+    placed = rows.join(F.broadcast(plan), "bucket").withColumn("head", head)
+    before = Window.partitionBy("bucket").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("bucket", "head").agg(F.count(F.lit(1)).alias("n")).select("bucket", "head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    number = F.row_number().over(Window.partitionBy("bucket", "head").orderBy("url")) - 1
+    placed = placed.withColumn("number", number).join(starts, ["bucket", "head"]).withColumn("i", F.col("start") + F.col("number"))
     # the i-th of n is taken if some slot s of q has floor((s + 1/2) n / q) = i
     slot = F.ceil((F.col("i") * F.col("quota")) / F.col("size") - 0.5)
     hit = F.floor((F.greatest(slot, F.lit(0)) + 0.5) * F.col("size") / F.col("quota")) == F.col("i")

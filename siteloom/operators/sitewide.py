@@ -40,15 +40,26 @@ def is_indexable() -> Column:
     return (F.col("status") >= 200) & (F.col("status") < 400) & html & ~has_code("ROBOTS_NOINDEX")
 
 
-def duplicate_groups(pages: DataFrame, column: str, by: By = ()) -> DataFrame:
-    """Values that several pages share: ``by, value, count, urls``. The value is spelled as on the first page."""
-    named = pages.where(F.col(column).isNotNull() & (F.col(column) != ""))
-    return (
-        named.groupBy(*by, duplicate_key(F.col(column)).alias("key"))
-        .agg(F.min_by(column, "crawl_order").alias("value"), F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list("final_url")).alias("urls"))
-        .where("count > 1")
-        .select(*by, "value", "count", "urls")
-    )
+#: URLs that a row of a report lists; its counts are of all.
+LISTED = 1000
+
+
+def listed(rows: DataFrame, keys: By, column: str, name: str, most: int = LISTED) -> DataFrame:
+    """``keys`` and an array of the ``most`` least values of ``column``.
+
+    The rank limit is applied before the shuffle too, so a hot group sends ``most`` rows per task and no
+    array grows with the data.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(column))
+    return rows.select(*keys, column).withColumn("_rank", rank).where(F.col("_rank") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias(name))
+
+
+def duplicate_groups(pages: DataFrame, column: str, by: By = (), most: int = LISTED) -> DataFrame:
+    """Values that several pages share: ``by, value, count, urls``. The value is spelled as on the first page; at most ``most`` URLs are listed, the least by name."""
+    named = pages.where(F.col(column).isNotNull() & (F.col(column) != "")).select(*by, "final_url", "crawl_order", F.col(column).alias("value"), F.xxhash64(duplicate_key(F.col(column))).alias("key"))
+    groups = named.groupBy(*by, "key").agg(F.min_by("value", "crawl_order").alias("value"), F.count(F.lit(1)).alias("count")).where("count > 1")
+    urls = listed(named, [*by, "key"], "final_url", "urls", most)
+    return groups.join(urls, [*by, "key"]).select(*by, "value", "count", "urls")
 
 
 def duplicate_issues(pages: DataFrame, column: str, code: str, severity: str, by: By = ()) -> DataFrame:
@@ -176,9 +187,9 @@ def issue_catalog(issues: DataFrame) -> DataFrame:
     """Per code: severity and message of its first issue, its count and the URLs; high severities first."""
     first = F.struct("crawl_order", "ord")
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    return issues.groupBy("code").agg(
-        F.min_by("severity", first).alias("severity"), F.min_by("message", first).alias("message"), F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_set("final_url")).alias("urls")
-    ).orderBy(rank, F.desc("count"), "code")
+    codes = issues.groupBy("code").agg(F.min_by("severity", first).alias("severity"), F.min_by("message", first).alias("message"), F.count(F.lit(1)).alias("count"))
+    urls = listed(issues.select("code", "final_url").distinct(), ["code"], "final_url", "urls")
+    return codes.join(urls, "code").orderBy(rank, F.desc("count"), "code")
 
 
 def priority_issues(pages: DataFrame, limit: int = 10) -> DataFrame:

@@ -55,9 +55,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siteloom-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders this process has staged.
+_STAGED: list[str] = []
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the tables this process has staged; frames that read them can't be used afterwards. Returns their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -173,8 +173,8 @@ def test_mixing(spark):
     for blocks in (100_000, 50):
         chosen = mixed(counts, targets, block_records=blocks)
         got = {r.doc_id: r for r in chosen.collect()}
-        cap = {"big": 1, "mid": 2, "small": 4}
-        assert all(1 <= r.uses <= cap[r.source] and dict((i, (s, t)) for i, s, t in rows)[r.doc_id] == (r.source, r.tokens) for r in got.values())
+        cap, known = {"big": 1, "mid": 2, "small": 4}, {i: (s, t) for i, s, t in rows}
+        assert all(1 <= r.uses <= cap[r.source] and known[r.doc_id] == (r.source, r.tokens) for r in got.values())
         for r in reached_shares(chosen, targets).collect():
             assert r.actual_share == pytest.approx(r.target_share, abs=0.004)
     plan, total = rates(counts, targets)

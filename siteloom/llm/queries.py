@@ -98,4 +98,8 @@ ORACLES: dict[str, str] = {
     SELECT l.page_id, l.line_no, l.line FROM l ANTI JOIN f USING (host, form)
     UNION ALL SELECT page_id, 0, body_text FROM b WHERE host = '')
   GROUP BY page_id) k USING (page_id)""",
+    "p10_found": """WITH g AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+s AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+r AS (SELECT doc_id, i, coalesce(max(i + 200) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g SEMI JOIN s USING (h))
+SELECT doc_id, CAST(sum(i + 200 - greatest(i, before)) AS INTEGER) AS shared_chars FROM r GROUP BY doc_id""",
 }

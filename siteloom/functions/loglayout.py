@@ -4,8 +4,9 @@ A line's head is cut into tokens whose variable parts are masked (``<ts>``, ``<i
 ``<num>``, ``<lvl>``, ``<word>``, ``<str>``, ``<key>``); what follows the head is message. The
 tree routes a masked head by its number of tokens, then by its leading tokens, to a leaf. A
 leaf holds templates; a head similar enough to one is merged into it, and positions that
-differ become ``<*>``. Fields are mapped to positions once per distinct head, so the mapping
-never depends on the order in which lines arrive.
+differ become ``<*>``. Heads of common layouts (``_LAYOUTS``) are mapped to fields by their masks. Any other
+head takes the mapping of its template, mined from the heads of all lines (``mined_plans``), so the
+mapping never depends on the order in which lines arrive.
 """
 
 from __future__ import annotations
@@ -266,12 +267,77 @@ def plan_of(masks: tuple[str, ...]) -> dict[str, int] | None:
     return None
 
 
+#: Masks of tokens that a template may have before its stamp. Words aren't among them: text that goes on may hold a stamp.
+_BEFORE = frozenset({"[", "(", "|", "-", "*", "#", " ", "<lvl>", "<num>", "<pri>", "1 "})
+_WORDS = ("<word>", "<word.lvl>")
+
+
+def stamp_at(masks: tuple[str, ...]) -> int | None:
+    """The index of the stamp among the leading tokens, which are the same in all heads of a leaf; None if it can't start an entry."""
+    for i, mask in enumerate(masks[:TREE_DEPTH]):
+        if mask in ("<ts>", "<glog>"):
+            return i if i + 1 < len(masks) else None
+        if mask not in _BEFORE or (mask == " " and i == 0):
+            return None
+    return None
+
+
+def template_plan(heads: list[tuple[tuple[str, ...], int]]) -> dict[str, int] | None:
+    """The positions of the fields in a template, from the masked heads merged into it and their numbers.
+
+    If the layout of some is known, that of the most lines is taken. Otherwise a position belongs to the
+    level or component where most lines have such a token: a level at most two words behind the stamp, a
+    component set off by brackets, bars, dashes or a colon.
+    """
+    known: dict[tuple, int] = {}
+    for masks, n in heads:
+        if plan := plan_of(masks):
+            known[tuple(sorted(plan.items()))] = known.get(tuple(sorted(plan.items())), 0) + n
+    if known:
+        return dict(max(known.items(), key=lambda x: (x[1], x[0]))[0])
+    first = heads[0][0]
+    stamp = stamp_at(first)
+    if stamp is None:
+        return None
+    total = sum(n for _, n in heads)
+    most = lambda i, kinds: 2 * sum(n for masks, n in heads if masks[i] in kinds) > total
+    plan, words = {"g" if first[stamp] == "<glog>" else "s": stamp}, 0
+    if first[0] == "<pri>":
+        plan["p"] = 0
+    for i in range(len(first)):
+        if i != stamp and "l" not in plan and words <= 2 and most(i, ("<lvl>",)):
+            plan["l"] = i
+        elif i > stamp and most(i, _WORDS):
+            words += 1
+            before = most(i - 1, ("[", "(", "|")) or (i >= 2 and most(i - 1, (" ",)) and most(i - 2, ("-", "|")))
+            after = i + 1 < len(first) and (most(i + 1, ("]", ")", "|", ":", "[")) or (i + 2 < len(first) and most(i + 1, (" ",)) and most(i + 2, ("-", "|"))))
+            colon = i + 1 < len(first) and most(i + 1, (":", "["))
+            if "c" not in plan and words <= 3 and after and (before or colon):
+                plan["c"] = i
+    plan["e"] = max(plan.values()) + 1
+    return plan
+
+
+def mined_plans(heads: Iterable[tuple[tuple[str, ...], int]]) -> dict[tuple[str, ...], dict[str, int]]:
+    """The plan of each head of unknown layout that starts an entry, from the tree of all heads; their order doesn't matter."""
+    tree, merged = TemplateTree(), {}
+    for masks, n in sorted(heads, key=lambda h: (-h[1], h[0])):
+        template = tree.add(masks, n)
+        merged.setdefault(id(template), []).append((masks, n))
+    out = {}
+    for members in merged.values():
+        unknown = [masks for masks, _ in members if plan_of(masks) is None]
+        if unknown and (plan := template_plan(members)):
+            out |= dict.fromkeys(unknown, plan)
+    return out
+
+
 class LineParser:
-    """Lines to fields. Heads seen before take the positions found for them."""
+    """Lines to fields. Heads seen before take the positions found for them, heads of unknown layout those of ``mined``."""
 
-    def __init__(self) -> None:
+    def __init__(self, mined: dict[tuple[str, ...], dict[str, int]] | None = None) -> None:
         self.plans: dict[tuple[str, ...], dict[str, int] | None] = {}
-        self.tree = TemplateTree()
+        self.mined = mined or {}
 
     def fields(self, line: str) -> Fields | None:
         """The fields of an entry's first line, None for any other line."""
@@ -281,10 +347,9 @@ class LineParser:
         if masks in self.plans:
             plan = self.plans[masks]
         else:
-            plan = plan_of(masks)
+            plan = plan_of(masks) or self.mined.get(masks)
             if len(self.plans) < 50_000:
                 self.plans[masks] = plan
-                self.tree.add(masks, example=line[:200])
         if plan is None:
             return None
         if "json" in plan:
@@ -308,6 +373,8 @@ class LineParser:
         stamp = at("s") if "s" in plan else ""
         if "g" in plan:
             level, stamp = level_of(at("g")[0]), at("g")[1:]
+        if masks in self.mined and not level and re.fullmatch(r"[\d.]+", stamp):
+            return None  # a number alone is no stamp
         end = tokens[plan["e"]][1] if "e" in plan and plan["e"] < len(tokens) else tokens[-1][2]
         url, status, agent = _tail(line[end:])
         return stamp, level, component, url, status, agent

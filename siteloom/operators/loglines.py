@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,6 +22,8 @@ from siteloom.functions.loglayout import (
     head_tokens,
     level_of,
     member,
+    mined_plans,
+    stamp_at,
 )
 from siteloom.session import staged
 
@@ -34,8 +37,19 @@ SKIP, HEAD, OPEN, MORE = 0, 1, 2, 3
 _MEMBER_OF = {k: i for i, keys in enumerate((STAMP_KEYS, LEVEL_KEYS, COMPONENT_KEYS, URL_KEYS, STATUS_KEYS, AGENT_KEYS)) for k in keys}
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parser = LineParser()
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[tuple[str, ...], int] = {}
+    for batch in batches:
+        for raw in batch.column("raw").to_pylist():
+            if raw and raw[0] not in " \t{}" and not BANNER.match(raw):
+                masks = tuple(t[0] for t in head_tokens(raw.rstrip("\r\n")))
+                counts[masks] = counts.get(masks, 0) + 1
+    kept = [(list(masks), n) for masks, n in counts.items() if stamp_at(masks) is not None]
+    yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in kept], pa.list_(pa.string())), pa.array([n for _, n in kept], pa.int64())], names=["masks", "n"])
+
+
+def _parse(batches: Iterator[pa.RecordBatch], mined: dict[tuple[str, ...], dict[str, int]] | None = None) -> Iterator[pa.RecordBatch]:
+    parser = LineParser(mined)
     none = (None,) * 6
     for batch in batches:
         kinds, cols = [], ([], [], [], [], [], [])
@@ -71,18 +85,21 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log_entries(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """One row per entry: ``log_file, line_no, n_lines, stamp, log_level, component, url, status, user_agent``.
 
-    Input: ``log_file, line_no, raw`` (further columns are ignored). Lines are parsed where they
-    are read; only narrow rows are shuffled, once, by (file, block), to order them and drop second
+    Input: ``log_file, line_no, raw`` (further columns are ignored). The distinct masked heads that hold a
+    leading stamp are counted first, and the driver mines their templates, which give the fields of heads
+    of unknown layout. Lines are parsed where they are read; only narrow rows are shuffled, once, by (file, block), to order them and drop second
     shipments. Lines at a block's start that continue an entry of an earlier block are added to
     it by tables of at most one row per block, so a hot file is never ordered in one task. Defined cases: lines without
     file or number are left out; of several lines with the same number the first by content
     counts; null and blank lines, banners and lines before a file's first entry belong to none;
     absent fields are '' and -1.
     """
+    named = lines.where("log_file is not null and line_no is not null")
+    heads = named.select("raw").mapInArrow(_heads, "masks array<string>, n bigint").groupBy("masks").agg(F.sum("n").alias("n")).collect()
+    mined = mined_plans((tuple(r["masks"]), r["n"]) for r in heads)
     parsed = (
-        lines.select("log_file", F.col("line_no").cast("int").alias("line_no"), "raw")
-        .where("log_file is not null and line_no is not null")
-        .mapInArrow(_parse, _PARSED)
+        named.select("log_file", F.col("line_no").cast("int").alias("line_no"), "raw")
+        .mapInArrow(partial(_parse, mined=mined), _PARSED)
         .where(F.col("kind") != SKIP)
         .withColumn("block", F.floor(F.col("line_no") / block_lines).cast("int"))
     )

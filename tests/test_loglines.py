@@ -71,3 +71,19 @@ def test_templates(spark):
     df = spark.createDataFrame([(k,) for k in LINES] * 3 + [(None,), ("  x",)], "raw string")
     got = log_templates(df).collect()
     assert sum(r.n_lines for r in got) == 3 * len(LINES)
+
+
+def test_entries_of_unlisted_layouts_take_the_plan_of_their_template(spark):
+    file = [
+        "2025-11-07 16:29:25,100 - crawl.queue - ERROR - first", "  at a", "2025-11-07 16:29:26,100 - crawl.fetch - AUDIT - second url=/x status=404", "2025-11-07 16:29:27,100 - dns - INFO - third",
+        "Mar  2 13:23:58 node10 robots[1090]: When error", "plain text goes on", "Mar  2 13:23:59 node10 audit[7]: error at once", "Mar  2 13:24:00 node11 audit[8]: One more",
+        "WARN 2025-11-07 16:29:25 [rules] stale", "until 2025-11-07 16:29:25 it goes on", "1768788026951 rows",
+    ]
+    got = entries(spark, [(i, "h", "f", i + 1, raw, "b", 1, "k") for i, raw in enumerate(file)])
+    expected = {
+        ("f", 1): (2, "2025-11-07 16:29:25,100", "ERROR", "crawl.queue", "", -1, ""), ("f", 3): (1, "2025-11-07 16:29:26,100", "", "crawl.fetch", "/x", 404, ""), ("f", 4): (1, "2025-11-07 16:29:27,100", "INFO", "dns", "", -1, ""),
+        ("f", 5): (2, "Mar  2 13:23:58", "", "robots", "", -1, ""), ("f", 7): (1, "Mar  2 13:23:59", "", "audit", "", -1, ""), ("f", 8): (1, "Mar  2 13:24:00", "", "audit", "", -1, ""),
+        ("f", 9): (3, "2025-11-07 16:29:25", "WARN", "rules", "", -1, ""),
+    }
+    assert got == expected
+    assert entries(spark, [(i, "h", "f", i + 1, raw, "b", 1, "k") for i, raw in enumerate(file)], block_lines=2) == expected

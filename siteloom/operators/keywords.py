@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions.text import STOP_WORDS, occurrences, terms
-from siteloom.operators.sitewide import LISTED, listed
+from siteloom.operators.sitewide import listed
 
 PLACES = (("title", "title"), ("meta_description", "meta_description"), ("h1", "h1"), ("body", "body_text"))
 
@@ -28,15 +28,15 @@ def keyword_matches(pages: DataFrame, keywords: Sequence[str]) -> DataFrame:
     return counted.withColumn("total", sum((F.col(f"in_{p}") for p, _ in PLACES[1:]), F.col("in_title")))
 
 
-def keyword_summary(pages: DataFrame, keywords: Sequence[str], most_urls: int = LISTED) -> DataFrame:
+def keyword_summary(pages: DataFrame, keywords: Sequence[str]) -> DataFrame:
     """Per keyword: ``pages, total``, the count in each place, and URLs; keywords without match first, then by pages.
 
-    Counts cover all pages; ``urls`` lists at most ``most_urls`` of them, the least by name, so a row stays bounded.
+    Counts cover all pages; ``urls`` lists those with a match.
     """
     hit = F.col("total") > 0
     matches = keyword_matches(pages, keywords)
     sums = matches.groupBy("keyword", "ord").agg(F.count_if(hit).alias("pages"), F.sum("total").alias("total"), *[F.sum(f"in_{p}").alias(f"in_{p}") for p, _ in PLACES])
-    urls = listed(matches.where(hit).select("keyword", "final_url").distinct(), ["keyword"], "final_url", "urls", most_urls)
+    urls = listed(matches.where(hit).select("keyword", "final_url").distinct(), ["keyword"], "final_url", "urls")
     return sums.join(urls, "keyword", "left").orderBy((F.col("total") > 0), "pages", "ord")
 
 

@@ -40,25 +40,16 @@ def is_indexable() -> Column:
     return (F.col("status") >= 200) & (F.col("status") < 400) & html & ~has_code("ROBOTS_NOINDEX")
 
 
-#: URLs that a row of a report lists; its counts are of all.
-LISTED = 1000
+def listed(rows: DataFrame, keys: By, column: str, name: str) -> DataFrame:
+    """``keys`` and a sorted array of all values of ``column``."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias(name))
 
 
-def listed(rows: DataFrame, keys: By, column: str, name: str, most: int = LISTED) -> DataFrame:
-    """``keys`` and an array of the ``most`` least values of ``column``.
-
-    The rank limit is applied before the shuffle too, so a hot group sends ``most`` rows per task and no
-    array grows with the data.
-    """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(column))
-    return rows.select(*keys, column).withColumn("_rank", rank).where(F.col("_rank") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias(name))
-
-
-def duplicate_groups(pages: DataFrame, column: str, by: By = (), most: int = LISTED) -> DataFrame:
-    """Values that several pages share: ``by, value, count, urls``. The value is spelled as on the first page; at most ``most`` URLs are listed, the least by name."""
+def duplicate_groups(pages: DataFrame, column: str, by: By = ()) -> DataFrame:
+    """Values that several pages share: ``by, value, count, urls``. The value is spelled as on the first page; all URLs are listed."""
     named = pages.where(F.col(column).isNotNull() & (F.col(column) != "")).select(*by, "final_url", "crawl_order", F.col(column).alias("value"), F.xxhash64(duplicate_key(F.col(column))).alias("key"))
     groups = named.groupBy(*by, "key").agg(F.min_by("value", "crawl_order").alias("value"), F.count(F.lit(1)).alias("count")).where("count > 1")
-    urls = listed(named, [*by, "key"], "final_url", "urls", most)
+    urls = listed(named, [*by, "key"], "final_url", "urls")
     return groups.join(urls, [*by, "key"]).select(*by, "value", "count", "urls")
 
 

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siteloom.operators import components, diff, enrichment, linkgraph, logs, neardup, rules, sampling
+from siteloom.operators import components, diff, enrichment, keywords, linkgraph, logs, neardup, rules, sampling, sitewide
 from siteloom.plans.audit import analyze_logs, audit, scan_directory
 from siteloom.plans.render import diff_text, to_html, to_json, to_text
 from siteloom.sources import crawls
@@ -215,3 +215,11 @@ def test_query_names(spark):
 
     assert set(ORACLES) <= set(QUERIES) and {"p5_found", "p6_found", "p7_found"} <= set(QUERIES)
     assert isinstance(dt.datetime.now(), dt.datetime)
+
+
+def test_groups_list_every_url(spark):
+    urls = [f"{S}/{i:04}" for i in range(1050)]
+    schema = "final_url string, crawl_order int, title string, meta_description string, h1s array<string>, body_text string, issues array<struct<code:string,severity:string,message:string,recommendation:string>>"
+    pages = spark.createDataFrame([(u, i, "Same", None, [], "", [("X", "low", "m", "")]) for i, u in enumerate(urls)], schema)
+    group, code, word = sitewide.duplicate_groups(pages, "title").first(), sitewide.issue_catalog(sitewide.page_issues(pages)).first(), keywords.keyword_summary(pages, ["same"]).first()
+    assert group["count"] == code["count"] == word.pages == 1050 and group.urls == code.urls == word.urls == urls

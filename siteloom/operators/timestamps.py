@@ -22,6 +22,8 @@ DAY_US = 86_400_000_000
 YEARS_BACK, YEARS_ON = 8, 1
 #: What a violation costs when zones are compared, in microseconds of delay; no hour costs more.
 VIOLATION_US = DAY_US
+#: The most that a zone is ahead of UTC.
+MOST_AHEAD_US = 14 * 3_600_000_000
 
 _MON = "(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[A-Z]*\\.?"
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
@@ -84,33 +86,10 @@ def _local_us(year: Column, month: Column, day: Column, clock_us: Column) -> Col
     return F.unix_date(text.try_cast("date")).cast("long") * DAY_US + clock_us
 
 
-def normalise_timestamps(
-    hits: DataFrame,
-    sources: DataFrame | None = None,
-    stamp: str = "timestamp_text",
-    received: str = "received_at",
-    source: str = "source_id",
-    keep: Sequence[str] = ("hit_id",),
-    default_zone: str = "UTC",
-) -> DataFrame:
-    """``keep`` columns and ``utc_micros`` for every row of ``hits`` whose stamp gives a time.
-
-    ``sources(source_id, tz, date_order)`` is a dimension table with one row per program; it
-    is joined, not broadcast by hint, so its size is the optimizer's affair. A row whose source
-    is unknown or null is read in ``default_zone``, day first. Defined cases: null, empty and
-    void stamps and impossible dates give no row; finer digits than microseconds are cut; a
-    local time that a clock change skips is read with the offset before it; if every candidate
-    lies after ingestion, the earliest is taken; without ingestion time the latest candidate is
-    taken, and a stamp without year gives no row. Further columns of either table are ignored.
-    """
-    base = hits.select(*keep, F.col(source).alias("_src"), F.col(stamp).alias("_raw"), F.unix_micros(F.col(received).cast("timestamp")).alias("_got"))
-    if sources is not None:
-        dim = sources.select(F.col(source).alias("_id"), F.col("tz").alias("_tz"), F.col("date_order").alias("_ord")).where("_id is not null").dropDuplicates(["_id"])
-        base = base.join(dim, F.col("_src") == F.col("_id"), "left").drop("_id")
-    else:
-        base = base.withColumns({"_tz": F.lit(None).cast("string"), "_ord": F.lit(None).cast("string")})
+def _with_parts(base: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``base(keep, _raw, _got, _tz, _ord)`` with the stamp's epoch, date, time of day, offset and abbreviation."""
     bare = F.regexp_replace("_raw", r"(?U)^[\s\"'\[]+|[\s\"'\]]+$", "")
-    cut = base.select(*keep, "_got", F.coalesce("_tz", F.lit(default_zone)).alias("_tz"), bare.alias("_t"), F.split(parsed_parts(F.col("_raw"), F.col("_ord")), r"\|").alias("_p"))
+    cut = base.select(*keep, "_got", "_tz", bare.alias("_t"), F.split(parsed_parts(F.col("_raw"), F.col("_ord")), r"\|").alias("_p"))
     part = lambda i: F.col("_p")[i]
     hour, half = _int(part(3)), part(8)
     hour24 = F.when((half == "A") & (hour == 12), 0).when((half == "P") & (hour < 12), hour + 12).otherwise(hour)
@@ -125,7 +104,7 @@ def normalise_timestamps(
     signed = F.regexp_extract(zone, r"^([+-])(\d{2}):?(\d{2})?$", 1)
     offset_us = (_int(F.substring(zone, 2, 2)).cast("long") * 60 + F.coalesce(_int(F.regexp_extract(zone, r"^[+-]\d{2}:?(\d{2})$", 1)), F.lit(0))) * 60_000_000
     fixed = F.when(zone.isin("Z", "UTC", "GMT", "UT"), F.lit(0)).when(signed == "+", offset_us).when(signed == "-", -offset_us)
-    cols = cut.select(
+    return cut.select(
         *keep,
         "_got",
         "_tz",
@@ -137,9 +116,42 @@ def normalise_timestamps(
         fixed.cast("long").alias("_fixed"),
         F.when(fixed.isNull() & (F.length(zone) > 0), zone).alias("_abbr"),
     )
+
+
+def _locals() -> Column:
+    """The local times that a stamp may mean: one, or where it has no year one of each year around the ingestion."""
     got_year = F.year(F.timestamp_micros("_got"))
     years = F.when(F.col("_y").isNotNull(), F.array("_y")).when(F.col("_got").isNotNull(), F.sequence(got_year + YEARS_ON, got_year - YEARS_BACK, F.lit(-1)))
-    locals_ = F.filter(F.transform(years, lambda y: _local_us(y, F.col("_mo"), F.col("_d"), F.col("_clock"))), lambda x: x.isNotNull())
+    return F.filter(F.transform(years, lambda y: _local_us(y, F.col("_mo"), F.col("_d"), F.col("_clock"))), lambda x: x.isNotNull())
+
+
+def normalise_timestamps(
+    hits: DataFrame,
+    sources: DataFrame | None = None,
+    stamp: str = "timestamp_text",
+    received: str = "received_at",
+    source: str = "source_id",
+    keep: Sequence[str] = ("hit_id",),
+    default_zone: str = "UTC",
+) -> DataFrame:
+    """``keep`` columns and ``utc_micros`` for every row of ``hits`` whose stamp gives a time.
+
+    ``sources(source_id, tz, date_order)`` is a dimension table with one row per program; it
+    is joined, not broadcast by hint, so its size is the optimizer's affair. A row whose source
+    is unknown or null is read in ``default_zone``, day first. Defined cases: null, empty and
+    void stamps and impossible dates give no row; finer digits than microseconds are cut; a
+    local time that a clock change skips is read with the offset before it; if every candidate
+    lies after ingestion, the earliest is taken; without ingestion time the latest candidate is
+    taken, and a stamp without year gives no row. Further columns of either table are ignored.
+    """
+    base = hits.select(*keep, F.col(source).alias("_src"), F.col(stamp).alias("_raw"), F.unix_micros(F.col(received).cast("timestamp")).alias("_got"))
+    if sources is not None:
+        dim = sources.select(F.col(source).alias("_id"), F.col("tz").alias("_tz"), F.col("date_order").alias("_ord")).where("_id is not null").dropDuplicates(["_id"])
+        base = base.join(dim, F.col("_src") == F.col("_id"), "left").drop("_id")
+    else:
+        base = base.withColumns({"_tz": F.lit(None).cast("string"), "_ord": F.lit(None).cast("string")})
+    cols = _with_parts(base.withColumn("_tz", F.coalesce("_tz", F.lit(default_zone))), keep)
+    locals_ = _locals()
     tz = F.col("_tz")
     # a zone's two offsets are both met within four quarters
     quarters = [F.lit(days * DAY_US) for days in (0, 91, 182, 273)]
@@ -163,19 +175,30 @@ def normalise_timestamps(
     )
 
 
-def estimate_zones(hits: DataFrame, zones: Sequence[str], stamp: str = "timestamp_text", received: str = "received_at", source: str = "source_id") -> DataFrame:
+def estimate_zones(
+    hits: DataFrame, zones: Sequence[str], stamp: str = "timestamp_text", received: str = "received_at", source: str = "source_id", sources: DataFrame | None = None
+) -> DataFrame:
     """For each source the zone whose offset history fits its zoneless stamps best.
 
-    Output: ``source_id, zone, stamps, violations``. Local times are reduced to the smallest
+    Output: ``source_id, zone, stamps, violations``, a row for each source with a zoneless stamp of any
+    format and its ingestion time. Of ``sources(source_id, date_order)`` only the order of numeric dates is
+    taken, never the zone. A stamp without year is of the latest year that some zone allows. Local times are reduced to the smallest
     and mean delay per source and hour before the zones are tried, so the work per zone is bounded
     by the hours a source was active. An hour costs its least delay, and ``VIOLATION_US`` if a
     hit would lie after its ingestion; chosen is the zone of the lowest cost, the first of equals.
     """
-    parts = hits.select(F.col(source).alias("source_id"), F.unix_micros(F.col(received).cast("timestamp")).alias("got"), F.split(parsed_parts(F.col(stamp), F.lit("dmy")), r"\|").alias("p"))
-    p = lambda i: F.col("p")[i]
-    plain = parts.where((F.length(p(7)) == 0) & (F.length(p(0)) == 4) & (F.length(p(8)) == 0) & p(1).rlike(r"^\d") & F.col("got").isNotNull() & F.col("source_id").isNotNull())
-    clock = ((_int(p(3)).cast("long") * 60 + _int(p(4))) * 60 + F.coalesce(_int(p(5)), F.lit(0))) * 1_000_000
-    local = plain.select("source_id", "got", _local_us(_int(p(0)), _int(p(1)), _int(p(2)), clock).alias("local")).where("local is not null")
+    base = hits.select(F.col(source).alias("source_id"), F.col(stamp).alias("_raw"), F.unix_micros(F.col(received).cast("timestamp")).alias("_got")).where("source_id is not null and _got is not null")
+    if sources is not None:
+        dim = sources.select(F.col(source).alias("source_id"), F.col("date_order").alias("_ord")).where("source_id is not null").dropDuplicates(["source_id"])
+        base = base.join(dim, "source_id", "left")
+    else:
+        base = base.withColumn("_ord", F.lit(None).cast("string"))
+    zoneless = F.col("_epoch").isNull() & F.col("_fixed").isNull() & F.col("_abbr").isNull()
+    parts = _with_parts(base.withColumn("_tz", F.lit(None).cast("string")), ["source_id"])
+    each = parts.select("source_id", F.col("_got").alias("got"), F.when(zoneless, _locals()).alias("_all"))
+    latest = F.coalesce(F.array_max(F.filter("_all", lambda x: x <= F.col("got") + MOST_AHEAD_US)), F.array_min("_all"))
+    # explode drops the nulls; a filter here would be pushed below and evaluate everything once more
+    local = each.select("source_id", "got", F.explode(F.filter(F.array(latest), lambda x: x.isNotNull())).alias("local"))
     hour = F.floor(F.col("local") / 3_600_000_000)
     hours = local.groupBy("source_id", hour.alias("hour")).agg(F.min(F.col("got") - F.col("local")).alias("least"), F.count(F.lit(1)).alias("n"), F.avg(F.col("got") - F.col("local")).alias("mean"))
     tried = hours.withColumn("z", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(z).alias("zone")) for i, z in enumerate(zones)])))

@@ -39,7 +39,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimate_zones(table(spark, sf_dir, "log_hits"), ZONES)
+    return estimate_zones(table(spark, sf_dir, "log_hits"), ZONES, sources=table(spark, sf_dir, "log_sources"))
 
 
 QUERIES: dict[str, Query] = {"p5_found": p5_found, "p6_found": p6_found, "p6_templates": p6_templates, "p7_found": p7_found, "p7_zones": p7_zones} | audit_queries.QUERIES

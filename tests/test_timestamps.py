@@ -69,3 +69,16 @@ def test_zones_are_estimated(spark, zone):
         rows.append((i, 1, at.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S"), at + dt.timedelta(minutes=i % 9), None, None))
     got = estimate_zones(hits(spark, rows), ["UTC", "Europe/London", "Europe/Berlin", "America/New_York", "America/Chicago", "Asia/Kolkata", "Asia/Dubai"]).collect()
     assert [r.zone for r in got] == [zone]
+
+
+def test_zones_are_estimated_from_stamps_of_any_format(spark):
+    from zoneinfo import ZoneInfo
+
+    forms, rows = ["%b %e %H:%M:%S", "%a %b %d %H:%M:%S %Y", "%b %d, %Y %I:%M:%S %p", "%m/%d/%y %H:%M:%S", "%m/%d/%Y %H:%M"], []
+    for i in range(400):
+        at = dt.datetime(2025, 10, 1, tzinfo=UTC) + dt.timedelta(hours=7 * i, minutes=i % 50)
+        for source, form in enumerate(forms):
+            rows.append((i, source, at.astimezone(ZoneInfo("America/New_York")).strftime(form), at + dt.timedelta(minutes=i % 9 + 1), None, None))
+    order = spark.createDataFrame([(i, "mdy") for i in range(len(forms))], "source_id int, date_order string")
+    got = estimate_zones(hits(spark, rows), ["UTC", "Europe/Berlin", "America/New_York", "America/Chicago", "Asia/Kolkata"], sources=order).collect()
+    assert {r.source_id: (r.zone, r.stamps) for r in got} == dict.fromkeys(range(len(forms)), ("America/New_York", 400))

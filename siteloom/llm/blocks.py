@@ -1,20 +1,32 @@
 """Main content and boilerplate among the lines of a page.
 
-Two passes. The first decides a line (block) by itself: from its length, its density of stop
-words and its link density, that is, the share of its pieces that are the anchors of menus,
-consent dialogs, share bars and footers. Long lines of prose, rows of cells and code are
-content; lines made of anchors, and lines with the form of a byline, date, promotion, legal
-notice and the like, are boilerplate. What stays undecided is short: headings, list items,
-teasers. In the second pass such a line takes the label of its nearest decided neighbours,
-where a heading of a teaser box labels what follows it.
+Two passes. The first decides a line by itself, from its length, its density of stop words and
+its link density. A page's text has lost its links, so link density comes from the site: a line
+that the site repeats on many of its pages is navigation or a notice (``llm.pages.site_lines``
+counts them), and so is a line that is cut into three or more labels without stop words. Long
+prose, rows of cells and groups of items with stop words are content. Lines with the form of a
+byline, date, tag line, breadcrumb, pointer or copyright notice are boilerplate by that form.
+
+The second pass decides what is left, short lines and single sentences, from the nearest decided
+lines above and below, whatever the length of the run: where both agree, their label; a page's
+edge counts as boilerplate; where they differ, a sentence and a line above content are
+content, a line below content only if it is nearer to it and has five or more words. Bylines, dates and tags decide
+no neighbour. Lines below the head of a teaser box, up to a blank line, are boilerplate.
+
+All rules hold for lines of any length.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Set
 from functools import lru_cache
+from zlib import crc32
 
-BAD, GOOD, SHORT, BOX, DEMAND = 0, 1, 2, 3, 4
+#: Final labels, then the undecided ones of the first pass.
+BAD, GOOD, NEAR, SHORT, META, BOX, SAID, LABEL, ROW, LINKS = range(10)
+#: Least stop-word density of prose; characters from which prose is content by itself; and from which a block is.
+PROSE_DENSITY, LONG, BLOCK = 0.15, 130, 70
 
 #: Common words of each language; their density tells prose from lists of names.
 STOP_WORDS: dict[str, frozenset[str]] = {
@@ -25,221 +37,192 @@ STOP_WORDS: dict[str, frozenset[str]] = {
 }
 ALL_STOP = frozenset().union(*STOP_WORDS.values())
 
-#: Anchors of menus, footers, consent dialogs, share bars and forms.
-ANCHORS = frozenset(
-    x.strip()
-    for x in """
-home|start|products|pricing|prices|support|search|guides|blog|careers|jobs|contact|contact us|partners|services|login|log in|sign in|sign up|register|about|about us|menu|news|faq|help|docs|documentation|shop|cart|account|my account|skip to content
-inicio|productos|precios|ayuda|buscar|empleo|contacto|acceso|servicios|iniciar sesión|registrarse|noticias|tienda|carrito|menú|quiénes somos|socios|guías|soporte
-startseite|produkte|preise|hilfe|suche|suchen|magazin|karriere|kontakt|anmelden|leistungen|registrieren|über uns|warenkorb|konto|menü|partner|ratgeber
-accueil|produits|tarifs|aide|recherche|rechercher|carrières|connexion|inscription|panier|compte|actualités|boutique|à propos|partenaires|assistance
-imprint|privacy|privacy policy|cookie policy|follow us|terms of use|terms|terms and conditions|back to top|accessibility|sitemap|legal|legal notice
-aviso legal|privacidad|política de privacidad|mapa web|mapa del sitio|volver arriba|accesibilidad|síganos|términos de uso
-impressum|datenschutz|datenschutzerklärung|agb|barrierefreiheit|nach oben|folgen sie uns|nutzungsbedingungen|übersicht
-confidentialité|plan du site|mentions légales|haut de page|accessibilité|suivez-nous|conditions d'utilisation|cgu|cgv
-only necessary|allow selection|accept all|accept|reject|reject all|decline|manage preferences|manage cookies|got it|ok|settings|save settings|more information|learn more
-aceptar todo|aceptar|rechazar|rechazar todo|configurar|solo necesarias|guardar
-alle akzeptieren|akzeptieren|ablehnen|alle ablehnen|nur notwendige|einstellungen|auswahl erlauben|verstanden
-tout accepter|accepter|refuser|tout refuser|personnaliser|continuer sans accepter|j'ai compris
-share on friendring|print this article|print|tweetle this|send to a colleague|share this page|share|copy link|like it? pass it on!|tweet|e-mail this
-compartir esta página|compartir|copiar enlace|enviar a un amigo|imprimir|compartir en friendring
-seite teilen|teilen|link kopieren|drucken|artikel empfehlen|weiterempfehlen|auf friendring teilen
-partager cette page|partager|copier le lien|envoyer à un ami|imprimer|partager sur friendring
-subscribe to our newsletter|subscribe|enter your e-mail address|your e-mail address|email address
-suscríbase al boletín|su correo electrónico|suscribirse|suscribirme
-newsletter abonnieren|e-mail-adresse eingeben|jetzt anmelden|abonnieren
-recevoir la lettre|votre adresse e-mail|s'inscrire|s'abonner
-advertisement|sponsored|publicidad|anzeige|werbung|publicité|patrocinado
-read more|more|next|previous|leer más|weiterlesen|lire la suite|mehr|siguiente|weiter|suivant
-all rights reserved.|todos los derechos reservados.|alle rechte vorbehalten.|tous droits réservés.
-prices include tax unless stated otherwise.|preise inkl. mwst.|precios con iva incluido.|prix ttc.
-""".replace("\n", "|").split("|")
-    if x.strip()
-)
-
-#: Headings of boxes with teasers: they label the short lines below them.
-BOX_HEADS = re.compile(
-    r"^(related (articles|posts|stories|links)|you may also like|you might also like|most read|most popular|trending( now)?|recommended( for you)?|recent posts|latest news|more from .{2,60}"
-    r"|también le puede interesar|lo más leído|artículos relacionados|le puede interesar|más de .{2,60}|tendencias|últimas noticias"
-    r"|das könnte sie auch interessieren|meistgelesen|ähnliche artikel|verwandte artikel|mehr von .{2,60}|beliebte artikel|neueste beiträge"
-    r"|à lire aussi|les plus lus|articles similaires|sur le même sujet|plus de .{2,60}|vous aimerez aussi|tendances)\s*:?$"
-)
-
 _MONTH = (
-    "(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec"
+    "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec|january|february|march|april|june|july|august|september|october|november|december"
     "|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre"
     "|januar|februar|märz|mai|juni|juli|oktober|dezember"
     "|janvier|février|mars|avril|juin|juillet|août|septembre|octobre|novembre|décembre)"
 )
-_DATE = rf"(?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}[./]\d{{1,2}}[./]\d{{2,4}}|\d{{1,2}}\.?(?: de)? {_MONTH}\.?,?(?: de)? \d{{4}}|{_MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}})"
-_READ = r"\d+\s*(?:min\.?|minutes?|minuten|minutos?)(?:\s*(?:read|lesezeit|de lectura|de lecture))?"
+_DATE = re.compile(rf"(?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}[./]\d{{1,2}}[./]\d{{2,4}}|\d{{1,2}}(?:\.|st|nd|rd|th)?(?: de)? {_MONTH}\.?,?(?: de)? \d{{4}}|{_MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}})(?:,? \d{{1,2}}:\d{{2}})?")
+_READING = re.compile(r"\d+\s*(?:min\b\.?|minutes?\b|minuten\b|minutos?\b)")
 _NAME = r"[A-ZÀ-Þ][\w'’\-]+(?: (?:[A-ZÀ-Þ]\.|van|von|de|del|la|le|du))*(?: [A-ZÀ-Þ][\w'’\-]+){1,2}"
-
-#: Forms of single boilerplate lines, over the line in lower case.
-FORMS = (
-    # dates and reading times
-    rf"^(?:(?:first )?(?:published|posted|last updated|updated|last modified|publicado|actualizado|última actualización|veröffentlicht|aktualisiert|zuletzt geändert|stand|publié|mis à jour|modifié)(?: on| el| am| le)?\s*:?\s*)?{_DATE}(?:,? \d{{1,2}}:\d{{2}})?(?:\s*[·|–—-]\s*{_READ})?$",
-    rf"^{_READ}$",
-    # cookies and data sharing
-    r"^(?:we use|we and our partners use|we store|this (?:site|website|page) (?:uses|stores|sets)|by (?:browsing|continuing|using)|your privacy matters|our (?:site|website) uses)\b.*\bcookies?\b",
-    r"^(?:usamos|utilizamos|este sitio|esta (?:web|página)|al (?:navegar|continuar)|su privacidad)\b.*\bcookies?\b",
-    r"^(?:wir (?:verwenden|nutzen|setzen)|diese (?:website|webseite|seite)|mit (?:der|dem) |ihre privatsphäre|durch )\b.*\bcookies?\b",
-    r"^(?:nous utilisons|ce site|en (?:poursuivant|continuant)|votre vie privée)\b.*\bcookies?\b",
-    r"\bshares (?:some of )?(?:this|your) data with \d+ partners\b|\bcomparte datos con \d+ socios\b|\bteilt daten mit \d+ partnern\b|\bpartage des données avec \d+ partenaires\b",
-    # scripts, where the page works without
-    r"\bwork(?:s)? better with (?:scripts|javascript) enabled\b|^for the (?:full|best) experience,? please (?:switch|turn) on (?:javascript|scripts)|^active javascript para (?:usar|disfrutar de|aprovechar) todas las funciones|^für alle funktionen bitte javascript (?:einschalten|aktivieren)|^activez javascript pour profiter de toutes les fonctions",
-    # promotion
-    r"\b\d+\s?% off\b.{0,60}$|\b\d+\s?% de descuento\b|\b\d+\s?% rabatt\b|\b\d+\s?% de remise\b",
-    # pointers to other pages
-    r"^(?:see also|read also|read more|more on this|also on this site|related|continue reading)\s*(?::|→|»|>|-|–)\s*\S",
-    r"^(?:vea también|ver también|lea también|lea además|le puede interesar|más sobre (?:esto|el tema)|relacionado)\s*(?::|→|»|>|-|–)\s*\S",
-    r"^(?:siehe auch|lesen sie auch|mehr zum thema|auch interessant|mehr dazu)\s*(?::|→|»|>|-|–)\s*\S",
-    r"^(?:voir aussi|lire aussi|à lire aussi|à lire|en savoir plus|sur le même sujet)\s*(?::|→|»|>|-|–)\s*\S",
-    # tags
-    r"^(?:tags?|tagged|topics|filed under|categories|keywords|etiquetas|temas|categorías|schlagwörter|schlagworte|themen|stichwörter|kategorien|mots[- ]clés|étiquettes|thèmes|catégories|rubriques)\s*:\s*\S.{0,120}$",
-    # newsletters
-    r"^get one letter a week from\b|^(?:join|subscribe to|sign up (?:for|to)) (?:our|the) .{0,40}(?:newsletter|mailing list)|^reciba una carta\b|^una carta (?:por|a la) semana\b|^(?:einmal|jede) (?:pro )?woche\b.{0,60}\bpost\b|^jede woche ein brief\b|^un(?:e lettre| courrier) par semaine\b|\bone letter a week\b|\buna carta a la semana\b|\bein brief pro woche\b|\bune lettre par semaine\b",
-    # legal notices
-    r"^(?:©|\(c\)|copyright)\s*.{0,80}$",
-    r"^reproduction only with\b|^prohibida la reproducción\b|^nachdruck nur mit\b|^reproduction interdite\b",
-    r"^the information given here is without warranty\b|\bis a registered trading name\.?$|^all rights reserved\b|^todos los derechos reservados\b|^alle rechte vorbehalten\b|^tous droits réservés\b",
-    r"^(?:preise inkl|precios con iva|iva incluido|prix (?:ttc|toutes taxes))\b|^prices include tax\b|^(?:alle )?angaben ohne gewähr|^(?:información|datos) sin garantía|^(?:informations|données) (?:fournies )?sans garantie|\bist ein eingetragener\b.{0,30}name\b|\bes un nombre comercial registrado\b|\best un(?:e)? (?:nom commercial|marque) (?:déposée?|enregistrée?)\b",
-)
-_PARTS = [p for form in FORMS for p in re.split(r"\|(?=\^|\\b)", form)]
-_AT_START = re.compile("|".join(p[1:] for p in _PARTS if p.startswith("^")))
-_ANYWHERE = re.compile("|".join(p for p in _PARTS if not p.startswith("^")))
-#: One of these is in any line that _ANYWHERE or _DEMANDS finds.
-_CUES = re.compile(r"partner|socios|partenaires|better with|%|registered|letter a week|carta a|brief pro|lettre par|eingetragen|comercial|commercial|marque")
-_DEMAND_CUES = re.compile(r"script|cookie|skript|human|browser|puzzle")
-#: Bylines, over the line as written.
-BYLINES = tuple(
-    re.compile(p)
-    for p in (
-        rf"^(?:[Ww]ritten by|[Pp]osted by|[Bb]y|[Rr]eported by|[Tt]ext by|[Aa]uthor:|[Pp]or|[Tt]exto(?: de)?:?|[Ee]scrito por|[Aa]utora?:|[Vv]on|[Tt]ext:|[Tt]ext von|[Gg]eschrieben von|[Aa]utor(?:in)?:|[Pp]ar|[Tt]exte(?: de)?:?|[Éé]crit par|[Aa]uteure?\s?:|[Rr]édigé par)\s*:?\s*{_NAME}$",
-        rf"^{_NAME}, (?:editorial desk|[Ee]ditor|staff writer|[Rr]edacción|equipo editorial|de la redacción|[Rr]edaktion|aus der Redaktion|la rédaction|[Rr]édaction|de la rédaction)$",
-    )
-)
-#: Sections that start a breadcrumb besides the anchors.
-_CRUMB = re.compile(r"^(?:[-–]|[\wÀ-ÿ][\wÀ-ÿ' ]{0,24})(?: (?P<s>>|›|/|»|–|→|::) )(?:[\wÀ-ÿ][\wÀ-ÿ' ]{0,24} (?P=s) ){0,3}.{2,140}$")
+#: A byline: at most four words that end in the word for "by" or a colon and then a name, or a name, a comma and one to three words.
+_BYLINE = re.compile(rf"^(?:(?:[\wÀ-ÿ]+ ){{0,3}}(?i:by|von|por|par|de|del)|[\wÀ-ÿ]+(?: [\wÀ-ÿ]+){{0,2}}\s?:) {_NAME}$|^{_NAME}, [\wÀ-ÿ]+(?: [\wÀ-ÿ]+){{0,3}}$")
+#: Stems of the words that label a list of tags.
+_TAGS = re.compile(r"^(?:[\wÀ-ÿ]+ ){0,2}(?:tag|topic|categor|keyword|filed|label|etiquet|tema|clave|categoría|schlag|thema|themen|stichw|kategor|mots|étiquet|thème|catégor|rubri)[\wÀ-ÿ-]*(?: [\wÀ-ÿ]+)?\s*:\s*\S")
+#: The last of at most four words before the sign that points to another page.
+POINTERS = frozenset("see read more also related reading next this site vea ver lea leer más también además relacionado interesar tema esto siehe lesen mehr auch dazu thema interessant voir lire aussi savoir plus sujet".split())
+_MARK = re.compile(r"\s*[:→»>]\s*(?=\S)")
+#: Stems of the words that head a box of teasers; such a head is a line of at most seven words.
+_BOX = re.compile(
+    r"\b(?:related|similar|recommended|suggested|popular|trending|most[ -](?:read|viewed|shared)|may also|might also|more from|read next|recent (?:posts|articles)|latest (?:news|posts|stories)"
+    r"|relacionad|similares|recomendad|populares|tendencias|lo más|le puede interesar|también le|más de|últimas"
+    r"|ähnliche|verwandte|empfohlen|beliebt|meistgelesen|auch interessieren|mehr von|neueste"
+    r"|similaires|recommandé|populaires|les plus|à lire|sur le même|plus de|aimerez|tendances)"
+)
+#: Stems of what share bars and subscription forms ask for; such a line counts as one the site repeats.
+_ACTION = re.compile(
+    r"^[\W_]*(?:share (?!of\b)|tweet|pin it|print\b|copy (?:the )?link|(?:e-?mail|send) (?:this|to)\b|subscribe|sign (?:up|in)\b|comparte|compartir|imprimir|copiar|enviar a|suscr|teilen|drucken|abonnieren|weitersagen|partager|imprimer|copier|envoyer à|s.abonner|s.inscrire)"
+    r"|\b(?:newsletter|your e-?mail|e-?mail address|su correo|boletín|e-?mail-adresse|(?:seite|artikel|link) (?:teilen|kopieren|empfehlen|drucken)|votre (?:e-?mail|adresse)|la lettre)\b"
+)
+_ADVERT = re.compile(r"^[\W_]*(?:advertis\w+|sponsor\w*|promot\w+|publicidad|patrocinado|anzeige|werbung|publicité|annonce)[\W_]*$")
+_RIGHTS = re.compile(r"^(?:©|\(c\)|copyright\b|℗)|\b(?:rights reserved|derechos reservados|rechte vorbehalten|droits réservés)\b")
+#: An offer: a percentage with the word for a reduction, or for what it is taken off.
+_OFFER = re.compile(r"\d\s?%(?:\s\S+){0,2}\s(?:off|discount|descuento|dto|rabatt|nachlass|remise|réduction)\b")
+_COOKIE = re.compile(r"\b(?:cookies|cookie-\w+)\b")
+_SELF = re.compile(r"\b(?:site|website|page|we|us|you|your|sitio|web|página|usamos|utilizamos|navegar|su|webseite|seite|wir|sie|ihre?n?|nous|vous|votre|vos)\b")
 _COUNT = re.compile(r"\s*\(\d+\)$")
-_SPLIT = re.compile(r"\s*(?:\s{2,}|\t|\||·|•|/|›|»|>|–|—|,|;)\s*")
-_BULLET = re.compile(r"^(?:[-–—•*·»›>▪◦+]|\d{1,3}[.)]|[a-z][.)])\s+")
+_SPLIT = re.compile(r"\s*(?:\s{2,}|\t|\||·|•|/|›|»|>|–|—)\s*")
+_CELLS = re.compile(r"\t|;|\||\s{2,}|,(?=\S)")
+_RULE = re.compile(r"^[|\s:+-]{3,}$")
+_BULLET = re.compile(r"^(?:[-–—•*·»›▪◦+]|\d{1,3}[.)]|[a-z][.)])\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _ENDS = re.compile(r"[.!?…:][\"'”»)\]]*$")
-_SECTION = re.compile(r"^[A-Z][a-zà-ÿ]{2,14}$")
+_STOPS = re.compile(r"[.!?…][\"'”»)\]]*(?:\s|$)")
+_CRUMB = re.compile(r"^(?:[-–]|[\wÀ-ÿ][\wÀ-ÿ' -]{0,24})\s(?P<s>>|›|/|»|::)\s\S")
+_SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
+
+
+def form_of(line: str, brand: str) -> str:
+    """What two lines of a site must share to be one line: lower case, no bullet, no count behind, digit runs
+    and the site's own name as one sign each."""
+    low = _COUNT.sub("", _BULLET.sub("", _SPACE.sub(" ", line).strip().lower()))
+    if brand:
+        low = low.replace(brand, "§")
+    return _DIGITS.sub("#", low)
 
 
-def first_pass(line: str) -> int:
-    """The label a trimmed line gets by itself. A line this long is no anchor, form or notice."""
-    return GOOD if len(line) > 240 else _first_pass(line)
+def brand_of(host: str | None) -> str:
+    """The site's own name, as its host gives it: the leading letters of the label before the last."""
+    label = ([""] + (host or "").split(".")[:-1])[-1]
+    m = re.match(r"[^\W\d_]{4,}", label)
+    return m[0] if m else ""
 
 
 @lru_cache(maxsize=200_000)
-def _first_pass(line: str) -> int:
-    low = line.lower()
-    if len(low) <= 60 and _COUNT.sub("", low) in ANCHORS:
-        return BAD
-    if len(line) <= 90 and BOX_HEADS.match(low):
-        return BOX
-    bare = _BULLET.sub("", low)
-    if len(low) <= 240:  # lower case may be longer
-        pieces = [p for p in _SPLIT.split(bare) if p and p != "-"]
-        if pieces and len(pieces) <= 24:
-            anchors = sum(_COUNT.sub("", p) in ANCHORS for p in pieces)
-            if anchors == len(pieces) or (len(pieces) >= 4 and anchors >= 0.7 * len(pieces)):
-                return BAD
-        if _AT_START.match(low) or (_CUES.search(low) and _ANYWHERE.search(low)):
-            return BAD
-        if len(line) <= 70 and any(b.match(line) for b in BYLINES):
-            return BAD
-        if demand(low):
-            return DEMAND
-        m = _CRUMB.match(line)
-        if m and not _ENDS.search(line):
-            items = [x.strip() for x in re.split(rf" {re.escape(m['s'])} ", line)]
-            first = items[0].lower()
-            if m["s"] not in "–→" and (first in ANCHORS or first in ("-", "–") or (len(items) > 2 and all(len(x.split()) <= 2 for x in items[:-1])) or (m["s"] in ">›" and _SECTION.match(items[0]))):
-                return BAD
-    words = _WORD.findall(low)
-    if len(words) >= 9 or len(line) >= 70:
-        stops = sum(w in ALL_STOP for w in words)
-        if words and (stops / len(words) >= 0.15 or _ENDS.search(line)):
-            return GOOD
-        if len(line) >= 120:
-            return GOOD
-    if _ENDS.search(line) and len(words) >= 4:
-        return GOOD
-    return SHORT
+def form_key(line: str, brand: str) -> int:
+    """The form of a line as a number of 63 bits, 0 if it is blank."""
+    form = form_of(line, brand).encode("utf-8", "surrogatepass")
+    return (crc32(form) | crc32(form[::-1], len(form)) << 32) & 0x7FFFFFFFFFFFFFFF if form else 0
+
+
+def is_row(line: str) -> bool:
+    """Whether a line is a row of cells: a rule, or three or more cells of which one has a digit or sign alone."""
+    if _RULE.match(line) and line.count("|") >= 2:
+        return True
+    cells = [c for c in _CELLS.split(line.strip("| ")) if c.strip()]
+    if len(cells) < 3 or max(len(c.split()) for c in cells) > 4:
+        return False
+    return line[0] == "|" or sum(any(ch.isdigit() for ch in c) or not any(ch.isalnum() for ch in c) or c.strip().lower() in ("n/a", "ok") for c in cells) * 3 >= len(cells)
+
+
+def is_label(text: str) -> bool:
+    """One to three words without stop words, digits and the end of a sentence, as the entries of menus have them."""
+    words = text.split()
+    return 1 <= len(words) <= 3 and len(text) <= 40 and not any(c.isdigit() for c in text) and (len(words) == 1 or (words[0].lower() not in ALL_STOP and sum(w in ALL_STOP for w in words) * 2 <= len(words))) and not text.endswith((".", "!", "?", ":"))
 
 
-def demand(low: str) -> bool:
-    """Whether a line in lower case demands scripts, cookies or a browser check."""
-    return bool(_DEMAND_CUES.search(low) and _DEMANDS.search(low))
+def link_density(low: str) -> float:
+    """The share of a line's characters in labels, where it is cut into three or more pieces; else 0."""
+    pieces = [_COUNT.sub("", p) for p in _SPLIT.split(_BULLET.sub("", low)) if p.strip(" -,;")]
+    if len(pieces) < 2:
+        return 0.0
+    labels = sum(len(p) for p in pieces if is_label(p))
+    return labels / sum(map(len, pieces)) if len(pieces) >= 3 or (labels == sum(map(len, pieces)) and "  " in low.strip()) else 0.0
 
 
-_DEMANDS = re.compile(
-    r"\b(?:javascript|scripts?|scripting|cookies|skripte?|cookies)\b.{0,70}\b(?:required|must be|have to be|has to be|switched off|is off|disabled|blocked|turned off|nothing can be displayed|erforderlich|deaktiviert|ausgeschaltet|requis|désactivés?|desactivad[oa]s?|necesari[oa]s?)\b"
-    r"|\b(?:please )?(?:turn on|enable|switch on|allow|activate)\b.{0,20}\b(?:javascript|scripts?|scripting|cookies)\b"
-    r"|\bactive javascript para\b|\bveuillez activer (?:javascript|les cookies)\b|\bbitte aktivieren sie (?:javascript|cookies)\b|\bhabilite javascript\b"
-    r"|\bne fonctionne pas sans (?:scripts|javascript|cookies)\b|\bno funciona sin (?:scripts|javascript|cookies)\b|\bfunktioniert nicht ohne (?:skripte|javascript|cookies)\b|\bkeine skripte aus\b"
-    r"|\bprove that you are (?:a )?human\b|\bchecking your browser\b|\bsolving the puzzle\b|\bverify(?:ing)? (?:that )?you are (?:a )?human\b"
-)
+def is_crumb(line: str) -> bool:
+    """Short sections with one separator throughout, then the place of the page; no end of a sentence."""
+    m = _CRUMB.match(line)
+    if not m or _ENDS.search(line):
+        return False
+    items = [x.strip() for x in line.split(f" {m['s']} ")]
+    return len(items) >= (2 if m["s"] in ">›" else 3) and all(len(x.split()) <= 3 and len(x) <= 30 for x in items[:-1])
 
 
-def content_lines(body: str | None, title: str | None = None) -> tuple[list[str], list[int]]:
-    """The trimmed lines of a text and, for each, 1 if it is main content, 0 if it is boilerplate, -1 if blank."""
+def is_pointer(low: str) -> bool:
+    """Whether a line is a pointer to another page: one to four words that end in a word for more, a sign, a title."""
+    m = _MARK.search(low)
+    if not m:
+        return False
+    before = low[: m.start()].split()
+    return 1 <= len(before) <= 4 and before[-1] in POINTERS
+
+
+def is_dated(low: str) -> bool:
+    """Whether a line is a date or a reading time, with at most three words beside it."""
+    if not any(c.isdigit() for c in low):
+        return False
+    rest, found = _DATE.subn(" ", low)
+    rest, more = _READING.subn(" ", rest)
+    return bool(found or more) and len(_WORD.findall(rest)) <= 3 and not any(c.isdigit() for c in rest)
+
+
+@lru_cache(maxsize=200_000)
+def first_pass(line: str, repeated: bool) -> int:
+    """The label a trimmed line gets by itself; ``repeated`` says whether its site repeats it."""
+    low = line.lower()
+    words = _WORD.findall(low)
+    n = len(words)
+    prose = n >= 9 and sum(w in ALL_STOP for w in words) >= PROSE_DENSITY * n
+    ends = bool(_ENDS.search(line))
+    if not (prose and ends and n > 14):  # a long sentence has none of these forms
+        if is_row(line):
+            return ROW
+        if (n <= 9 and is_dated(low)) or is_pointer(low) or _TAGS.match(low) or _ADVERT.match(low):
+            return META
+        if n <= 7 and not _STOPS.search(low) and _BOX.search(low) and not any(c.isdigit() for c in low):
+            return BOX
+        if n <= 8 and _BYLINE.match(line):
+            return META
+        if is_crumb(line) or _RIGHTS.search(low) or (n <= 14 and _OFFER.search(low)):
+            return BAD
+    if repeated:
+        return SAID if n <= 6 and not ends else BAD
+    if not (prose and ends):
+        if link_density(low) >= 0.7:
+            return LINKS
+        if n <= 6 and not line.endswith(".") and _ACTION.search(low):
+            return SAID
+    if _COOKIE.search(low) and len(_SELF.findall(low)) >= 0.05 * n:
+        return NEAR  # a notice about the site's own cookies is content only among content
+    if prose:
+        if ends:
+            return GOOD if len(line) >= LONG or len(_STOPS.findall(line)) >= 3 else NEAR
+        return GOOD if len(line) >= 2 * LONG else SHORT
+    if n >= 9 or len(line) >= BLOCK:
+        # rows, code and text of an unknown language: no links, so content where long enough
+        return NEAR if ends and len(line) < LONG else GOOD
+    if ends and n >= 4:
+        return NEAR
+    return LABEL if is_label(_COUNT.sub("", _BULLET.sub("", low))) else SHORT
+
+
+def content_lines(body: str | None, title: str | None = None, repeated: Set[int] = frozenset(), brand: str = "") -> tuple[list[str], list[int]]:
+    """The trimmed lines of a text and, for each, 1 if it is main content, 0 if it is boilerplate, -1 if blank.
+
+    ``repeated`` holds the keys of the forms that the page's site repeats, ``brand`` the site's own name.
+    """
     if body is None:
         return [], []
     lines = [x.strip() for x in body.split("\n")]
-    labels = [first_pass(x) if x else -1 for x in lines]
+    labels = [first_pass(x, bool(repeated) and form_key(x, brand) in repeated) if x else -1 for x in lines]
     head = headline_of(lines, labels, title)
-    # a teaser box runs from its heading over short lines
-    boxed, gap = False, False
-    for i, label in enumerate(labels):
-        if label == BOX:
-            boxed, gap = True, False
-        elif label == -1:
-            gap = boxed
-        elif boxed and (label == SHORT or (label == GOOD and teaser(lines[i]))) and i != head and not gap:
-            labels[i] = BAD
-        elif boxed and label == SHORT and gap and i != head and below_is_bad(labels, i):
-            labels[i] = BAD
-        else:
-            boxed = False
-    # a demand is the content itself where only headings stand beside it
-    content = any(label == GOOD and i != head and (len(lines[i]) > 140 or re.search(r"[.!?][\"'”»)]*$", lines[i])) for i, label in enumerate(labels)) or sum(label == SHORT for i, label in enumerate(labels) if i != head) > 2
-    for i, label in enumerate(labels):
-        if label == DEMAND:
-            labels[i] = BAD if content else GOOD
     if head is not None:
         labels[head] = GOOD
-    runs(lines, labels)
-    for i, label in enumerate(labels):
-        if label == SHORT:
-            labels[i] = GOOD
-        elif label == BOX:
-            labels[i] = BAD
+    rows(labels)
+    boxes(lines, labels, head)
+    menus(lines, labels)
+    groups(lines, labels)
+    subheads(labels)
+    message(lines, labels, head)
+    inherit(lines, labels)
     return lines, labels
 
 
-def teaser(line: str) -> bool:
-    """A bulleted line without the end of a sentence, whatever its length."""
-    return bool(_BULLET.match(line)) and not re.search(r"[.!?]$", line) or (len(line) <= 120 and not _ENDS.search(line))
-
-
-def below_is_bad(labels: list[int], i: int) -> bool:
-    """Whether the decided line nearest below is boilerplate."""
-    for label in labels[i + 1 :]:
-        if label in (GOOD, DEMAND):
-            return False
-        if label in (BAD, BOX):
-            return True
-    return True
-
-
 def headline_of(lines: list[str], labels: list[int], title: str | None) -> int | None:
-    """The index of the page's own headline: the line that is the title, or the first short line
-    above content that isn't boilerplate."""
+    """The index of the page's own headline: the line that begins the title, or else the first short line
+    of four or more words above content that isn't boilerplate."""
     key = (title or "").strip().lower()
     first = None
     for i, (line, label) in enumerate(zip(lines, labels)):
@@ -247,28 +230,136 @@ def headline_of(lines: list[str], labels: list[int], title: str | None) -> int |
             continue
         if key and len(line) >= 8 and key.startswith(line.lower()):
             return i
-        if label == SHORT and first is None:
-            first = i
-        if label in (GOOD, BOX) and first is None:
-            first = -1
+        if first is None:
+            if label == SHORT and not _BULLET.match(line):
+                first = i
+            elif label in (GOOD, NEAR, ROW, BOX) and i and any(x in (BAD, META, LABEL, SAID) for x in labels[:i]):
+                first = -1
     return first if first is not None and first >= 0 else None
 
 
-def runs(lines: list[str], labels: list[int]) -> None:
-    """Undecided one- and two-word lines beside decided anchors, in runs, are menu entries too."""
-    n, i = len(lines), 0
+def rows(labels: list[int]) -> None:
+    """Rows of cells are content in groups of two or more; what was taken for links right above them is their heading."""
+    n = len(labels)
+    for i, label in enumerate(labels):
+        if label == ROW:
+            near = [labels[k] for k in (i - 1, i + 1) if 0 <= k < n]
+            if not any(x == ROW or x == GOOD for x in near):
+                labels[i] = SHORT
+    for i, label in enumerate(labels):
+        if label == ROW:
+            labels[i] = GOOD
+            if i and labels[i - 1] in (LINKS, LABEL, SHORT, SAID) and (i < 2 or labels[i - 2] != ROW):
+                labels[i - 1] = GOOD
+
+
+def boxes(lines: list[str], labels: list[int], head: int | None) -> None:
+    """A teaser box runs from its head over short lines up to a blank line or a decided one. A short line that
+    the site repeats heads a box as well, where two or more bulleted lines follow it at once."""
+    n, i = len(labels), 0
     while i < n:
-        if labels[i] == SHORT and len(lines[i].split()) <= 2 and not any(c.isdigit() for c in lines[i]):
-            j = i
-            while j < n and labels[j] == SHORT and len(lines[j].split()) <= 2:
-                j += 1
-            above = labels[i - 1] if i else -1
-            below = labels[j] if j < n else -1
-            if j - i <= 2 and above in (BAD, -1) and below in (BAD, -1) and (above == BAD or below == BAD) and not (i and labels[i - 1] == GOOD):
-                near = (above == BAD and lines[i - 1].lower() in ANCHORS) or (below == BAD and lines[j].lower() in ANCHORS)
-                if near:
-                    for k in range(i, j):
-                        labels[k] = BAD
-            i = j
+        bulleted = lambda k: k < n and labels[k] in (SHORT, NEAR) and bool(_BULLET.match(lines[k])) and not lines[k][0].isdigit()
+        if labels[i] == BOX or (labels[i] == SAID and bulleted(i + 1) and bulleted(i + 2) and not _ENDS.search(lines[i])):
+            labels[i] = BAD
+            i += 1
+            while i < n and i != head and (labels[i] in (SHORT, LABEL, SAID) or (labels[i] in (NEAR, GOOD) and bool(_BULLET.match(lines[i])) and not _STOPS.search(lines[i]))):
+                labels[i] = BAD
+                i += 1
         else:
             i += 1
+
+
+def menus(lines: list[str], labels: list[int]) -> None:
+    """Three or more labels in lines one after another, or a line of labels, are links where no content stands on
+    both sides; beside a repeated line one is enough."""
+    n, i = len(labels), 0
+    for k, label in enumerate(labels):
+        if label == LINKS:
+            inside = 0 < k < n - 1 and labels[k - 1] in (GOOD, NEAR, SHORT) and labels[k + 1] in (GOOD, NEAR, SHORT, LINKS)
+            labels[k] = SHORT if inside else BAD
+    while i < n:
+        if labels[i] not in (LABEL, SAID):
+            i += 1
+            continue
+        j = i
+        while j < n and labels[j] in (LABEL, SAID):
+            j += 1
+        above = next((labels[k] for k in range(i - 1, -1, -1) if labels[k] not in (-1, META)), BAD)
+        below = next((labels[k] for k in range(j, n) if labels[k] not in (-1, META)), BAD)
+        inside = above in (GOOD, NEAR, SHORT) and below in (GOOD, NEAR, SHORT)
+        said = sum(labels[k] == SAID for k in range(i, j))
+        if (j - i >= 3 and not inside) or (said and 2 * said >= j - i and (j - i >= 2 or not inside)):
+            labels[i:j] = [BAD] * (j - i)
+        i = j
+
+
+def groups(lines: list[str], labels: list[int]) -> None:
+    """Short lines of one shape, one after another, are a block; with the stop words of prose it is content."""
+    n, i = len(labels), 0
+    while i < n:
+        if labels[i] not in (SHORT, LABEL):
+            i += 1
+            continue
+        j, shape = i, bool(_BULLET.match(lines[i]))
+        while j < n and labels[j] in (SHORT, LABEL) and bool(_BULLET.match(lines[j])) == shape:
+            j += 1
+        if j - i >= 2:
+            words = [w for k in range(i, j) for w in _WORD.findall(lines[k].lower())]
+            if (j - i >= 3 or sum(len(lines[k]) for k in range(i, j)) >= BLOCK) and sum(w in ALL_STOP for w in words) >= PROSE_DENSITY * len(words):
+                labels[i:j] = [GOOD] * (j - i)
+        i = max(j, i + 1)
+
+
+def subheads(labels: list[int]) -> None:
+    """A short line that a site repeats is a heading of the content where content stands next to it on both
+    sides, and boilerplate elsewhere."""
+    for i, label in enumerate(labels):
+        if label == SAID:
+            above = next((labels[k] for k in range(i - 1, -1, -1) if labels[k] not in (-1, META)), BAD)
+            below = next((labels[k] for k in range(i + 1, len(labels)) if labels[k] not in (-1, META)), BAD)
+            labels[i] = GOOD if above in (GOOD, NEAR, SHORT) and below in (GOOD, NEAR, SHORT) else BAD
+
+
+def message(lines: list[str], labels: list[int], head: int | None) -> None:
+    """Where a page has no content but its headline, the first sentences behind that are its content: the
+    message of an error page. Without a headline, the first that aren't the page's very first line."""
+    if any(label == GOOD and i != head for i, label in enumerate(labels)):
+        return
+    at = head + 1 if head is not None else next((i for i, x in enumerate(labels) if x in (BAD, META)), -1) + 1
+    while at < len(labels) and labels[at] not in (NEAR,):
+        if head is not None and labels[at] == BAD and not _ENDS.search(lines[at]):
+            return
+        at += 1
+    while at < len(labels) and labels[at] in (NEAR, SHORT):
+        labels[at] = GOOD
+        at += 1
+
+
+def inherit(lines: list[str], labels: list[int]) -> None:
+    """The second pass: undecided lines take the label of the nearest decided ones."""
+    n = len(labels)
+    decided = [x if x in (GOOD, BAD) else None for x in labels]
+    up: list[tuple[int, int]] = []
+    last = (BAD, -1)
+    for i in range(n):
+        up.append(last)
+        if decided[i] is not None:
+            last = (decided[i], i)
+    last = (BAD, n)
+    for i in range(n - 1, -1, -1):
+        label = labels[i]
+        if label in (NEAR, SHORT, LABEL, ROW):
+            (a, above), (b, below) = up[i], last
+            if a == b:
+                labels[i] = a
+            elif label == NEAR:
+                labels[i] = GOOD
+            elif b == GOOD:
+                labels[i] = GOOD if label == SHORT or below - i <= i - above else BAD
+            else:
+                close = i - above <= below - i or _BULLET.match(lines[i])
+                labels[i] = GOOD if label == SHORT and close and len(lines[i].split()) >= 5 else BAD
+        elif label in (META, BOX, SAID):
+            labels[i] = BAD
+        if decided[i] is not None:
+            last = (decided[i], i)

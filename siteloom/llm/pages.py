@@ -9,21 +9,98 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.blocks import BAD, GOOD, content_lines
+from siteloom.llm.blocks import BAD, GOOD, brand_of, content_lines, form_key
 from siteloom.llm.quality import STATS, page_stats
 from siteloom.llm.residue import body_kind, short_field
 from siteloom.session import staged
 
+# ---------------------------------------------------------------- lines a site repeats, as link density of its pages
+
+#: A line is frequent on a site from this many rows, and from this share (1 in N) of its rows with text.
+LEAST_ROWS, LEAST_SHARE_OF = 5, 5
+#: Forms that a task counts before it hands them on, and sites whose forms a task keeps.
+COUNTED_FORMS, KEPT_SITES = 500_000, 2_000
+
+
+def site_of(url: Column) -> Column:
+    """Host of a URL in lower case, without port and user; null if it has none."""
+    host = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    return F.when(host != "", host)
+
+
+def _counted(counts: dict[tuple[int, int], int]) -> pa.RecordBatch:
+    keys = list(counts)
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(counts.values()), pa.int64()), pa.array([k[1] == 0 for k in keys], pa.bool_())], names=["site", "form", "n", "is_total"])
+
+
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[tuple[int, int], int] = {}
+    for batch in batches:
+        for site, host, body in zip(*(batch.column(c).to_pylist() for c in ("site", "host", "body_text"))):
+            brand = brand_of(host)
+            for form in {form_key(x, brand) for x in map(str.strip, body.split("\n")) if x} | {0}:
+                counts[site, form] = counts.get((site, form), 0) + 1
+        if len(counts) > COUNTED_FORMS:
+            yield _counted(counts)
+            counts = {}
+    yield _counted(counts)
+
+
+def site_lines(pages: DataFrame, least_rows: int = LEAST_ROWS, share_of: int = LEAST_SHARE_OF) -> DataFrame:
+    """``site, repeated``: per site (hash of the host) the keys of the line forms that it repeats on many of its pages.
+
+    Counts are added up inside tasks before they are shuffled by (site, form), so a hot site spreads over its
+    forms. A site's array is bounded: with a form in at least 1 of N rows, it holds at most N times
+    the mean number of lines of the site's pages.
+    """
+    host = site_of(F.col("final_url"))
+    texts = pages.where(F.col("body_text").isNotNull() & host.isNotNull()).select(F.xxhash64(host).alias("site"), host.alias("host"), "body_text")
+    once = texts.mapInArrow(_forms, "site bigint, form bigint, n bigint, is_total boolean")
+    # the flag is aggregated, so that its filter stays above the shuffle, which both sides then share
+    counts = once.groupBy("site", "form").agg(F.sum("n").alias("n"), F.max("is_total").alias("is_total"))
+    totals = counts.where("is_total").select("site", F.col("n").alias("rows"))
+    frequent = counts.where(~F.col("is_total") & (F.col("n") >= least_rows)).join(totals, "site").where(F.col("n") * share_of >= F.col("rows"))
+    return frequent.groupBy("site").agg(F.collect_list("form").alias("repeated"))
+
+
+def with_site_lines(pages: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, the host, a hash of it, and the keys of the lines its site repeats (null if none).
+
+    Pages are joined by site without a hint: the table of sites is broadcast only below the optimizer's own
+    threshold, and otherwise the pages are shuffled, where adaptive execution splits a hot site. Pages
+    without a site get a hash of their own, so that they don't meet in one task.
+    """
+    host = site_of(F.col("final_url"))
+    each = pages.select(*columns, host.alias("host"), F.coalesce(F.when(host.isNotNull(), F.xxhash64(host)), F.xxhash64("page_id", "final_url")).alias("site"))
+    return each.join(site_lines(pages), "site", "left")
+
+
+def _judged(batch: pa.RecordBatch, sets: dict[int, frozenset[int]]) -> Iterator[tuple[str | None, str | None, list[str], list[int]]]:
+    """Title, body, lines and labels of each row of a batch of ``with_site_lines``."""
+    repeated = batch.column("repeated")
+    for i, (site, host, title, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("site", "host", "title", "body_text")))):
+        if body is None:
+            yield title, body, [], []
+            continue
+        known = sets.get(site)
+        if known is None:
+            if len(sets) >= KEPT_SITES:
+                sets.clear()
+            known = sets[site] = frozenset(repeated[i].as_py() or ())
+        yield title, body, *content_lines(body, title, known, brand_of(host))
+
+
 # ---------------------------------------------------------------- 1: template residue and error text
 
 
 def _residue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets: dict[int, frozenset[int]] = {}
     for batch in batches:
         rows: list[tuple[int, str, str]] = []
-        for page, title, meta, body in zip(*(batch.column(c).to_pylist() for c in ("page_id", "title", "meta_description", "body_text"))):
+        for page, meta, (title, body, lines, labels) in zip(batch.column("page_id").to_pylist(), batch.column("meta_description").to_pylist(), _judged(batch, sets)):
             found = [("title", short_field(title, True)), ("meta_description", short_field(meta, False))]
             if body and not body.isspace():
-                found.append(("body_text", body_kind(*content_lines(body, title), title)))
+                found.append(("body_text", body_kind(lines, labels, title)))
             rows += [(page, name, kind) for name, kind in found if kind]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["page_id", "field_name", "kind"]
@@ -33,11 +110,11 @@ def _residue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def template_residue(pages: DataFrame) -> DataFrame:
     """``page_id, field_name, kind`` for each title, description and body that is residue.
 
-    ``kind`` is variable, filler, error or scripts. Rows are judged one by one where they are
-    read; nothing is shuffled. Null and blank fields are none; repeated rows repeat their result;
-    further columns are ignored.
+    ``kind`` is variable, filler, error or scripts. A body is judged by its main part, for which the lines that
+    its site repeats are counted first. Null and blank fields are none; repeated rows repeat their
+    result; further columns are ignored.
     """
-    return pages.select("page_id", "title", "meta_description", "body_text").mapInArrow(_residue, "page_id bigint, field_name string, kind string")
+    return with_site_lines(pages, "page_id", "title", "meta_description", "body_text").mapInArrow(_residue, "page_id bigint, field_name string, kind string")
 
 
 def without_residue(pages: DataFrame) -> DataFrame:
@@ -47,16 +124,6 @@ def without_residue(pages: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- 2: lines a site repeats
 
-#: A line is frequent on a site from this many rows, and from this share (1 in N) of its rows with text.
-LEAST_ROWS, LEAST_SHARE_OF = 5, 5
-
-
-def site_of(url: Column) -> Column:
-    """Host of a URL in lower case, without port and user; null if it has none."""
-    host = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
-    return F.when(host != "", host)
-
-
 def line_form(line: Column) -> Column:
     """Trimmed, white space runs as one space, lower case, digit runs as one sign."""
     spaced = F.regexp_replace(line, r"(?U)\s+", " ")
@@ -118,10 +185,10 @@ RIDGE = (0.05, 0.01, 1e-5, 0.003, 0.0005)
 
 
 def _quality(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets: dict[int, frozenset[int]] = {}
     for batch in batches:
         out: list[tuple] = []
-        for page, title, body, count in zip(*(batch.column(c).to_pylist() for c in ("page_id", "title", "body_text", "word_count"))):
-            lines, labels = content_lines(body, title)
+        for page, count, (title, body, lines, labels) in zip(batch.column("page_id").to_pylist(), batch.column("word_count").to_pylist(), _judged(batch, sets)):
             lang, stats, kind = page_stats(lines, labels)
             if kind and body_kind(lines, labels, title) not in ("", "variable"):
                 kind = ""
@@ -135,7 +202,7 @@ def _quality(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def page_statistics(pages: DataFrame) -> DataFrame:
     """Per page: language, the statistics of its main part, what that is made of, and its word count."""
     schema = "page_id bigint, lang string, " + ", ".join(f"{s} double" for s in STATS) + ", main_kind string, words int, wrong_count boolean, has_text boolean"
-    return pages.select("page_id", "title", "body_text", "word_count").mapInArrow(_quality, schema)
+    return with_site_lines(pages, "page_id", "title", "body_text", "word_count").mapInArrow(_quality, schema)
 
 
 def prose_models(stats: DataFrame) -> list[tuple[str, list[float], np.ndarray]]:
@@ -207,32 +274,31 @@ def text_quality(pages: DataFrame, far: float = FAR) -> DataFrame:
 
 
 def _boilerplate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets: dict[int, frozenset[int]] = {}
     for batch in batches:
         ids: list[int] = []
         numbers: list[int] = []
-        for page, title, body in zip(*(batch.column(c).to_pylist() for c in ("page_id", "title", "body_text"))):
-            if body:
-                bad = [i for i, label in enumerate(content_lines(body, title)[1]) if label == BAD]
-                ids += [page] * len(bad)
-                numbers += bad
+        for page, (_, _, _, labels) in zip(batch.column("page_id").to_pylist(), _judged(batch, sets)):
+            bad = [i for i, label in enumerate(labels) if label == BAD]
+            ids += [page] * len(bad)
+            numbers += bad
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["page_id", "line_no"])
 
 
 def boilerplate_lines(pages: DataFrame) -> DataFrame:
-    """``page_id, line_no`` of the non-blank lines that aren't main content. Rows are judged where
-    they are read; nothing is shuffled. Null, empty and blank bodies give nothing."""
-    return pages.select("page_id", "title", "body_text").mapInArrow(_boilerplate, "page_id bigint, line_no int")
+    """``page_id, line_no`` of the non-blank lines that aren't main content, by the rules of ``llm.blocks`` with
+    the site's repeated lines as link density. Null, empty and blank bodies give nothing; pages without a
+    host are judged without a site."""
+    return with_site_lines(pages, "page_id", "title", "body_text").mapInArrow(_boilerplate, "page_id bigint, line_no int")
 
 
 def _main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets: dict[int, frozenset[int]] = {}
     for batch in batches:
-        texts = []
-        for title, body in zip(batch.column("title").to_pylist(), batch.column("body_text").to_pylist()):
-            lines, labels = content_lines(body, title)
-            texts.append(None if body is None else "\n".join(x for x, label in zip(lines, labels) if label == GOOD))
+        texts = [None if body is None else "\n".join(x for x, label in zip(lines, labels) if label == GOOD) for _, body, lines, labels in _judged(batch, sets)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(texts, pa.string())], names=["page_id", "main_text"])
 
 
 def main_content(pages: DataFrame) -> DataFrame:
     """``page_id, main_text``: the lines of main content; null for a null body."""
-    return pages.select("page_id", "title", "body_text").mapInArrow(_main, "page_id bigint, main_text string")
+    return with_site_lines(pages, "page_id", "title", "body_text").mapInArrow(_main, "page_id bigint, main_text string")

@@ -147,3 +147,39 @@ def test_quality_of_nothing(spark):
     assert text_quality(pages(spark, [])).count() == 0
     assert [r.verdict for r in text_quality(pages(spark, [{"page_id": 1}, {"page_id": 2, "body": "¿¿¿"}])).orderBy("page_id").collect()][0] == "empty"
     assert page_stats([], [])[1] == [0.0] * 5
+
+
+def test_boilerplate_of_held_out_sites(spark):
+    from heldout import site_pages
+
+    rows, truth = site_pages()
+    bad = {k for k, v in truth.items() if v}
+    assert len({r["body"].split("\n")[i] for r, i in ((rows[p], i) for p, i in truth)}) > 200
+    got = {(r.page_id, r.line_no) for r in boilerplate_lines(pages(spark, rows)).collect()}
+    assert len(got & bad) >= 0.9 * len(bad) and len(got & bad) >= 0.9 * len(got)
+    # a page on its own, with neighbours alone
+    alone = {(p, i) for p, r in enumerate(rows) for i, label in enumerate(content_lines(r["body"], r["title"])[1]) if label == 0}
+    assert len(alone & bad) >= 0.35 * len(bad) and len(alone & bad) >= 0.9 * len(alone)
+
+
+def test_long_lines_get_the_same_rules():
+    prose = "The path climbs away from the quarry and it was built beside the mill in the year of the flood.\n" * 3
+    menu = " | ".join(f"Label{chr(97 + i % 26)}" for i in range(80))
+    notice = "We keep cookies on your device so that you stay signed in, and we and our partners measure how this site is used, which you may refuse at any time. " * 2
+    lines, labels = content_lines(f"{notice}\n{menu}\n\n{prose}\n{menu}", "A page")
+    assert labels[0] == labels[1] == labels[-1] == 0 and labels[3] == 1
+
+
+def test_undecided_lines_inherit():
+    prose = "The path climbs away from the quarry and it was built beside the mill in the year of the flood, as every guide of the valley says."
+    names = "Zorvel\nKlimbat\nPrastuk\nDelmor"
+    lines, labels = content_lines(f"{names}\n\n{prose}\n{prose}\n\n{names}\n© 2020 Zorvel")
+    assert labels[:4] == [0] * 4 and labels[-5:] == [0] * 5 and labels[5:7] == [1, 1]
+    lines, labels = content_lines(f"{prose}\n{names}\n{prose}")
+    assert labels == [1] * 6
+
+
+def test_hot_site_and_missing_hosts(spark):
+    rows = [{"page_id": i, "final_url": "https://hot.test/%d" % i if i % 3 else None, "body": f"Zorvel\nThe text of page {'x' * i} is here and it is not the same as any other one of them all.\nEnd mark"} for i in range(60)]
+    got = {(r.page_id, r.line_no) for r in boilerplate_lines(pages(spark, rows)).collect()}
+    assert {p for p, i in got if i == 2} >= {i for i in range(60) if i % 3} and not any(i == 1 for _, i in got)

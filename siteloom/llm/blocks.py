@@ -74,6 +74,7 @@ _SELF = re.compile(r"\b(?:site|website|page|we|us|you|your|sitio|web|página|usa
 _COUNT = re.compile(r"\s*\(\d+\)$")
 _SPLIT = re.compile(r"\s*(?:\s{2,}|\t|\||·|•|/|›|»|>|–|—)\s*")
 _CELLS = re.compile(r"\t|;|\||\s{2,}|,(?=\S)")
+_CODE = re.compile(r"[{}()=<>\[\]]")
 _RULE = re.compile(r"^[|\s:+-]{3,}$")
 _BULLET = re.compile(r"^(?:[-–—•*·»›▪◦+]|\d{1,3}[.)]|[a-z][.)])\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -110,6 +111,8 @@ def is_row(line: str) -> bool:
     """Whether a line is a row of cells: a rule, or three or more cells of which one has a digit or sign alone."""
     if _RULE.match(line) and line.count("|") >= 2:
         return True
+    if len(_CODE.findall(line)) >= 2:
+        return False
     cells = [c for c in _CELLS.split(line.strip("| ")) if c.strip()]
     if len(cells) < 3 or max(len(c.split()) for c in cells) > 4:
         return False

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.blocks import BAD, GOOD, brand_of, content_lines, form_key
-from siteloom.llm.quality import STATS, page_stats
+from siteloom.llm.quality import KINDS, LEAST_SPREAD, NOISE, STATS, STEPS, page_stats
 from siteloom.llm.residue import body_kind, short_field
 from siteloom.session import staged
 
@@ -175,13 +175,15 @@ def without_lines(pages: DataFrame, drop: DataFrame, text: str = "clean_text") -
 
 # ---------------------------------------------------------------- 3: text quality
 
-#: A page is an outlier beyond this squared distance: the 90 % point of chi-square with five degrees.
-FAR = 9.24
+#: A page is an outlier beyond this squared distance: the 99 % point of chi-square with eight degrees.
+FAR = 20.09
 #: Languages with fewer pages than this use the mean and covariance of all languages together.
 FEWEST_PAGES = 50
-#: Least spread of each statistic, for trimming and as ridge of the covariance.
-LEAST_SPREAD = (0.3, 0.1, 0.004, 0.05, 0.02)
-RIDGE = (0.05, 0.01, 1e-5, 0.003, 0.0005)
+#: Rounds in which mean and covariance are fitted again to the pages that are no outliers of the last fit.
+ROUNDS = 3
+
+#: Language ('' for all together), mean, covariance with its ridge.
+Model = tuple[str, np.ndarray, np.ndarray]
 
 
 def _quality(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,85 +191,137 @@ def _quality(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for page, count, (title, body, lines, labels) in zip(batch.column("page_id").to_pylist(), batch.column("word_count").to_pylist(), _judged(batch, sets)):
-            lang, stats, kind = page_stats(lines, labels)
-            if kind and body_kind(lines, labels, title) not in ("", "variable"):
-                kind = ""
+            lang, stats, n, m = page_stats(lines, labels)
+            has_text = any(x == GOOD for x in labels)
             pieces = len(body.split()) if body else 0
-            out.append((page, lang, *stats, kind, pieces, count is not None and count != pieces, body is not None and not body.isspace() and any(x == GOOD for x in labels)))
-        types = [pa.int64(), pa.string(), *[pa.float64()] * len(STATS), pa.string(), pa.int32(), pa.bool_(), pa.bool_()]
-        names = ["page_id", "lang", *STATS, "main_kind", "words", "wrong_count", "has_text"]
+            out.append((page, lang, *stats, n, m, has_text and body_kind(lines, labels, title) not in ("", "variable"), pieces, count is not None and count != pieces, has_text))
+        types = [pa.int64(), pa.string(), *[pa.float64()] * len(STATS), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.bool_(), pa.bool_()]
+        names = ["page_id", "lang", *STATS, "n_words", "n_lines", "residue", "words", "wrong_count", "has_text"]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
 
 def page_statistics(pages: DataFrame) -> DataFrame:
-    """Per page: language, the statistics of its main part, what that is made of, and its word count."""
-    schema = "page_id bigint, lang string, " + ", ".join(f"{s} double" for s in STATS) + ", main_kind string, words int, wrong_count boolean, has_text boolean"
+    """Per page: language, the statistics of its main part, the words and lines they rest on, whether it is
+    residue, and the word count of the whole body."""
+    schema = "page_id bigint, lang string, " + ", ".join(f"{s} double" for s in STATS) + ", n_words int, n_lines int, residue boolean, words int, wrong_count boolean, has_text boolean"
     return with_site_lines(pages, "page_id", "title", "body_text", "word_count").mapInArrow(_quality, schema)
 
 
-def prose_models(stats: DataFrame) -> list[tuple[str, list[float], np.ndarray]]:
-    """(language, mean, inverse covariance) of prose, '' for all languages together.
-
-    Robust: rows farther than three scaled median deviations in any statistic don't take part.
-    The driver receives one row of sums per language, whose number is fixed by the word lists.
-    """
-    known = stats.where("lang != '' and has_text")
-    names = list(STATS)
-    med = {r["lang"] or "": r for r in known.rollup("lang").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(s, 0.5, 1000).alias(s) for s in names]).collect()}
-    if not med or not med.get("") or not med[""]["n"]:
-        return []
-    by_lang = lambda values: F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in values.items() if k], F.lit(float(values[""])))
-    usable = {k: r for k, r in med.items() if k == "" or r["n"] >= FEWEST_PAGES}
-    centre = {s: by_lang({k: r[s] for k, r in usable.items()}) for s in names}
-    dev = known.select("lang", *[F.abs(F.col(s) - centre[s]).alias(s) for s in names])
-    mad = {r["lang"] or "": r for r in dev.rollup("lang").agg(*[F.percentile_approx(s, 0.5, 1000).alias(s) for s in names]).collect()}
-    near = F.lit(True)
-    for s, least in zip(names, LEAST_SPREAD):
-        spread = by_lang({k: max(least, 1.4826 * mad[k][s]) for k in usable})
-        near = near & (F.abs(F.col(s) - centre[s]) <= 3 * spread)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = known.where(near).rollup("lang").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(f"s{i}") for i, s in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in pairs]
-    )
+def _start(known: DataFrame) -> dict[str, tuple[int, list[float], list[float]]]:
+    """Per language ('' for all) pages, medians and median deviations, from one histogram: at most a thousand
+    rows per language and statistic reach the driver."""
+    buckets = F.array(*[F.least(F.lit(1001), F.round(F.col(s) / step).cast("int")) for s, step in zip(STATS, STEPS)])
+    rows = known.select("lang", F.posexplode(buckets).alias("stat", "bucket")).groupBy("lang", "stat", "bucket").count().collect()
+    counts: dict[str, list[dict[int, int]]] = {}
+    for r in rows:
+        for key in (r["lang"], ""):
+            per = counts.setdefault(key, [{} for _ in STATS])[r["stat"]]
+            per[r["bucket"]] = per.get(r["bucket"], 0) + r["count"]
+
+    def median(values: dict[float, int]) -> float:
+        half, seen = sum(values.values()) / 2, 0
+        for v in sorted(values):
+            seen += values[v]
+            if seen >= half:
+                return v
+        return 0.0
+
+    out = {}
+    for key, per in counts.items():
+        mid = [median(h) for h in per]
+        dev: list[dict[float, int]] = [{} for _ in per]
+        for d, h, c in zip(dev, per, mid):
+            for v, n in h.items():
+                d[abs(v - c)] = d.get(abs(v - c), 0) + n
+        out[key] = sum(per[0].values()), [c * step for c, step in zip(mid, STEPS)], [median(d) * step for d, step in zip(dev, STEPS)]
+    return out
+
+
+def _fit(rows: DataFrame) -> list[Model]:
+    """Mean and covariance per language and of all; the driver receives one row of sums per language."""
+    n = len(STATS)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    sums = rows.rollup("use").agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(f"s{i}") for i, s in enumerate(STATS)], *[F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"p{i}_{j}") for i, j in pairs])
     models = []
     for r in sums.collect():
-        key = r["lang"] or ""
-        if key in usable and r["n"] > len(names):
-            mean = np.array([r[f"s{i}"] / r["n"] for i in range(len(names))])
-            cov = np.zeros((len(names), len(names)))
+        if r["n"] > n and r["use"] != "":
+            mean = np.array([r[f"s{i}"] / r["n"] for i in range(n)])
+            cov = np.zeros((n, n))
             for i, j in pairs:
                 cov[i, j] = cov[j, i] = r[f"p{i}_{j}"] / r["n"] - mean[i] * mean[j]
-            models.append((key, mean.tolist(), np.linalg.inv(cov + np.diag(RIDGE))))
+            models.append((r["use"] or "", mean, cov + np.diag(np.square(LEAST_SPREAD))))
     return models
 
 
+def _measured(rows: DataFrame, models: list[Model], noise: bool) -> DataFrame:
+    """``rows`` with ``distance`` and its parts ``from_<statistic>``, null without a model."""
+    n = len(STATS)
+    schema = "use string, " + ", ".join(f"{c}{i} double" for c in "mv" for i in range(n)) + ", " + ", ".join(f"i{i}_{j} double" for i in range(n) for j in range(n))
+    table = F.broadcast(rows.sparkSession.createDataFrame([(k, *map(float, mean), *map(float, np.diag(cov)), *map(float, np.linalg.inv(cov).ravel())) for k, mean, cov in models], schema))
+    delta = []
+    for i, (fixed, word, line) in enumerate(NOISE):
+        d = F.col(STATS[i]) - F.col(f"m{i}")
+        own = F.lit(float(fixed)) + F.lit(float(word)) / F.col("n_words") + F.lit(float(line)) / F.col("n_lines")
+        delta.append(d * F.sqrt(F.col(f"v{i}") / (F.col(f"v{i}") + own)) if noise else d)
+    with_delta = rows.join(table, "use", "left").withColumns({f"d{i}": d for i, d in enumerate(delta)})
+    parts = {f"from_{s}": F.col(f"d{i}") * sum((F.col(f"i{i}_{j}") * F.col(f"d{j}") for j in range(1, n)), F.col(f"i{i}_0") * F.col("d0")) for i, s in enumerate(STATS)}
+    measured = with_delta.withColumns(parts)
+    return measured.withColumn("distance", sum((F.col(f"from_{s}") for s in STATS[1:]), F.col(f"from_{STATS[0]}")))
+
+
+def prose_models(stats: DataFrame, far: float = FAR) -> tuple[list[Model], Column]:
+    """The models of prose, and the column that tells which of them a page uses.
+
+    Robust: the first fit takes the pages within three scaled median deviations in every statistic, each
+    further one the pages within ``far`` of the last fit, so lists, tables and junk don't shape what prose is.
+    """
+    known = stats.where("lang != '' and has_text and not residue")
+    start = _start(known)
+    langs = [k for k, (n, _, _) in sorted(start.items()) if k and n >= FEWEST_PAGES]
+    use = F.when(F.col("lang").isin(langs), F.col("lang")).otherwise(F.lit("*")) if langs else F.lit("*")
+    if not start:
+        return [], use
+    pick = lambda i, at: F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(start[k][at][i]))) for k in langs], F.lit(float(start[""][at][i])))
+    near = F.lit(True)
+    for i, s in enumerate(STATS):
+        near = near & (F.abs(F.col(s) - pick(i, 1)) <= 3 * F.greatest(F.lit(LEAST_SPREAD[i]), 1.4826 * pick(i, 2)))
+    named = known.withColumn("use", use)
+    every = lambda models: [("*" if k == "" else k, m, c) for k, m, c in models if k != "*"]
+    models = every(_fit(named.where(near)))
+    for _ in range(ROUNDS - 1):
+        if models:
+            models = every(_fit(_measured(named, models, False).where(F.col("distance") <= far).select("use", *STATS)))
+    return models, use
+
+
+def verdict_of(far: float) -> Column:
+    """What an outlier is: the kind whose statistics contribute most to its distance."""
+    votes = {}
+    for kind, members in KINDS.items():
+        parts = [F.when(F.lit(side) * F.col(f"d{STATS.index(s)}") >= 0, F.greatest(F.lit(0.0), F.col(f"from_{s}"))).otherwise(F.lit(0.0)) for s, side in members]
+        votes[kind] = sum(parts[1:], parts[0])
+    most = F.greatest(*votes.values())
+    kind = F.lit("prose")
+    for name, vote in votes.items():
+        kind = F.when((vote == most) & (vote > 0), name).otherwise(kind)
+    return F.when(~F.col("has_text"), "empty").when(~F.col("residue") & (F.col("distance") > far), kind).otherwise("prose")
+
+
 def text_quality(pages: DataFrame, far: float = FAR) -> DataFrame:
     """Distance of each page's main part from prose of its language, and the verdict.
 
-    Output: ``page_id, lang``, the statistics, ``distance`` (squared Mahalanobis), one
-    ``from_<statistic>`` per statistic (its share in the distance; they sum to it), ``words``,
-    ``wrong_count``, and ``verdict``: list, table or junk for an outlier whose main part is
-    made of that, prose otherwise, empty without text. Null and blank bodies have no words; pages
-    without a known language are measured against all languages together; an empty table gives
-    an empty result. Statistics are written once and read by the three small aggregations
-    of the fit and by the scoring.
+    Output: ``page_id, lang``, the statistics, ``distance`` (squared Mahalanobis), one ``from_<statistic>`` per
+    statistic (its contribution; they sum to the distance), ``words``, ``wrong_count``, and ``verdict``: for a
+    page farther than ``far`` list, table or junk, whichever its contributions make it; prose otherwise, and for
+    filler, messages and notices; empty without text. A short page's deviations are scaled down by their
+    sampling error. Null and blank bodies have no words; pages without a known language are measured against all
+    languages together; where there is no prose to fit, everything is prose; an empty table gives an empty
+    result. Statistics are written once and read by the small aggregations of the fit and by the scoring.
     """
     stats = staged(page_statistics(pages), "page-statistics")
-    models = prose_models(stats)
-    n = len(STATS)
-    names = list(STATS)
-    schema = "m_lang string, " + ", ".join(f"m{i} double" for i in range(n)) + ", " + ", ".join(f"i{i}_{j} double" for i in range(n) for j in range(n))
-    rows = [(k, *map(float, mean), *map(float, inv.ravel())) for k, mean, inv in models]
-    known = [k for k, _, _ in models if k]
-    model = F.broadcast(stats.sparkSession.createDataFrame(rows, schema))
-    use = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit("")) if known else F.lit("")
-    scored = stats.withColumn("use", use).join(model, F.col("use") == F.col("m_lang"), "left")
-    delta = [F.col(s) - F.col(f"m{i}") for i, s in enumerate(names)]
-    part = [delta[i] * sum((F.col(f"i{i}_{j}") * delta[j] for j in range(1, n)), F.col(f"i{i}_0") * delta[0]) for i in range(n)]
-    scored = scored.select("page_id", "lang", *names, "main_kind", "words", "wrong_count", "has_text", *[p.alias(f"from_{s}") for p, s in zip(part, names)])
-    distance = sum((F.col(f"from_{s}") for s in names[1:]), F.col(f"from_{names[0]}"))
-    verdict = F.when(~F.col("has_text"), "empty").when((F.col("main_kind") != "") & (F.col("distance") > far), F.col("main_kind")).otherwise("prose")
-    return scored.withColumn("distance", distance).select("page_id", "lang", *names, "distance", *[f"from_{s}" for s in names], "words", "wrong_count", verdict.alias("verdict"))
+    models, use = prose_models(stats, far)
+    scored = _measured(stats.withColumn("use", use), models, True)
+    return scored.select("page_id", "lang", *STATS, "distance", *[f"from_{s}" for s in STATS], "words", "wrong_count", verdict_of(far).alias("verdict"))
 
 
 # ---------------------------------------------------------------- 4: main content

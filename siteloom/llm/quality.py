@@ -1,72 +1,39 @@
-"""Text statistics of a page's main part, and what its lines are made of."""
+"""Text statistics of a page's main part, and what an outlier's contributions say about it.
+
+The squared Mahalanobis distance of a page from the prose of its language is split among the
+statistics. A page beyond the threshold is named by the statistics that put it there: rows of
+cells and digits make a table, short lines without a sentence's end a list, symbols, odd word
+lengths and missing common words junk. Nothing else decides.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 
-from siteloom.llm.blocks import _BULLET, _WORD, ALL_STOP, GOOD, STOP_WORDS
+from siteloom.llm.blocks import _BULLET, _COUNT, _WORD, ALL_STOP, GOOD, STOP_WORDS, is_row
 
 #: The statistics of the distance, in the order of its vectors.
-STATS = ("log_words", "word_length", "symbol_share", "punct_share", "common_share")
-#: Shares of a page's main part from which it is of one kind.
-LIST_SHARE, TABLE_SHARE, JUNK_SHARE = 0.6, 0.6, 0.6
-#: Fewer lines are no list or table.
-FEWEST_LINES = 3
+STATS = ("log_words", "word_length", "symbol_share", "punct_share", "common_share", "line_words", "cell_share", "digit_share")
+#: Which statistics speak for a kind, and on which side of the mean (0: either).
+KINDS = {
+    "list": (("line_words", -1), ("punct_share", -1)),
+    "table": (("cell_share", 1), ("digit_share", 1)),
+    "junk": (("common_share", -1), ("symbol_share", 1), ("word_length", 0)),
+}
+#: Steps of the histogram from which medians are read; each statistic has about a thousand.
+STEPS = (0.02, 0.04, 0.001, 0.001, 0.001, 0.02, 0.001, 0.001)
+#: Least spread of each statistic, for trimming and, squared, as ridge of the covariance.
+LEAST_SPREAD = (0.1, 0.1, 0.004, 0.05, 0.02, 0.1, 0.02, 0.01)
+#: Variance of a page's statistic about the page's own mean: a constant, per word, and per line. A short page's
+#: deviations are scaled down by it. Length itself may differ by a factor of two.
+NOISE = ((1, 0, 0), (0, 6, 0), (0, 0.02, 0), (0, 0, 0.2), (0, 0.23, 0), (0, 0, 1), (0, 0, 0), (0, 0.02, 0))
+LONGEST_WORD = 40.0
 
 _SENTENCE_END = re.compile(r"[.!?…][\"'”»)\]]*$")
-_SYMBOL = re.compile(r"[^\w\s]")
-_CELLS = re.compile(r"\t|;|,|\||\s{2,}")
-_RULE = re.compile(r"^[|\s:+-]{3,}$")
-_CODE = re.compile(r"[{}();=<>\[\]&|!]")
-_TERM = re.compile(r"^[^\W\d_][\w' -]{0,24} [–—] \S")
-_COUNT = re.compile(r"\(\d+\)$")
-_LONG = re.compile(r"\S{25,}")
-_ODD = re.compile(r"[{}=<>|\t;~^#$&@¤¦§¶]|\S{25,}")
-_GARBLED = re.compile("[¤¦-©¬®-±¶·¼-¾¿ÂÃ™€œâ�†‡ˆ‰]")
-
-PROSE, ITEM, ROW, JUNK, HEAD = "prose", "item", "row", "junk", "head"
-
-
-def line_kind(line: str) -> str:
-    """What a content line is: a sentence or more, a list item, a row of cells, junk, or a heading."""
-    n = len(line)
-    if line[-1] in ".!?" and not _ODD.search(line) and 4 * n <= 48 * line.count(" "):
-        return ITEM if line[0] in "-–—•*·»›▪◦+0123456789" and _BULLET.match(line) and line.count(" ") <= 12 else PROSE
-    words = _WORD.findall(line)
-    letters = sum(map(len, words))
-    bullet = _BULLET.match(line)
-    cells = [c for c in _CELLS.split(line.strip("| ")) if c.strip()]
-    tidy = line.count("|") >= 2 or "\t" in line
-    if _RULE.match(line) and line.count("|") >= 2:
-        return ROW
-    if len(cells) >= 3 and not _SENTENCE_END.search(line):
-        if tidy or max(len(c.split()) for c in cells) <= 3:
-            marks = len(_CODE.findall(line.replace("|", "").replace(";", "")))
-            if marks <= 0.08 * n and any(c.isalnum() for c in line) and len(_GARBLED.findall(line)) <= 0.1 * n:
-                symbols = sum(bool(_SYMBOL.fullmatch(ch)) for c in cells for ch in c.strip() if ch not in "/-.%")
-                if symbols <= 0.1 * n:
-                    return ROW
-    if n >= 6 and (len(_GARBLED.findall(line)) >= 0.15 * n or letters < 0.3 * n and not bullet and not _COUNT.search(line)):
-        return JUNK
-    if len(_CODE.findall(line)) >= 0.08 * n and len(_CODE.findall(line)) >= 6:
-        return JUNK
-    if _LONG.search(line) and letters and sum(len(x) for x in _LONG.findall(line)) >= 0.6 * n and "://" not in line:
-        return JUNK
-    lows = [w.lower() for w in words]
-    stops = sum(w in ALL_STOP for w in lows)
-    if len(lows) >= 6 and stops <= 0.06 * len(lows) and not _SENTENCE_END.search(line):
-        return JUNK
-    if len(lows) >= 12 and len(set(lows)) <= 0.5 * len(lows) and stops <= 0.1 * len(lows):
-        return JUNK
-    if bullet and (not _SENTENCE_END.search(line) or len(lows) <= 12):
-        return ITEM
-    if _TERM.match(line) and not _SENTENCE_END.search(line) and len(lows) <= 18:
-        return ITEM
-    if _COUNT.search(line) and not _SENTENCE_END.search(line) and len(lows) <= 16:
-        return ITEM
-    if _SENTENCE_END.search(line) or n > 160:
-        return PROSE
-    return HEAD
+#: Symbols, without the marks that part cells; cells are a statistic of their own.
+_SYMBOL = re.compile(r"[^\w\s|;,]")
+_RUN, _DIGIT = re.compile(r"\w+"), re.compile(r"\d")
 
 
 def language(words: list[str]) -> str:
@@ -79,41 +46,29 @@ def language(words: list[str]) -> str:
     return best if most >= max(2, 0.08 * len(words)) else ""
 
 
-def page_stats(lines: list[str], labels: list[int]) -> tuple[str, list[float], str]:
-    """Language, statistics in the order of ``STATS``, and the kind of the lines, '' if mixed or prose.
+def page_stats(lines: list[str], labels: list[int]) -> tuple[str, list[float], int, int]:
+    """Language, statistics in the order of ``STATS``, and the numbers of words and lines they rest on (1 at least).
 
-    An own headline and one leading sentence are set aside. A page without main part has no
-    words and no kind.
+    An own headline and one leading sentence are set aside; bullets and counts at a line's end aren't read as
+    symbols. A page without main part has zeros.
     """
     main = [line for line, label in zip(lines, labels) if label == GOOD]
-    if len(main) > 1 and len(main[0]) <= 140 and line_kind(main[0]) == HEAD:
+    if len(main) > 1 and len(main[0]) <= 140 and not _SENTENCE_END.search(main[0]) and not is_row(main[0]):
+        main = main[1:]
+    if len(main) > 2 and _SENTENCE_END.search(main[0]) and len(main[0]) <= 400:
         main = main[1:]
-    kinds = [line_kind(x) for x in main]
-    if len(main) > 2 and kinds[0] == PROSE and len(main[0]) <= 400:
-        main, kinds = main[1:], kinds[1:]
-    text = "\n".join(main)
-    words = [w.lower() for w in _WORD.findall(text)]
-    n, size = len(words), max(1, len(text))
+    text = "\n".join([_COUNT.sub("", _BULLET.sub("", x)) for x in main])
+    low = text.lower()
+    words, runs = _WORD.findall(low), _RUN.findall(low)
+    size, n, m = max(1, len(text)), max(1, len(runs)), max(1, len(main))
     stats = [
-        len(f"{n:b}") + n / (1 << max(0, len(f"{n:b}") - 1)) - 1 if n else 0.0,
-        sum(map(len, words)) / n if n else 0.0,
+        math.log2(1 + len(words)),
+        min(LONGEST_WORD, sum(map(len, runs)) / n),
         len(_SYMBOL.findall(text)) / size,
-        sum(bool(_SENTENCE_END.search(x)) for x in main) / max(1, len(main)),
-        sum(w in ALL_STOP for w in words) / n if n else 0.0,
+        sum(bool(_SENTENCE_END.search(x)) for x in main) / m,
+        sum(w in ALL_STOP for w in words) / n,
+        math.log2(1 + len(runs) / m),
+        sum(len(x) for x in main if is_row(x)) / max(1, sum(map(len, main))),
+        len(_DIGIT.findall(text)) / size,
     ]
-    sizes: dict[str, int] = {}
-    counts: dict[str, int] = {}
-    for kind, x in zip(kinds, main):
-        sizes[kind] = sizes.get(kind, 0) + len(x)
-        counts[kind] = counts.get(kind, 0) + 1
-    total = max(1, len(text) - len(main) + 1)
-    kind = ""
-    if sizes.get(JUNK, 0) >= JUNK_SHARE * total:
-        kind = "junk"
-    elif sizes.get(ROW, 0) + sizes.get(HEAD, 0) >= TABLE_SHARE * total and sizes.get(ROW, 0) >= 0.5 * total and counts.get(ROW, 0) >= FEWEST_LINES:
-        kind = "table"
-    elif sizes.get(ITEM, 0) + sizes.get(HEAD, 0) >= LIST_SHARE * total and counts.get(ITEM, 0) >= FEWEST_LINES:
-        kind = "list"
-    elif counts.get(HEAD, 0) >= 6 and sizes.get(HEAD, 0) >= 0.8 * total:
-        kind = "list"
-    return language(words), stats, kind
+    return language(words), stats, n, m

@@ -74,7 +74,8 @@ _SELF = re.compile(r"\b(?:site|website|page|we|us|you|your|sitio|web|página|usa
 _COUNT = re.compile(r"\s*\(\d+\)$")
 _SPLIT = re.compile(r"\s*(?:\s{2,}|\t|\||·|•|/|›|»|>|–|—)\s*")
 _CELLS = re.compile(r"\t|;|\||\s{2,}|,(?=\S)")
-_CODE = re.compile(r"[{}()=<>\[\]]")
+_CODE = re.compile(r"[{}()=<>\[\];]")
+_PARTED = re.compile(r"[\t;|]|\s{2}|,\S")
 _RULE = re.compile(r"^[|\s:+-]{3,}$")
 _BULLET = re.compile(r"^(?:[-–—•*·»›▪◦+]|\d{1,3}[.)]|[a-z][.)])\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -102,16 +103,18 @@ def brand_of(host: str | None) -> str:
 
 @lru_cache(maxsize=200_000)
 def form_key(line: str, brand: str) -> int:
-    """The form of a line as a number of 63 bits, 0 if it is blank."""
+    """The form of a line as a number (its checksum and its length), 0 if it is blank."""
     form = form_of(line, brand).encode("utf-8", "surrogatepass")
-    return (crc32(form) | crc32(form[::-1], len(form)) << 32) & 0x7FFFFFFFFFFFFFFF if form else 0
+    return crc32(form) | (len(form) & 0x7FFFFFFF) << 32 if form else 0
 
 
 def is_row(line: str) -> bool:
     """Whether a line is a row of cells: a rule, or three or more cells of which one has a digit or sign alone."""
+    if not _PARTED.search(line):
+        return False
     if _RULE.match(line) and line.count("|") >= 2:
         return True
-    if len(_CODE.findall(line)) >= 2:
+    if line.count("{") + line.count("(") + line.count("=") >= 1 and is_code(line):
         return False
     cells = [c for c in _CELLS.split(line.strip("| ")) if c.strip()]
     if len(cells) < 3 or max(len(c.split()) for c in cells) > 4:
@@ -119,10 +122,16 @@ def is_row(line: str) -> bool:
     return line[0] == "|" or sum(any(ch.isdigit() for ch in c) or not any(ch.isalnum() for ch in c) or c.strip().lower() in ("n/a", "ok") for c in cells) * 3 >= len(cells)
 
 
+def is_code(line: str) -> bool:
+    """Whether a line holds four or more brackets, braces or signs of comparison, one in twenty characters or more."""
+    marks = len(_CODE.findall(line))
+    return marks >= 4 and 20 * marks >= len(line)
+
+
 def is_label(text: str) -> bool:
     """One to three words without stop words, digits and the end of a sentence, as the entries of menus have them."""
     words = text.split()
-    return 1 <= len(words) <= 3 and len(text) <= 40 and not any(c.isdigit() for c in text) and (len(words) == 1 or (words[0].lower() not in ALL_STOP and sum(w in ALL_STOP for w in words) * 2 <= len(words))) and not text.endswith((".", "!", "?", ":"))
+    return 1 <= len(words) <= 3 and len(text) <= 40 and not _DIGITS.search(text) and (len(words) == 1 or (words[0].lower() not in ALL_STOP and sum(w in ALL_STOP for w in words) * 2 <= len(words))) and not text.endswith((".", "!", "?", ":"))
 
 
 def link_density(low: str) -> float:
@@ -154,11 +163,11 @@ def is_pointer(low: str) -> bool:
 
 def is_dated(low: str) -> bool:
     """Whether a line is a date or a reading time, with at most three words beside it."""
-    if not any(c.isdigit() for c in low):
+    if not _DIGITS.search(low):
         return False
     rest, found = _DATE.subn(" ", low)
     rest, more = _READING.subn(" ", rest)
-    return bool(found or more) and len(_WORD.findall(rest)) <= 3 and not any(c.isdigit() for c in rest)
+    return bool(found or more) and len(_WORD.findall(rest)) <= 3 and not _DIGITS.search(rest)
 
 
 @lru_cache(maxsize=200_000)
@@ -170,11 +179,11 @@ def first_pass(line: str, repeated: bool) -> int:
     prose = n >= 9 and sum(w in ALL_STOP for w in words) >= PROSE_DENSITY * n
     ends = bool(_ENDS.search(line))
     if not (prose and ends and n > 14):  # a long sentence has none of these forms
-        if is_row(line):
+        if is_row(line) or is_code(line):
             return ROW
         if (n <= 9 and is_dated(low)) or is_pointer(low) or _TAGS.match(low) or _ADVERT.match(low):
             return META
-        if n <= 7 and not _STOPS.search(low) and _BOX.search(low) and not any(c.isdigit() for c in low):
+        if n <= 7 and not _STOPS.search(low) and _BOX.search(low) and not _DIGITS.search(low):
             return BOX
         if n <= 8 and _BYLINE.match(line):
             return META
@@ -329,7 +338,7 @@ def message(lines: list[str], labels: list[int], head: int | None) -> None:
     if any(label == GOOD and i != head for i, label in enumerate(labels)):
         return
     at = head + 1 if head is not None else next((i for i, x in enumerate(labels) if x in (BAD, META)), -1) + 1
-    while at < len(labels) and labels[at] not in (NEAR,):
+    while at < len(labels) and labels[at] not in ((NEAR, SHORT) if head is not None else (NEAR,)):
         if head is not None and labels[at] == BAD and not _ENDS.search(lines[at]):
             return
         at += 1

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from siteloom.llm.blocks import _BULLET, _COUNT, _WORD, ALL_STOP, GOOD, STOP_WORDS, is_row
 
@@ -36,14 +37,14 @@ _SYMBOL = re.compile(r"[^\w\s|;,]")
 _RUN, _DIGIT = re.compile(r"\w+"), re.compile(r"\d")
 
 
-def language(words: list[str]) -> str:
-    """The language whose common words are most frequent, '' if none is."""
+def language(counts: dict[str, int]) -> str:
+    """The language whose common words are most frequent among counted words, '' if none is."""
     best, most = "", 0
     for name, stop in STOP_WORDS.items():
-        n = sum(w in stop for w in words)
+        n = sum(map(counts.get, stop & counts.keys()))
         if n > most:
             best, most = name, n
-    return best if most >= max(2, 0.08 * len(words)) else ""
+    return best if most >= max(2, 0.08 * sum(counts.values())) else ""
 
 
 def page_stats(lines: list[str], labels: list[int]) -> tuple[str, list[float], int, int]:
@@ -59,16 +60,17 @@ def page_stats(lines: list[str], labels: list[int]) -> tuple[str, list[float], i
         main = main[1:]
     text = "\n".join([_COUNT.sub("", _BULLET.sub("", x)) for x in main])
     low = text.lower()
-    words, runs = _WORD.findall(low), _RUN.findall(low)
+    counts = Counter(_WORD.findall(low))
+    runs = _RUN.findall(low)
     size, n, m = max(1, len(text)), max(1, len(runs)), max(1, len(main))
     stats = [
-        math.log2(1 + len(words)),
+        math.log2(1 + sum(counts.values())),
         min(LONGEST_WORD, sum(map(len, runs)) / n),
         len(_SYMBOL.findall(text)) / size,
         sum(bool(_SENTENCE_END.search(x)) for x in main) / m,
-        sum(w in ALL_STOP for w in words) / n,
+        sum(map(counts.get, ALL_STOP & counts.keys())) / n,
         math.log2(1 + len(runs) / m),
         sum(len(x) for x in main if is_row(x)) / max(1, sum(map(len, main))),
         len(_DIGIT.findall(text)) / size,
     ]
-    return language(words), stats, n, m
+    return language(counts), stats, n, m

@@ -1,65 +1,103 @@
 """Template residue, filler, error messages and demands for scripts in place of content.
 
-A multi-pattern automaton holds multilingual phrases. A field is a case where the phrases it
-matches cover much of it, or where it leaks a template variable; phrases that are quoted in, or
-stand beside, real content cover little of it and don't count.
+A multi-pattern automaton holds the parts of which such messages are made, in several languages:
+what failed, the thing that failed, what the reader is asked to do, scripts and cookies and the
+need for them, and what templates say about text still to be written. Messages are recognised by
+how parts combine (a failure with a thing, a request or a code; scripts with a need; text with an
+order to write it), so their wording needn't be known as a whole. A field is a case where the
+parts of one kind combine and cover much of it, or where it leaks a template variable; messages
+that are quoted in, or stand beside, real content cover little of it and don't count.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import ahocorasick
 
-from siteloom.llm.blocks import GOOD, content_lines
-
-#: Share of a field that phrases must cover.
-COVERAGE = 0.55
-
-#: Phrases in lower case, with digit runs as one "#".
-FILLER = """
-lorem ipsum|dolor sit amet|consectetur adipiscing elit|dummy copy|dummy text|placeholder text|sample text|filler text|until the real one arrives
-this is sample content|edit or delete it before you publish|sample content|sample page|example page
-placeholder description, max # characters|placeholder description|headline placeholder|title placeholder
-your text goes here|text goes here|click the pencil to replace it|click here to edit|add your own words to this block to tell visitors about you|add your own words to this block|add your text here
-describe your product in one or two sentences (this text is only an example)|describe your product in one or two sentences|this text is only an example
-enter a short description of the page here|enter a description here|enter your text here|insert text here|your title here|title goes here|insert title here|your headline here
-todo: write copy for this section|todo page title|write copy for this section|to be written|coming soon
-asdf qwer asdf qwer test test|asdf qwer|asdf asdf|test test|qwerty|test page
-untitled page|untitled document|untitled|new page (#)|new page|just another demo site|home – default title|home - default title|default title|hello world
-titel einfügen|hier steht später ihr text|hier steht ihr text|text einfügen|beispieltext|blindtext|platzhaltertext|überschrift einfügen|ohne titel|seite ohne titel
-título de ejemplo|aquí va el texto de ejemplo|aquí va el texto|aquí va su texto|texto de ejemplo|texto de relleno|texto de prueba|página sin título|inserte aquí
-titre à remplacer|texte provisoire à remplacer|texte provisoire|votre texte ici|texte d'exemple|faux texte|page sans titre|titre de la page ici
-""".replace("\n", "|")
-ERRORS = """
-# not found|page not found|not found|error #|http error #|http #|internal server error|bad gateway|gateway timeout|service unavailable|forbidden|access denied|unauthorized|session expired|# forbidden
-oops! something went wrong|something went wrong|we can't find that page|this page is gone|page could not be found|the page you requested could not be found|this page does not exist|page unavailable
-service temporarily unavailable|temporarily unavailable|site under maintenance|under maintenance|down for maintenance|we are down for maintenance and will be back in # minutes|we'll be back soon
-sorry, the page you wanted isn't here any more or got a new address|this item is no longer here. it may have been deleted by its owner|this item is no longer here|it may have been deleted by its owner
-nothing was found at|on this host|an unexpected error occurred (reference|an unexpected error occurred|please try again later|the upstream server sent no valid answer (#)|the upstream server sent no valid answer
-you do not have permission to view this resource|you do not have permission|request blocked. incident number #. contact the site owner|request blocked|contact the site owner|too many requests. retry after # seconds|too many requests
-could not connect to database|too many connections|fatal error: call to undefined method in|fatal error|call to undefined method|on line #|stack trace|parse error|syntax error|your session has expired
-página no encontrada|la página solicitada no existe o se ha movido|la página solicitada no existe|acceso denegado|no tiene permiso para ver este recurso|servicio no disponible|ha ocurrido un error inesperado (código #)|ha ocurrido un error inesperado|error interno del servidor|sitio en mantenimiento|en mantenimiento|estamos en mantenimiento|vuelva a intentarlo más tarde|demasiadas solicitudes|sesión caducada|inténtelo de nuevo más tarde
-seite nicht gefunden|die angeforderte seite existiert nicht oder wurde verschoben|die angeforderte seite existiert nicht|zugriff verweigert|sie haben keine berechtigung, diese seite zu sehen|sie haben keine berechtigung|dienst vorübergehend nicht verfügbar|vorübergehend nicht verfügbar|fehler #|ein unerwarteter fehler ist aufgetreten (kennung|ein unerwarteter fehler ist aufgetreten|interner serverfehler|wartungsarbeiten|wir warten gerade unsere server|bitte versuchen sie es später|zu viele anfragen|sitzung abgelaufen
-page introuvable|la page demandée n'existe pas ou a été déplacée|la page demandée n'existe pas|accès refusé|vous n'avez pas le droit de voir cette page|service indisponible|erreur #|une erreur inattendue est survenue (code #)|une erreur inattendue est survenue|erreur interne du serveur|site en maintenance|en cours de maintenance|réessayez plus tard|trop de requêtes|session expirée
-""".replace("\n", "|")
-SCRIPTS = """
-javascript required|enable scripts to continue|enable javascript to continue|javascript is required|javascript is disabled|please enable javascript|please turn on scripts and reload the page|turn on scripts|reload the page|one more step|security check|checking your browser|just a second ...|just a moment...|just a second
-your browser has scripting switched off; nothing can be displayed|your browser has scripting switched off|nothing can be displayed|cookies and scripts must be allowed to see this content|cookies and scripts must be allowed|can't show anything while javascript is off. switch it on to go ahead|can't show anything while javascript is off|switch it on to go ahead
-scripts have to be allowed in your browser before|can start|prove that you are a human by solving the puzzle below|prove that you are a human|verify you are human|checking that your browser is safe before you enter|this takes about # seconds|please enable cookies|cookies must be enabled|cookies required|you need to enable javascript to run this app
-se requiere javascript|un momento...|active javascript para usar|esta página no funciona sin scripts|habilite javascript|comprobando su navegador|su navegador no ejecuta scripts|se requieren cookies|comprobación de seguridad|demuestre que es humano
-javascript erforderlich|einen moment bitte ...|einen moment bitte|bitte aktivieren sie javascript, um|bitte aktivieren sie javascript|ihr browser führt keine skripte aus, daher kann der inhalt nicht angezeigt werden|ihr browser führt keine skripte aus|kann der inhalt nicht angezeigt werden|zu nutzen|sicherheitsprüfung|browser wird geprüft|cookies erforderlich
-javascript requis|un instant...|veuillez activer javascript pour utiliser|veuillez activer javascript|cette page ne fonctionne pas sans scripts|votre navigateur n'exécute pas|vérification de votre navigateur|vérification de sécurité|cookies requis|prouvez que vous êtes humain
-""".replace("\n", "|")
+from siteloom.llm.blocks import ALL_STOP, GOOD, content_lines
+
+#: Share of a field that parts must cover.
+COVERAGE = 0.6
+
+#: Parts in lower case, digit runs as one "#"; a star stands for any end of the word.
+PARTS: dict[str, str] = {
+    # what failed: predicates, never an adjective alone
+    "cause": """
+not found|not be found|can't find|cannot find|couldn't find|could not find|can not be found|cannot be found|can't be found|nothing was found|nothing here|nothing to see|doesn't exist|does not exist|didn't exist|no longer exist*|no longer available|no longer here|isn't here|is not here|any more|anymore|is gone|was gone|has gone|gone|went missing|wandered off|has moved|have moved|was moved|been moved|been removed|been deleted|was deleted|was removed|moved or|renamed|new address|may have been
+unavailable|not available|isn't available|temporarily|out of service|out of order|down for|is down|are down|offline|under maintenance|maintenance|being updated|back soon|be back|be right back|under construction
+went wrong|gone wrong|goes wrong|oops|whoops|uh oh|unexpected|error|errors|http #|fatal|exception|stack trace|traceback|crashed|failed|failure|fails|could not|couldn't|cannot|can't|unable|is not working|not working|unhandled|undefined method|undefined function|syntax|parse|internal error|bad gateway|gateway timeout|bad request|timed out|time out|timeout|too long to respond|no response|no valid answer|did not answer|didn't answer|not respond*|isn't responding|overloaded|too busy|too many|limit exceeded|rate limit*|slow down
+forbidden|denied|refused|not allowed|not permitted|no permission|have permission|permission|permissions|not authori*|unauthori*|is blocked|was blocked|been blocked|request blocked|banned|expired|has ended|logged out|invalid|conflict
+no encontrad*|no se encuentra|no se encontró|no encontramos|no podemos encontrar|no pudimos encontrar|no hemos podido|no pudo|no puede|no se pudo|no se puede|no existe|ya no existe|ya no está|ha cambiado|se ha movido|ha sido movida|ha sido eliminad*|fue eliminad*|no disponible|no está disponible|fuera de servicio|temporalmente|en mantenimiento|mantenimiento|mantenimiento programado|en construcción|volveremos|vuelta pronto|ha ocurrido|se ha producido|se produjo|ocurrió|algo salió mal|algo ha salido mal|salió mal|inesperado|error interno|errores|fallo|falló|ha fallado|acceso denegado|denegad*|prohibid*|no autorizad*|no tiene permiso*|no tienes permiso*|permisos|caducad*|ha caducado|expirad*|demasiadas|demasiado|bloquead*
+nicht gefunden|nicht finden|existiert nicht|existiert nicht mehr|gibt es nicht|nicht mehr|nicht vorhanden|verschoben|gelöscht|entfernt|umgezogen|nicht verfügbar|nicht erreichbar|vorübergehend|außer betrieb|wartung*|in wartung|warten gerade|im aufbau|gleich zurück|bald zurück|bald wieder|schiefgelaufen|schief gelaufen|schief gegangen|fehler|unerwartet*|aufgetreten|ist aufgetreten|fehlgeschlagen|gescheitert|konnte nicht|konnten nicht|kann nicht|können nicht|verweigert|verboten|gesperrt|keine berechtigung|nicht berechtigt|nicht erlaubt|unzulässig*|abgelaufen|zu viele|überlastet|hoppla|ups
+introuvable*|n'a pas été trouvé*|pas trouvé*|n'existe pas|n'existe plus|plus disponible|n'est plus|a été déplacé*|été supprimé*|a été supprimé*|déplacé*|supprimé*|indisponible*|pas disponible|temporairement|hors service|en maintenance|maintenance|en construction|de retour|s'est produit*|est survenue|survenu*|mal passé*|mal tourné|inattendu*|erreur*|a échoué|échec|impossible|refusé*|interdit*|pas le droit|pas autorisé*|non autorisé*|n'êtes pas autorisé*|expiré*|trop de|bloqué*|oups
+niet gevonden|niet vinden|bestaat niet|bestaat niet meer|niet meer|niet beschikbaar|verplaatst|verwijderd|ging mis|misgegaan|fout|fouten|onverwachte|geweigerd|verlopen|onderhoud|tijdelijk|te veel|non trovat*|non esiste|non è stata trovata|non disponibile|non è disponibile|si è verificato|errore|negato|scadut*|manutenzione|não encontrad*|não existe|não foi encontrad*|não está disponível|indisponível|ocorreu|erro|negado|expirou|manutenção
+""",
+    # the thing that failed
+    "thing": """
+page|pages|site|website|web site|server|servers|upstream server|resource|document|file|url|address|link|item|article|content|request|service|gateway|host|database|connection|connections|session|application|app|system|account|portal|view|owner|internal server|area|section|access|something|things
+página|páginas|sitio|servidor|recurso|documento|archivo|dirección|enlace|artículo|contenido|solicitud|solicitudes|servicio|conexión|sesión|base de datos|aplicación|sistema|cuenta|acceso|algo
+seite|seiten|website|webseite|server|dokument|datei|adresse|artikel|inhalt|inhalte|anfrage|anfragen|dienst|verbindung|sitzung|datenbank|anwendung|system|konto|zugriff|zugang|interner|bereich|etwas|da ist was
+serveur|ressource|fichier|adresse|lien|contenu|requête|requêtes|service|connexion|session|base de données|application|système|compte|accès|quelque chose
+pagina|adres|bestand|verzoek|dienst|sessie|toegang|risorsa|indirizzo|richiesta|servizio|accesso|sessione|endereço|ficheiro|arquivo|acesso|sessão|serviço|iets|qualcosa|algo
+""",
+    # what is asked of the reader, and what stands around
+    "request": """
+please|try again|retry|come back|check back|visit us|later|later on|reload|refresh|go back|go ahead|return to|start page|home page|homepage|check the|check that|contact|administrator|admin|webmaster|support team|in # minutes|# minutes|# seconds|minutes|seconds|moment|shortly|soon|reference|incident|incident number|error code|code #|code: #|http|line #|sorry|apologi*|thank you for your patience|patience|looking for|looked for|requested|you wanted|you want|tried to|by its owner|log in|sign in|to view|this takes|about #
+por favor|inténtelo|inténtalo|vuelva|vuelve|de nuevo|más tarde|intentarlo|recargue|recarga|contacte|administrador|lo sentimos|perdone|disculpe|solicitad*|busca|buscaba|código #|código: #|minutos|segundos|ver este|inicie sesión
+bitte|versuchen|erneut|noch einmal|später|laden sie|neu laden|zurück|kontaktieren|administrator|leider|entschuldigung|tut uns leid|angefordert*|gesucht*|suchen|gesuchte|kennung|code #|minuten|sekunden|moment|augenblick|zu sehen|anmelden
+veuillez|réessayer|réessayez|plus tard|rechargez|revenez|retournez|contactez|administrateur|désolé*|demandé*|recherchez|recherchée|cherchez|code #|minutes|secondes|instant|patienter|voir cette
+alstublieft|probeer|opnieuw|later|helaas|gevraagde|gezochte|riprova|riprovare|più tardi|spiacenti|richiest*|tente novamente|mais tarde|desculpe|solicitada
+""",
+    # scripts, cookies, browsers, checks
+    "script": """
+javascript|java script|script|scripts|scripting|cookie|cookies|browser|browsers|captcha|human|robot|puzzle|security check|ad blocker|adblocker|one more step|checking your browser|just a moment|just a second
+navegador|guiones|humano|un momento|comprobación de seguridad|comprobando|verificando|skripte*|skript|mensch|sicherheitsprüfung|sicherheitsüberprüfung|einen moment|wird geprüft|navigateur|humain|un instant|vérification|vérifions|contrôle de sécurité
+navegadores|browserversie|browsercontrole|mens|beveiligingscontrole|umano|un attimo
+""",
+    "need": """
+enable*|turn on|turn it on|switch on|switch it on|switched on|turned on|activate*|allow|allows|allowed|permit*|accept|require*|needed|needs|need|must|must be|have to|has to|disabled|switched off|turned off|is off|are off|is blocked|not supported|doesn't support|without|to continue|to proceed|to use|to run|run|to see|to display|displayed|be shown|show anything|anything|nothing|doesn't work|won't work|work without|can start|load|reload|refresh|verify*|checking|confirm|prove|solving|below|complete|before you|enter|safe|ahead|wait
+se requiere|requier*|necesita*|necesario*|habilit*|activ*|desactivad*|deshabilitad*|permit*|para continuar|para usar|no funciona|funciona|no ejecuta|ejecuta|demuestre|verifique|usar|sin
+erforderlich|benötig*|aktivier*|einschalt*|eingeschaltet|ausgeschaltet|deaktiviert|erlaub*|zulassen|unterstützt|führt keine|führt|nutzen|zu nutzen|verwenden|anzeigen|angezeigt|fortzufahren|fortfahren|geprüft|bestätigen|ohne|funktioniert|werden
+requis*|nécessaire*|nécessite*|activer|activez|activé*|désactivé*|autoris*|accepter|pour continuer|pour utiliser|utiliser|fonctionne|ne fonctionne pas|n'exécute pas|exécute|prouvez|vérifi*|sans|afficher|affiché
+vereist|nodig|inschakel*|ingeschakeld|zet|schakel|uitgeschakeld|werkt niet|werkt|zonder|toestaan|doorgaan|abilita*|attiva*|richiesto|necessari*|disabilitat*|ativ*|necessário|habilite|desativad*
+""",
+    # what templates say about text that is still to be written
+    "filler": """
+lorem ipsum|dolor sit amet|consectetur adipiscing|dummy|placeholder|sample text|filler text|sample content|sample page|sample|example page|example text|only an example|is an example|untitled|no title|new page|new post|new document|default title|default page|just another|demo site|demo page|hello world|test test|test page|test post|this is a test|testing #|asdf*|qwer*|asdf|qwerty|foo bar|foobar|xxx|xxxx|blah|blah blah|todo|to do:|tbd|tba|fixme|to be written|to be added|to follow|coming soon|copy goes|goes here|text here|title here|headline here|description here|name here|the real one arrives|real one|until the real
+de ejemplo|texto de relleno|texto de prueba|de muestra|sin título|página nueva|hola mundo|próximamente|texto aquí|va el texto|título aquí|inserte|aquí va
+platzhalter*|beispieltext|beispielseite|blindtext|mustertext|musterseite|fülltext|ohne titel|neue seite|hallo welt|ihr text|text einfügen|titel einfügen|überschrift einfügen|hier steht|in kürze|kommt bald|folgt in kürze|einfügen
+texte d'exemple|texte provisoire|texte de remplissage|faux texte|à remplacer|provisoire|sans titre|nouvelle page|bonjour tout le monde|votre texte|texte ici|titre ici|à venir|bientôt disponible|exemple de page|page d'exemple
+voorbeeldtekst|voorbeeldpagina|zonder titel|uw tekst hier|tekst hier|testo segnaposto|senza titolo|il tuo testo|texto de exemplo|sem título|seu texto aqui
+""",
+    # an order to write it, and what is to be written
+    "order": "enter|insert|add|write|edit|replace|click|describe|type|put|fill in|change|delete|publish|tell|pencil|escriba|inserte|añada|edite|sustituya|reemplace|haga clic|geben sie|schreiben sie|fügen sie|ersetzen|bearbeiten|klicken|saisissez|écrivez|insérez|ajoutez|modifiez|remplacez|cliquez|voer|schrijf|vul|inserisci|scrivi|insira|escreva",
+    "text": "your text|your own|your title|your headline|your description|your product|your company|your name|your content|text|title|headline|heading|subheading|description|caption|paragraph|copy|words|sentence|sentences|section|block|here|max|characters|visitors|product|short|page|content|about you|own words|su texto|texto|título|descripción|aquí|titel|text|überschrift|beschreibung|hier|später|texte|titre|ici|tekst|hier|testo|titolo|qui|aqui",
+}
+#: The classes whose parts count for a kind, and the combinations that make it one. A class named alone suffices.
+KINDS: dict[str, tuple[frozenset[str], tuple[frozenset[str], ...]]] = {
+    "error": (frozenset({"cause", "thing", "request"}), (frozenset({"cause", "thing"}), frozenset({"cause", "request"}), frozenset({"cause", "code"}))),
+    "scripts": (frozenset({"script", "need", "thing", "request"}), (frozenset({"script", "need"}), frozenset({"script", "request"}), frozenset({"check"}))),
+    "filler": (frozenset({"filler", "order", "text", "thing"}), (frozenset({"filler"}), frozenset({"order", "text", "here"}))),
+}
+#: Parts of class "script" that are a whole notice.
+CHECKS = frozenset("one more step|checking your browser|just a moment|just a second|un momento|einen moment|un instant|security check|comprobación de seguridad|sicherheitsprüfung|sicherheitsüberprüfung|contrôle de sécurité|beveiligingscontrole|un attimo".split("|"))
+#: Parts of class "text" that point to the place to write at.
+PLACES = frozenset("here|your own|your text|your title|your product|your headline|own words|about you|aquí|hier|ici|su texto|your description|your company|qui|aqui|max|block|section".split("|"))
+#: Words that count neither way, besides the stop words.
+NEUTRAL = ALL_STOP | frozenset("has have had can could will would may might do does did be been being me my us there here's it's you're we're i'm let's all any some just only yet about into out up off ya nos me está están hay sido ser este esta cette ces cet été être suis sommes ihren ihre ihr ihrem diese dieser dieses dieser wird wurde wurden worden uns mich mir het een de van op te voor wij u uw je jouw is zijn wordt il lo la gli una per del di o da do os as um uma por".split())
+
 #: Words of the customary Latin filler; they count where a field has several.
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum massa cursus eros pharetra porta sodales rutrum fusce ornare tortor vestibulum donec blandit pretium congue aliquam ligula mauris viverra vel nunc ac nec at vitae a pellentesque morbi tristique senectus netus fames turpis egestas praesent semper feugiat nibh pulvinar proin gravida hendrerit lectus arcu bibendum varius vel orci dapibus ultrices purus libero justo laoreet risus suspendisse potenti metus vulputate diam phasellus quam lacus sapien faucibus molestie mattis aenean euismod elementum nisl maecenas integer cras leo auctor augue neque urna tellus felis habitant malesuada condimentum".split()
 )
 
-_MARKERS = ("{{", "}}", "${", "<%", "<?", "[[", "#{", "{%", "%%", "__", "{", "[", "%", "undefined", "null", "nan", "[object")
+_MARKERS = re.compile(r"[{<]|\[[\[*+~!A-Zo]|%[\w%]|__|@@|(?<!\S):[a-z]")
 _VARIABLE = re.compile(
     r"\{\{[-~#/]?\s*[\w.|:' -]{1,60}?\s*[-~]?\}\}|\$\{\s*[\w.]{1,60}\s*\}|<%[=-]?\s*[\w.@]{1,60}\s*%>|<\?(?:php|=)?\s*(?:echo )?\$[\w>.\[\]'-]{1,60};?\s*\?>|\[\[[+*~!]?[\w.-]{1,60}\]\]|#\{\s*[\w.]{1,60}\s*\}|\{%-?\s*\w[\w ._'\"-]{0,60}-?%\}"
+    r"|\{![\w.]{1,60}!?\}|\[\*[\w.-]{1,60}\*\]|@@[A-Za-z][A-Za-z_]{1,40}@@|(?<![\w:]):[a-z]{4,}(?:_[a-z]+)*:(?![\w:/])|<(?:insert|enter|add|put|your|type) [\w ]{1,40}>"
     r"|%%[A-Za-z][A-Za-z_]{1,40}%%|(?<![\w%])%[a-z][a-z_]{2,40}%(?![\w%])|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)|(?<![\w){}$#&])&?\{[a-z][a-z_]{2,}(?:\.[a-z_]+)?\}(?![\w{}])|\[[A-Z][\w ]{0,40} here\]|\[(?:Your|Insert|Enter) [\w ]{1,40}\]|\[object Object\]"
 )
 #: Quoted code is an example, not residue.
@@ -71,79 +109,129 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|#")
 
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
-    """The automaton over all phrases and Latin words; values are (length, kind)."""
-    auto = ahocorasick.Automaton()
+    """The automaton over all parts and Latin words; values are the length and, per class, whether any end of the word may follow."""
+    parts: dict[str, dict[str, bool]] = {}
     for word in LATIN:
         if len(word) > 3:
-            auto.add_word(word, (len(word), "latin"))
-    for kind, phrases in (("filler", FILLER), ("error", ERRORS), ("scripts", SCRIPTS)):
-        for phrase in phrases.split("|"):
-            if phrase.strip():
-                auto.add_word(phrase.strip(), (len(phrase.strip()), kind))
+            parts.setdefault(word, {})["latin"] = False
+    for kind, listed in PARTS.items():
+        for part in listed.replace("\n", "|").split("|"):
+            if part.strip():
+                parts.setdefault(part.strip().rstrip("*"), {})[kind] = part.strip().endswith("*")
+    for part in CHECKS:
+        parts.setdefault(part, {})["check"] = False
+    for part in PLACES:
+        parts.setdefault(part, {})["here"] = False
+    auto = ahocorasick.Automaton()
+    for part, kinds in parts.items():
+        auto.add_word(part, (len(part), tuple(kinds.items())))
     auto.make_automaton()
     return auto
 
 
 def normal(text: str) -> str:
     """Lower case, white space as one space, digit runs as ``#``, straight apostrophes."""
-    return re.sub(r"\d+", "#", re.sub(r"\s+", " ", text).strip().lower().replace("’", "'"))
+    return _DIGITS.sub("#", " ".join(text.lower().split()).replace("’", "'"))
+
+
+def matches(low: str) -> dict[str, list[tuple[int, int]]]:
+    """Per class the stretches of a normalised text that its parts match, at word boundaries."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    n = len(low)
+    for last, (size, kinds) in automaton().iter(low):
+        start, end = last - size + 1, last + 1
+        if start and low[start - 1].isalnum() and low[start].isalnum():
+            continue
+        open_end = end < n and low[end].isalnum() and low[last].isalnum()
+        for kind, stem in kinds:
+            if open_end and not stem:
+                continue
+            stop = end
+            while open_end and stop < n and low[stop].isalnum():
+                stop += 1
+            out.setdefault(kind, []).append((start, stop))
+    return out
 
 
 def coverage(text: str) -> tuple[float, str]:
-    """The share of a text's words, counted in characters, that phrases cover, and the kind that covers most.
+    """The share of a text's words, counted in characters, that the parts of one kind cover, and that kind; 0 where
+    its parts don't combine to a message.
 
-    Words with digits, slashes or dots inside (paths, hosts, identifiers) are variable parts of
-    messages and count neither way.
+    Stop words, and words with digits, slashes or dots inside (paths, hosts, identifiers), count neither way.
     """
     low = normal(text)
-    spans: list[tuple[int, int]] = []
-    kinds: dict[str, int] = {}
-    latin = []
-    for end, (size, kind) in automaton().iter(low):
-        start = end - size + 1
-        if (start and low[start - 1].isalnum() and low[start].isalnum()) or (end + 1 < len(low) and low[end + 1].isalnum() and low[end].isalnum()):
-            continue
-        if kind == "latin":
-            latin.append((start, end + 1))
-        else:
-            kinds[kind] = kinds.get(kind, 0) + size
-            spans.append((start, end + 1))
-    if len(latin) >= 4:
-        spans += latin
-        kinds["filler"] = kinds.get("filler", 0) + sum(e - s for s, e in latin)
-    if not spans:
+    tokens = Counter(low.split())
+    # what no part can match bounds the share from above, so most texts end here
+    if sum([n * outside(t) for t, n in tokens.items()]) > (1 - COVERAGE) * sum([n * letters(t) for t, n in tokens.items()]):
         return 0.0, ""
-    most = max(kinds, key=lambda k: kinds[k])
-    # a word matched between others of the same filler sentence belongs to it
-    spans.sort()
-    merged = [list(spans[0])]
-    for start, end in spans[1:]:
-        if start <= merged[-1][1] + 1:
-            merged[-1][1] = max(merged[-1][1], end)
-        else:
-            merged.append([start, end])
-    hit = sum(letters(low[start:end]) for start, end in merged)
-    rest, at = 0, 0
-    for start, end in [*merged, [len(low), len(low)]]:
-        for token in low[at:start].split(" "):
-            core = token.strip(".,;:!?()[]\"'")
-            if not ("#" in core or "/" in core or "." in core):
-                rest += letters(token)
-        at = end
-    return (hit / (hit + rest) if hit else 0.0), most
+    found = matches(low)
+    if len(found.get("latin", ())) >= 4:
+        found.setdefault("filler", []).extend(found["latin"])
+    if _CODE.search(low):
+        found["code"] = []
+    best, most = 0.0, ""
+    for kind, (classes, combinations) in KINDS.items():
+        if not any(all(c in found for c in combination) for combination in combinations):
+            continue
+        spans = sorted(x for c in classes for x in found.get(c, ()))
+        merged: list[list[int]] = []
+        for start, end in spans:
+            if merged and start <= merged[-1][1] + 1:
+                merged[-1][1] = max(merged[-1][1], end)
+            else:
+                merged.append([start, end])
+        hit = sum(letters(low[start:end]) for start, end in merged)
+        ends = [0, *(end for _, end in merged)]
+        between = " ".join([low[at:start] for at, (start, _) in zip(ends, [*merged, (len(low), 0)])])
+        rest = sum(n * weight(t) for t, n in Counter(between.split()).items())
+        share = hit / (hit + rest) if hit else 0.0
+        if share > best:
+            best, most = share, kind
+    return best, most
+
+
+@lru_cache(maxsize=100_000)
+def weight(token: str) -> int:
+    """The letters of a token that count against coverage: none of stop words, numbers, paths and hosts."""
+    core = token.strip(".,;:!?()[]\"'“”«»¡¿")
+    return 0 if "#" in core or "/" in core or "." in core or core in NEUTRAL else letters(token)
+
+
+@lru_cache(maxsize=1)
+def vocabulary() -> tuple[frozenset[str], tuple[str, ...]]:
+    """The words that stand in parts, and the stems."""
+    words, stems = set(LATIN), set()
+    for listed in (*PARTS.values(), "|".join(CHECKS | PLACES)):
+        for part in listed.replace("\n", "|").split("|"):
+            words |= set(_PIECE.findall(part))
+            if part.strip().endswith("*"):
+                stems.add(_PIECE.findall(part)[-1])
+    return frozenset(words), tuple(stems)
+
+
+@lru_cache(maxsize=100_000)
+def outside(token: str) -> int:
+    """The weight of a token that no part can match."""
+    words, stems = vocabulary()
+    return 0 if any(p in words or p.startswith(stems) for p in _PIECE.findall(token)) else weight(token)
+
+
+_PIECE, _DIGITS = re.compile(r"\w+"), re.compile(r"\d+")
+_CODE = re.compile(r"(?:^|[^\w.,])(?:http )?#(?=$|[^\w.,%])")
 
 
+@lru_cache(maxsize=100_000)
 def letters(text: str) -> int:
     """Characters without spaces, digit marks and plain punctuation."""
     return len(text.translate(_DROP))
 
 
-_DROP = str.maketrans("", "", " #.,;:!?()[]\"'-–…|")
+_DROP = str.maketrans("", "", " #.,;:!?()[]\"'-–…|¡¿“”«»")
 
 
 def leaks_variable(text: str) -> bool:
     """Whether a text holds a template variable that isn't quoted as an example."""
-    if not any(m in text for m in ("{", "[", "%", "__", "<%", "<?")):
+    if not _MARKERS.search(text):
         return False
     bare = _QUOTED.sub(" ", text)
     return any(not bracketed(bare, m.start(), m.end()) for m in _VARIABLE.finditer(bare))
@@ -191,7 +279,7 @@ def body_field(body: str | None, title: str | None = None) -> str:
 def body_kind(lines: list[str], labels: list[int], title: str | None) -> str:
     """``body_field`` over lines that are classified already."""
     content = [i for i, label in enumerate(labels) if label == GOOD]
-    if any(leaks_variable(lines[i]) and not is_code(lines[i]) for i in content):
+    if _MARKERS.search(" ".join([lines[i] for i in content])) and any(leaks_variable(lines[i]) and not is_code(lines[i]) for i in content):
         return "variable"
     if len(content) > 1:
         head = content[0] if own_headline(lines, labels, title, content[0]) else None

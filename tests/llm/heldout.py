@@ -62,3 +62,35 @@ def site_pages(per_site: int = 12, seed: int = 11) -> tuple[list[dict], dict[tup
             rows.append({"page_id": page, "final_url": f"https://{host}/p/{k}", "title": title, "body": "\n".join(x for x, _ in lines)})
             truth |= {(page, i): bad for i, (x, bad) in enumerate(lines) if x}
     return rows, truth
+
+
+#: Messages in place of content, none of which stands in the library or the test tables as a whole.
+MESSAGES = {
+    "error": [
+        "The document you are looking for has been removed or renamed.", "This listing has expired and is no longer available.", "Whoops, the server couldn't handle your request. Please retry shortly.", "Our site is down for scheduled maintenance. We'll be back soon.",
+        "Your session timed out. Please log in again.", "You are not authorized to access this resource.", "Service overloaded, please try again in 5 minutes.", "Uh oh, we couldn't find that article.", "410 Gone", "502 Bad Gateway", "Error establishing a connection to the server",
+        "The requested file does not exist on this server.", "Connection refused by the database host.", "This account has been suspended. Contact support.", "We can't reach this page right now, please come back later.", "HTTP error 429: too many requests", "Sorry, something has gone wrong on our server.",
+        "No hemos podido encontrar el recurso solicitado.", "El servicio está temporalmente fuera de servicio.", "Su sesión ha expirado, inicie sesión de nuevo.", "Algo ha salido mal en el servidor.", "Lo sentimos, el artículo ya no existe.", "Error 500 del servidor",
+        "Die gesuchte Datei wurde verschoben oder gelöscht.", "Der Server ist derzeit nicht erreichbar. Bitte versuchen Sie es erneut.", "Ihre Sitzung ist leider abgelaufen.", "Hoppla, da ist etwas schiefgelaufen.", "Wegen Wartungsarbeiten vorübergehend offline", "Fehler 403: Zugriff verboten",
+        "La ressource recherchée est introuvable.", "Le service est temporairement hors service.", "Désolé, ce document a été supprimé.", "Votre session a expiré, veuillez réessayer.", "Erreur 502 du serveur", "Oups, quelque chose s'est mal passé.",
+        "De pagina bestaat niet meer.", "Sorry, deze pagina is niet gevonden.", "Er is een onverwachte fout opgetreden, probeer het later opnieuw.", "La pagina richiesta non è stata trovata.", "A página solicitada não foi encontrada.",
+    ],
+    "scripts": [
+        "This application requires JavaScript to run.", "Please enable cookies in your browser to proceed.", "Your browser does not allow scripts; switch them on to view this page.", "Complete the captcha to confirm that you are human.", "You must activate JavaScript before this content can be displayed.",
+        "Se necesitan cookies para continuar.", "Habilite los scripts de su navegador para ver esta página.", "Diese Anwendung benötigt JavaScript.", "Bitte erlauben Sie Cookies in Ihrem Browser.", "Ihr Browser wird geprüft, bitte warten.",
+        "Cette application nécessite JavaScript.", "Activez les cookies de votre navigateur pour continuer.", "Zet JavaScript aan in je browser om deze pagina te zien.", "Per continuare è necessario abilitare JavaScript.",
+    ],
+    "filler": [
+        "Enter your headline here", "This is a sample page.", "Placeholder text for the heading", "Replace this text with your own words.", "Blah blah blah", "Write your company description here.", "Dummy title", "Lorem ipsum dolor amet", "TBD",
+        "Texto de relleno para la página", "Inserte aquí su título", "Platzhaltertext", "Geben Sie hier Ihren Text ein", "Mustertext für die Überschrift", "Écrivez votre texte ici", "Texte de remplissage", "Voer hier uw tekst in", "Untitled draft page",
+    ],
+}
+#: Titles and descriptions about such things.
+CONTENT = [
+    "Why a 404 page needs a search box and three good links", "How we cut server errors by half during the sale", "A history of the captcha and its many critics", "Cookies with oats and dark chocolate", "What the placeholder attribute does in forms", "Maintenance windows for small clinics",
+    "JavaScript frameworks compared by bundle size", "Lorem ipsum: where the text comes from", "Ten mistakes in error messages and how to write better ones", "Session length and bounce rate in online banking", "Access control lists for hospital networks", "The forbidden city in winter",
+    "Denied boarding: what travellers can claim", "Gone fishing: a week on the Tay", "The missing link between rainfall and yield", "Broken bridges of the old railway", "Permission marketing after twenty years", "How to renew an expired passport", "Unexpected guests: dinner in thirty minutes",
+    "Service roads of the northern harbour", "Los errores más comunes al podar un olivo", "Por qué caducan las cookies de sesión y qué hacer", "Mantenimiento de bicicletas de carga", "Fehlerkultur in Krankenhäusern", "Warum Wartung billiger ist als Reparatur", "Die verbotene Stadt im Schnee",
+    "Erreurs de traduction dans les modes d'emploi", "Comment fonctionne la maintenance d'un tramway", "Les cookies du goûter, recette de famille", "Robots in the orchard: picking without people", "Please and thank you: manners across Europe", "The page that changed cartography", "Retry queues in message brokers", "Testing hypotheses with small samples",
+    "Sample sizes for clinical trials", "A title for every lord: ranks explained", "Text and image in medieval books", "Click beetles of the upper meadow", "Hello from the lighthouse keeper", "New pages of an old diary",
+]

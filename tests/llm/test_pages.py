@@ -180,3 +180,14 @@ def test_hot_site_and_missing_hosts(spark):
     rows = [{"page_id": i, "final_url": "https://hot.test/%d" % i if i % 3 else None, "body": f"Zorvel\nThe text of page {'x' * i} is here and it is not the same as any other one of them all.\nEnd mark"} for i in range(60)]
     got = {(r.page_id, r.line_no) for r in boilerplate_lines(pages(spark, rows)).collect()}
     assert {p for p, i in got if i == 2} >= {i for i in range(60) if i % 3} and not any(i == 1 for _, i in got)
+
+
+def test_residue_of_held_out_messages():
+    from heldout import CONTENT, MESSAGES
+
+    said = [(kind, m) for kind, ms in MESSAGES.items() for m in ms]
+    right = sum(short_field(m, False) == kind for kind, m in said)
+    assert right >= 0.9 * len(said)
+    assert sum(short_field(m, True) != "" for m in CONTENT) <= 0.05 * len(CONTENT)
+    nav, foot = "Trails | Huts | Maps | Weather\n\nA heading\n", "\n© 2024 Fellhiker"
+    assert sum(body_field(nav + m + foot) == kind for kind, m in said if len(m.split()) >= 4) >= 0.9 * sum(len(m.split()) >= 4 for _, m in said)

@@ -75,20 +75,25 @@ _COUNT = re.compile(r"\s*\(\d+\)$")
 _SPLIT = re.compile(r"\s*(?:\s{2,}|\t|\||·|•|/|›|»|>|–|—)\s*")
 _CELLS = re.compile(r"\t|;|\||\s{2,}|,(?=\S)")
 _CODE = re.compile(r"[{}()=<>\[\];]")
-_PARTED = re.compile(r"[\t;|]|\s{2}|,\S")
+_COMMA = re.compile(r",\S")
 _RULE = re.compile(r"^[|\s:+-]{3,}$")
 _BULLET = re.compile(r"^(?:[-–—•*·»›▪◦+]|\d{1,3}[.)]|[a-z][.)])\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_ENDS = re.compile(r"[.!?…:][\"'”»)\]]*$")
 _STOPS = re.compile(r"[.!?…][\"'”»)\]]*(?:\s|$)")
 _CRUMB = re.compile(r"^(?:[-–]|[\wÀ-ÿ][\wÀ-ÿ' -]{0,24})\s(?P<s>>|›|/|»|::)\s\S")
-_SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
+_DIGITS = re.compile(r"\d+")
+#: Signs that end a sentence or announce what follows, and those that may stand behind them.
+ENDINGS, CLOSERS = (".", "!", "?", "…", ":"), "\"'”»)]"
 
 
 def form_of(line: str, brand: str) -> str:
     """What two lines of a site must share to be one line: lower case, no bullet, no count behind, digit runs
     and the site's own name as one sign each."""
-    low = _COUNT.sub("", _BULLET.sub("", _SPACE.sub(" ", line).strip().lower()))
+    low = " ".join(line.lower().split())
+    if low and not low[0].isalpha() or low[1:2] in (".", ")"):
+        low = _BULLET.sub("", low)
+    if low.endswith(")"):
+        low = _COUNT.sub("", low)
     if brand:
         low = low.replace(brand, "§")
     return _DIGITS.sub("#", low)
@@ -110,7 +115,7 @@ def form_key(line: str, brand: str) -> int:
 
 def is_row(line: str) -> bool:
     """Whether a line is a row of cells: a rule, or three or more cells of which one has a digit or sign alone."""
-    if not _PARTED.search(line):
+    if not ("|" in line or ";" in line or "\t" in line or "  " in line or _COMMA.search(line)):
         return False
     if _RULE.match(line) and line.count("|") >= 2:
         return True
@@ -146,7 +151,7 @@ def link_density(low: str) -> float:
 def is_crumb(line: str) -> bool:
     """Short sections with one separator throughout, then the place of the page; no end of a sentence."""
     m = _CRUMB.match(line)
-    if not m or _ENDS.search(line):
+    if not m or line.rstrip(CLOSERS).endswith(ENDINGS):
         return False
     items = [x.strip() for x in line.split(f" {m['s']} ")]
     return len(items) >= (2 if m["s"] in ">›" else 3) and all(len(x.split()) <= 3 and len(x) <= 30 for x in items[:-1])
@@ -176,8 +181,8 @@ def first_pass(line: str, repeated: bool) -> int:
     low = line.lower()
     words = _WORD.findall(low)
     n = len(words)
-    prose = n >= 9 and sum(w in ALL_STOP for w in words) >= PROSE_DENSITY * n
-    ends = bool(_ENDS.search(line))
+    prose = n >= 9 and sum(map(ALL_STOP.__contains__, words)) >= PROSE_DENSITY * n
+    ends = line.rstrip(CLOSERS).endswith(ENDINGS)
     if not (prose and ends and n > 14):  # a long sentence has none of these forms
         if is_row(line) or is_code(line):
             return ROW
@@ -196,7 +201,7 @@ def first_pass(line: str, repeated: bool) -> int:
             return LINKS
         if n <= 6 and not line.endswith(".") and _ACTION.search(low):
             return SAID
-    if _COOKIE.search(low) and len(_SELF.findall(low)) >= 0.05 * n:
+    if "cookie" in low and _COOKIE.search(low) and len(_SELF.findall(low)) >= 0.05 * n:
         return NEAR  # a notice about the site's own cookies is content only among content
     if prose:
         if ends:
@@ -271,7 +276,7 @@ def boxes(lines: list[str], labels: list[int], head: int | None) -> None:
     n, i = len(labels), 0
     while i < n:
         bulleted = lambda k: k < n and labels[k] in (SHORT, NEAR) and bool(_BULLET.match(lines[k])) and not lines[k][0].isdigit()
-        if labels[i] == BOX or (labels[i] == SAID and bulleted(i + 1) and bulleted(i + 2) and not _ENDS.search(lines[i])):
+        if labels[i] == BOX or (labels[i] == SAID and bulleted(i + 1) and bulleted(i + 2) and not lines[i].rstrip(CLOSERS).endswith(ENDINGS)):
             labels[i] = BAD
             i += 1
             while i < n and i != head and (labels[i] in (SHORT, LABEL, SAID) or (labels[i] in (NEAR, GOOD) and bool(_BULLET.match(lines[i])) and not _STOPS.search(lines[i]))):
@@ -339,7 +344,7 @@ def message(lines: list[str], labels: list[int], head: int | None) -> None:
         return
     at = head + 1 if head is not None else next((i for i, x in enumerate(labels) if x in (BAD, META)), -1) + 1
     while at < len(labels) and labels[at] not in ((NEAR, SHORT) if head is not None else (NEAR,)):
-        if head is not None and labels[at] == BAD and not _ENDS.search(lines[at]):
+        if head is not None and labels[at] == BAD and not lines[at].rstrip(CLOSERS).endswith(ENDINGS):
             return
         at += 1
     while at < len(labels) and labels[at] in (NEAR, SHORT):

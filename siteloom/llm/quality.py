@@ -11,8 +11,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from operator import mul
 
-from siteloom.llm.blocks import _BULLET, _COUNT, _WORD, ALL_STOP, GOOD, STOP_WORDS, is_row
+from siteloom.llm.blocks import _BULLET, _COUNT, _WORD, ALL_STOP, CLOSERS, ENDINGS, GOOD, STOP_WORDS, is_row
 
 #: The statistics of the distance, in the order of its vectors.
 STATS = ("log_words", "word_length", "symbol_share", "punct_share", "common_share", "line_words", "cell_share", "digit_share")
@@ -31,46 +33,52 @@ LEAST_SPREAD = (0.1, 0.1, 0.004, 0.05, 0.02, 0.1, 0.02, 0.01)
 NOISE = ((1, 0, 0), (0, 6, 0), (0, 0.02, 0), (0, 0, 0.2), (0, 0.23, 0), (0, 0, 1), (0, 0, 0), (0, 0.02, 0))
 LONGEST_WORD = 40.0
 
-_SENTENCE_END = re.compile(r"[.!?…][\"'”»)\]]*$")
 #: Symbols, without the marks that part cells; cells are a statistic of their own.
 _SYMBOL = re.compile(r"[^\w\s|;,]")
 _RUN, _DIGIT = re.compile(r"\w+"), re.compile(r"\d")
 
 
-def language(counts: dict[str, int]) -> str:
-    """The language whose common words are most frequent among counted words, '' if none is."""
-    best, most = "", 0
-    for name, stop in STOP_WORDS.items():
-        n = sum(map(counts.get, stop & counts.keys()))
-        if n > most:
-            best, most = name, n
-    return best if most >= max(2, 0.08 * sum(counts.values())) else ""
+@lru_cache(maxsize=200_000)
+def _token(token: str) -> tuple[int, ...]:
+    """Of a token in lower case: words, runs of letters and digits, their characters, symbols, digits, common words, and common words of each language."""
+    words, runs = _WORD.findall(token), _RUN.findall(token)
+    return (
+        len(words), len(runs), sum(map(len, runs)), len(_SYMBOL.findall(token)), len(_DIGIT.findall(token)), sum(w in ALL_STOP for w in words), *(sum(w in stop for w in words) for stop in STOP_WORDS.values()),
+    )
+
+
+def is_sentence(line: str) -> bool:
+    """Whether a line ends as sentences do."""
+    return line.rstrip(CLOSERS).endswith(ENDINGS[:-1])
 
 
 def page_stats(lines: list[str], labels: list[int]) -> tuple[str, list[float], int, int]:
     """Language, statistics in the order of ``STATS``, and the numbers of words and lines they rest on (1 at least).
 
     An own headline and one leading sentence are set aside; bullets and counts at a line's end aren't read as
-    symbols. A page without main part has zeros.
+    symbols. The language is the one whose common words are most frequent, '' if they are rare. A page
+    without main part has zeros.
     """
     main = [line for line, label in zip(lines, labels) if label == GOOD]
-    if len(main) > 1 and len(main[0]) <= 140 and not _SENTENCE_END.search(main[0]) and not is_row(main[0]):
+    if len(main) > 1 and len(main[0]) <= 140 and not is_sentence(main[0]) and not is_row(main[0]):
         main = main[1:]
-    if len(main) > 2 and _SENTENCE_END.search(main[0]) and len(main[0]) <= 400:
+    if len(main) > 2 and is_sentence(main[0]) and len(main[0]) <= 400:
         main = main[1:]
-    text = "\n".join([_COUNT.sub("", _BULLET.sub("", x)) for x in main])
-    low = text.lower()
-    counts = Counter(_WORD.findall(low))
-    runs = _RUN.findall(low)
-    size, n, m = max(1, len(text)), max(1, len(runs)), max(1, len(main))
+    text = "\n".join([_COUNT.sub("", _BULLET.sub("", x)) if not x[0].isalpha() or x[-1] == ")" else x for x in main])
+    tokens = Counter(text.lower().split())
+    many = list(tokens.values())
+    words, runs, run_chars, symbols, digits, common, *by_lang = [sum(map(mul, column, many)) for column in zip(*map(_token, tokens))] or [0] * (6 + len(STOP_WORDS))
+    size, n, m = max(1, len(text)), max(1, runs), max(1, len(main))
     stats = [
-        math.log2(1 + sum(counts.values())),
-        min(LONGEST_WORD, sum(map(len, runs)) / n),
-        len(_SYMBOL.findall(text)) / size,
-        sum(bool(_SENTENCE_END.search(x)) for x in main) / m,
-        sum(map(counts.get, ALL_STOP & counts.keys())) / n,
-        math.log2(1 + len(runs) / m),
-        sum(len(x) for x in main if is_row(x)) / max(1, sum(map(len, main))),
-        len(_DIGIT.findall(text)) / size,
+        math.log2(1 + words),
+        min(LONGEST_WORD, run_chars / n),
+        symbols / size,
+        sum(map(is_sentence, main)) / m,
+        common / n,
+        math.log2(1 + runs / m),
+        sum([len(x) for x in main if is_row(x)]) / max(1, sum(map(len, main))),
+        digits / size,
     ]
-    return language(counts), stats, n, m
+    most = max(by_lang)
+    lang = list(STOP_WORDS)[by_lang.index(most)] if most and most >= max(2, 0.08 * words) else ""
+    return lang, stats, n, m

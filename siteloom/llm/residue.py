@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import lru_cache
+from operator import mul
 
 import ahocorasick
 
@@ -159,11 +160,11 @@ def coverage(text: str) -> tuple[float, str]:
 
     Stop words, and words with digits, slashes or dots inside (paths, hosts, identifiers), count neither way.
     """
-    low = normal(text)
-    tokens = Counter(low.split())
     # what no part can match bounds the share from above, so most texts end here
-    if sum([n * outside(t) for t, n in tokens.items()]) > (1 - COVERAGE) * sum([n * letters(t) for t, n in tokens.items()]):
+    tokens = Counter(text.lower().split())
+    if sum(map(mul, map(outside, tokens), tokens.values())) > (1 - COVERAGE) * sum(map(mul, map(len, tokens), tokens.values())):
         return 0.0, ""
+    low = normal(text)
     found = matches(low)
     if len(found.get("latin", ())) >= 4:
         found.setdefault("filler", []).extend(found["latin"])
@@ -211,8 +212,9 @@ def vocabulary() -> tuple[frozenset[str], tuple[str, ...]]:
 
 @lru_cache(maxsize=100_000)
 def outside(token: str) -> int:
-    """The weight of a token that no part can match."""
+    """The weight of a token in lower case that no part can match."""
     words, stems = vocabulary()
+    token = _DIGITS.sub("#", token.replace("’", "'"))
     return 0 if any(p in words or p.startswith(stems) for p in _PIECE.findall(token)) else weight(token)
 
 

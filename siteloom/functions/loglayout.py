@@ -1,12 +1,13 @@
 """Layouts of log lines, found by a fixed-depth template tree.
 
-A line's head is cut into tokens whose variable parts are masked (``<ts>``, ``<ip>``,
-``<num>``, ``<lvl>``, ``<word>``, ``<str>``, ``<key>``); what follows the head is message. The
-tree routes a masked head by its number of tokens, then by its leading tokens, to a leaf. A
-leaf holds templates; a head similar enough to one is merged into it, and positions that
-differ become ``<*>``. Heads of common layouts (``_LAYOUTS``) are mapped to fields by their masks. Any other
-head takes the mapping of its template, mined from the heads of all lines (``mined_plans``), so the
-mapping never depends on the order in which lines arrive.
+A line's head is cut into tokens whose variable parts are masked (``<ts>``, ``<ip>``, ``<num>``,
+``<lvl>``, ``<word>``, ``<str>``, ``<key>``); spaces are no tokens, a token only remembers whether
+one stands before it. The head ends where free text begins: at three words in a row, or at two
+that aren't followed by a bracket or colon. The tree routes a head by its number of tokens, then by
+its leading tokens, to a leaf. A leaf holds templates; a head similar enough to one is merged into
+it, and positions that differ become ``<*>``. A template's positions are mapped to fields once
+(``template_plan``) from the tokens that all its heads have there, and every line is read by the
+positions of its template. No layout is listed; JSON and key=value lines name their fields themselves.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import json
 import re
 from collections.abc import Callable, Iterable
 
-#: Tokens of a head.
-HEAD_TOKENS = 12
+#: Tokens of a head at most; free text begins long before in any common layout.
+HEAD_TOKENS = 24
 #: Leading tokens that route a head below its token count.
 TREE_DEPTH = 4
 #: Share of equal positions from which two heads share a template.
@@ -65,35 +66,80 @@ _TOKEN = re.compile(
 )
 
 
-def head_tokens(line: str, most: int = HEAD_TOKENS) -> list[tuple[str, int, int]]:
-    """(mask, start, end) of up to ``most`` leading tokens of a line."""
-    out: list[tuple[str, int, int]] = []
+Token = tuple[str, int, int]  # mask, start, end
+_WORDS = ("<word>", "<word.lvl>")
+_OPEN, _CLOSE = ("[", "(", "{", "<"), ("]", ")", "}", ">")
+#: Signs that part cells where one follows a leading stamp at once.
+_CELL_SIGNS = "|;\t"
+_PATH = re.compile(r"^(?:/|[a-z][a-z0-9+.-]*://)")
+
+
+def head_tokens(line: str, most: int = HEAD_TOKENS) -> list[Token]:
+    """(mask, start, end) of the tokens of a line's head. A mask begins with a space where one stands before the token."""
+    out: list[Token] = []
+    gap, run = "", 0
     for m in _TOKEN.finditer(line):
         kind = m.lastgroup
+        if kind == "gap":
+            gap = " "
+            continue
         if kind == "ver":
-            out.append(("<pri>", m.start(), m.end("pri")))
-            out.append(("1 ", m.start("ver"), m.end()))
+            out += [("<pri>", m.start(), m.end("pri")), ("1", m.start("ver"), m.end("ver") - 1)]
+            gap = " "
             continue
-        if kind == "gap":
-            mask = " "
-        elif kind == "mark":
-            mask = m.group()
+        text = m.group()
+        if kind == "mark":
+            mask = text
         elif kind == "word":
-            word = m.group()
-            if word.lower() in LEVELS and (len(word) > 1 or word.isupper()):
+            tail = text.rpartition(".")[2].lower()
+            if text.lower() in LEVELS and (len(text) > 1 or text.isupper()):
                 mask = "<lvl>"
-            elif word.rpartition(".")[2].lower() in LEVELS and len(word.rpartition(".")[2]) > 1 and "." in word:
+            elif "." in text and tail in LEVELS and len(tail) > 1:
                 mask = "<word.lvl>"
-            elif word == "-":
-                mask = "-"
             else:
-                mask = "<word>"
-        elif kind in ("glog", "epoch"):
-            mask = "<glog>" if kind == "glog" else "<ts>"
+                mask = "-" if text == "-" else "<word>"
+        else:
+            mask = "<ts>" if kind == "epoch" else f"<{kind}>"
+        if mask in _WORDS:
+            run += 1
+        else:
+            if run == 2 and mask not in ("[", ":") and out[0][0] != "<pri>":
+                return out[:-2]
+            run = 0
+        if not out and mask == "<ts>" and line[m.end() : m.end() + 1] in _CELL_SIGNS and m.end() < len(line):
+            return cell_tokens(line, line[m.end()])
+        out.append((gap + mask, m.start(), m.end()))
+        if run == 3:
+            return out[:-3]
+        gap = ""
+        if len(out) >= most or (len(out) == 1 and mask in ("{", "<key>")):
+            break
+    return out[:-2] if run == 2 and out[0][0] != "<pri>" else out
+
+
+def cell_tokens(line: str, sign: str) -> list[Token]:
+    """The cells of a line up to the first with free text, after a token that names their sign."""
+    out: list[Token] = [(f"cells{sign}", 0, 0)]
+    at = 0
+    for cell in line.split(sign):
+        text = cell.strip()
+        if text in ("", "-"):
+            mask = "-"
+        elif text.lower() in LEVELS:
+            mask = "<lvl>"
+        elif text.isdigit():
+            mask = "<ts>" if len(out) == 1 else "<num>"
+        elif _STAMP_ALL.match(text):
+            mask = "<ts>"
+        elif _PATH.match(text):
+            mask = "<path>"
+        elif " " not in text:
+            mask = "<word>"
         else:
-            mask = f"<{kind}>"
-        out.append((mask, m.start(), m.end()))
-        if len(out) >= most:
+            break
+        out.append((mask, at, at + len(cell)))
+        at += len(cell) + 1
+        if len(out) >= HEAD_TOKENS:
             break
     return out
 
@@ -124,16 +170,15 @@ class TemplateTree:
         at[2] = min(x for x in (at[2], example) if x) if at[2] or example else ""
         return at
 
-    def templates(self) -> Iterable[tuple[str, int, str]]:
+    def templates(self) -> Iterable[tuple[list[str], int, str]]:
         for leaf in self.leaves.values():
             for masks, n, example in leaf:
-                yield " ".join(masks), n, example
+                yield masks, n, example
 
 
 Fields = tuple[str, str, str, str, int, str]  # stamp, level, component, url, status, user agent
 
 _REQUEST = re.compile(r"^([A-Z]+) (.*?)(?: (?:HTTP/[\d.]+))?$", re.DOTALL)
-_ACCESS = re.compile(r'^(\S+) (\S+) (\S.*?|-) \[([^\]]+)\] "((?:[^"\\]|\\.)*)" (\d{3}|-) (\d+|-)(?: "((?:[^"\\]|\\.)*)" "((?:[^"\\]|\\.)*)")?')
 _PAIR = re.compile(r'([A-Za-z_@][\w.@-]*)=("(?:[^"\\]|\\.)*"|[^\s"]*)')
 _TAIL = re.compile(r'(?:^|\s)url=("(?:[^"\\]|\\.)*"|.*?)(?=\s+[A-Za-z_]+=|\s*$)')
 _TAIL_STATUS = re.compile(r'(?:^|\s)status="?(\d{3})"?(?!\S)')
@@ -200,15 +245,6 @@ def _json_fields(line: str) -> Fields | None:
     )
 
 
-def _access_fields(line: str) -> Fields | None:
-    m = _ACCESS.match(line)
-    if not m:
-        return None
-    request = _REQUEST.match(m[5])
-    url = request[2] if request else m[5]
-    return m[4], "", "", _text(_unescape(url)), _status(m[6]), _text(_unescape(m[9] or ""))
-
-
 def _unescape(value: str) -> str:
     return re.sub(r'\\(["\\])', r"\1", value)
 
@@ -221,7 +257,7 @@ def _tail(message: str) -> tuple[str, int, str]:
     return _text(_unquote(url[1])) if url else "", int(status[1]) if status else -1, _text(_unquote(agent[1])) if agent else ""
 
 
-def _logfmt_fields(line: str) -> Fields | None:
+def _pair_fields(line: str) -> Fields | None:
     pairs: dict[str, str] = {}
     for k, v in _PAIR.findall(line):
         pairs.setdefault(k, _unquote(v))
@@ -232,151 +268,177 @@ def _logfmt_fields(line: str) -> Fields | None:
     return str(stamp), level_of(_first(LEVEL_KEYS, pairs)), _text(_first(COMPONENT_KEYS, pairs)), _text(_unquote(url[1])) if url else "", _status(_first(STATUS_KEYS, pairs)), _text(_first(AGENT_KEYS, pairs))
 
 
-#: A head's masks, joined, and the positions of the fields in it. Groups: s stamp, l level, c component; e ends the head.
-_LAYOUTS = (
-    r"(?P<s><ts>)\|(?P<l><lvl>|<num>|<word>)\|(?P<c>[^|]*)\|(?P<pipe>)",
-    r"\[(?P<s><ts>)\] ?(?P<cl><word\.lvl>):(?P<e>)",
-    r"\[(?P<s><ts>)\] \[(?P<c><word>|<word\.lvl>):(?P<l><lvl>)\](?: \[<word> <num>\])?(?P<e>)",
-    r"(?P<g><glog>) <num> (?P<c><word>|<word\.lvl>|<lvl>):<num>\](?P<e>)",
-    r"\[?(?P<s><ts>)\]? \[<word>\] (?P<l><lvl>|<num>) (?P<c><word>|<word\.lvl>) -(?P<e>)",
-    r"\[?(?P<s><ts>)\]? (?P<l><lvl>|<num>) \[(?P<c><word>|<word\.lvl>|<lvl>)\](?P<e>)",
-    r"\[?(?P<s><ts>)\]? \[?(?P<l><lvl>)\]? (?P<c><word>|<word\.lvl>)(?: -|:)(?P<e>)",
-    r"\[?(?P<s><ts>)\]? \[?(?P<l><lvl>)\]?:?(?P<e>)",
-    r"(?P<p><pri>)1 (?P<s><ts>) <word> (?P<c><word>|<word\.lvl>|<lvl>) (?P<e>)",
-    r"(?P<p><pri>)(?P<s><ts>) <word> (?P<c><word>|<word\.lvl>|<lvl>)(?:\[<num>\])?:(?P<e>)",
-)
-_COMPILED = tuple(map(re.compile, _LAYOUTS))
-
-
-def plan_of(masks: tuple[str, ...]) -> dict[str, int] | None:
-    """The index of each field's token in a masked head, or None where the head is none of a log entry."""
-    if masks and masks[0] == "{":
-        return {"json": 0}
-    if "<ip>" in masks[:1] or (masks[:1] in (("-",), ("<word>",)) and "[" in masks and "<ts>" in masks):
-        return {"access": 0}
-    if masks and masks[0] == "<key>":
-        return {"logfmt": 0}
-    starts, joined = [], ""
-    for mask in masks:
-        starts.append(len(joined))
-        joined += mask
-    for layout in _COMPILED:
-        m = layout.match(joined)
-        if m:
-            return {k: starts.index(v) if (v := m.start(k)) in starts else len(starts) for k, at in m.groupdict().items() if at is not None and m.start(k) >= 0}
-    return None
-
-
-#: Masks of tokens that a template may have before its stamp. Words aren't among them: text that goes on may hold a stamp.
-_BEFORE = frozenset({"[", "(", "|", "-", "*", "#", " ", "<lvl>", "<num>", "<pri>", "1 "})
-_WORDS = ("<word>", "<word.lvl>")
+#: Masks of tokens that may stand before a leading stamp. Words aren't among them: text that goes on may hold a stamp.
+_BEFORE = frozenset({"[", "(", "{", "<", "|", "-", "*", "#", "<lvl>", "<num>", "<pri>", "1"})
 
 
 def stamp_at(masks: tuple[str, ...]) -> int | None:
-    """The index of the stamp among the leading tokens, which are the same in all heads of a leaf; None if it can't start an entry."""
-    for i, mask in enumerate(masks[:TREE_DEPTH]):
-        if mask in ("<ts>", "<glog>"):
+    """The index of the stamp that makes a head the start of an entry, None if it has none: among the leading tokens
+    behind nothing but signs, numbers and levels; or, in brackets before a quoted request, behind a client's address and user."""
+    kinds = [m.lstrip() for m in masks[:9]]
+    if kinds[:1] and kinds[0].startswith("cells"):
+        return 1
+    for i, kind in enumerate(kinds[:TREE_DEPTH]):
+        if kind in ("<ts>", "<glog>"):
             return i if i + 1 < len(masks) else None
-        if mask not in _BEFORE or (mask == " " and i == 0):
-            return None
+        if kind not in _BEFORE:
+            break
+    for i in range(3, len(kinds) - 2):
+        if kinds[i] in ("<ts>",) and kinds[i - 1] == "[" and kinds[i + 1 : i + 3] == ["]", "<str>"] and kinds[0] in ("<ip>", "-", "<word>"):
+            return i
     return None
 
 
 def template_plan(heads: list[tuple[tuple[str, ...], int]]) -> dict[str, int] | None:
     """The positions of the fields in a template, from the masked heads merged into it and their numbers.
 
-    If the layout of some is known, that of the most lines is taken. Otherwise a position belongs to the
-    level or component where most lines have such a token: a level at most two words behind the stamp, a
-    component set off by brackets, bars, dashes or a colon.
+    Keys: s stamp, g stamp with a level's letter before it, l level, cl component and level in one word, c
+    component, p priority, r quoted request, t status, a user agent, u url, e end of the head. A position
+    belongs to a field where most heads have such a token. The level stands at most two words behind the
+    stamp. Where a host may be named, behind a priority or before a tag with a process number, the component is the
+    word after the host; else it is what stands beside the level in its brackets, then what is set off
+    behind the level by brackets, a dash or colon, then what is set off anywhere so.
     """
-    known: dict[tuple, int] = {}
-    for masks, n in heads:
-        if plan := plan_of(masks):
-            known[tuple(sorted(plan.items()))] = known.get(tuple(sorted(plan.items())), 0) + n
-    if known:
-        return dict(max(known.items(), key=lambda x: (x[1], x[0]))[0])
-    first = heads[0][0]
-    stamp = stamp_at(first)
+    first = [m.lstrip() for m in heads[0][0]]
+    if first[:1] in (["{"], ["<key>"]):
+        return {"json" if first[0] == "{" else "pairs": 0}
+    stamp = stamp_at(heads[0][0])
     if stamp is None:
         return None
-    total = sum(n for _, n in heads)
-    most = lambda i, kinds: 2 * sum(n for masks, n in heads if masks[i] in kinds) > total
-    plan, words = {"g" if first[stamp] == "<glog>" else "s": stamp}, 0
+    total, n = sum(k for _, k in heads), len(first)
+    kinds = [[(masks[i].lstrip(), masks[i][:1] == " ", k) for masks, k in heads] for i in range(n)]
+    most = lambda i, wanted, glued=None: 0 <= i < n and 2 * sum(k for kind, gap, k in kinds[i] if kind in wanted and (glued is None or gap != glued)) > total
+    if first[0].startswith("cells"):
+        plan = {"s": 1, "cells": 0}
+        free = [i for i in range(2, n)]
+        level = next((i for i in free if most(i, ("<lvl>",))), 2 if most(2, ("<num>", "<word>")) else None)
+        if level is not None:
+            plan["l"] = level
+        component = next((i for i in free if i > (level or 1) and most(i, (*_WORDS, "<lvl>"))), None)
+        if component is not None:
+            plan["c"] = component
+        url = next((i for i in free if any(kind == "<path>" for kind, _, _ in kinds[i])), None)
+        if url is not None:
+            plan["u"] = url
+            if url + 1 < n:
+                plan["t"] = url + 1
+        plan["e"] = max(i for i in plan.values()) + 1
+        return plan
+    if first[stamp + 1 : stamp + 3] == ["]", "<str>"] and stamp >= 3:
+        plan = {"s": stamp, "r": stamp + 2, "t": stamp + 3}
+        if not most(stamp + 3, ("<num>", "-")) or not most(stamp + 4, ("<num>", "-")):
+            return None
+        if most(stamp + 5, ("<str>",)) and most(stamp + 6, ("<str>",)):
+            plan["a"] = stamp + 6
+        return plan
+    plan = {"g" if first[stamp] == "<glog>" else "s": stamp}
     if first[0] == "<pri>":
         plan["p"] = 0
-    for i in range(len(first)):
-        if i != stamp and "l" not in plan and words <= 2 and most(i, ("<lvl>",)):
+    behind = stamp + 1 + (stamp > 0 and most(stamp - 1, _OPEN) and most(stamp + 1, _CLOSE))
+    some = (*_WORDS, "<lvl>")
+    # level: a number at once behind the stamp, before a bracketed word, or a level's name
+    if most(behind, ("<num>",)) and most(behind + 1, _OPEN) and most(behind + 2, some) and most(behind + 3, _CLOSE):
+        plan["l"] = behind
+    words = 0
+    for i in range(n):
+        if "g" in plan or "p" in plan or "l" in plan or words > 2:
+            break
+        if i > stamp and most(i - 3, _WORDS) and most(i - 2, ("[",), True) and most(i - 1, ("<num>",)) and most(i, ("]",)):
+            break  # behind a tag with a process number stands the message
+        if i == behind and most(i, ("<word.lvl>",)) and most(i + 1, (":",), True):
+            plan |= {"cl": i}
+            break
+        if i != stamp and most(i, ("<lvl>",)):
             plan["l"] = i
-        elif i > stamp and most(i, _WORDS):
-            words += 1
-            before = most(i - 1, ("[", "(", "|")) or (i >= 2 and most(i - 1, (" ",)) and most(i - 2, ("-", "|")))
-            after = i + 1 < len(first) and (most(i + 1, ("]", ")", "|", ":", "[")) or (i + 2 < len(first) and most(i + 1, (" ",)) and most(i + 2, ("-", "|"))))
-            colon = i + 1 < len(first) and most(i + 1, (":", "["))
-            if "c" not in plan and words <= 3 and after and (before or colon):
+        elif i > stamp:
+            words += most(i, _WORDS)
+    if not {"g", "p", "l", "cl"} & plan.keys() and most(behind, ("<num>",)) and (most(behind + 1, ("[", *_WORDS, "-", ":"))):
+        plan["l"] = behind
+    level = plan.get("l", -1)
+    # component
+    set_off = lambda i, kinds=_WORDS: most(i, kinds) and (
+        (most(i - 1, _OPEN) and most(i + 1, _CLOSE))
+        or most(i + 1, (":",), True)
+        or (most(i + 1, ("-", "|"), False) and i + 2 < n + 1)
+        or (most(i + 1, ("[",), True) and most(i + 2, ("<num>",)) and most(i + 3, ("]",)))
+    )
+    if "cl" in plan:
+        pass
+    elif "p" in plan:
+        if most(behind + 1, some):
+            plan["c"] = behind + 1
+    elif level >= 0 and most(level - 1, (":",)) and most(level - 2, _WORDS) and level - 2 > stamp:
+        plan["c"] = level - 2
+    elif most(behind, _WORDS) and most(behind + 1, _WORDS) and set_off(behind + 1):
+        plan["c"] = behind + 1
+    elif level > stamp and ((most(level + 1, _OPEN) and set_off(level + 2, some)) or (most(level + 1, (*_CLOSE, "-", ":", "|")) and set_off(level + 2)) or set_off(level + 1)):
+        plan["c"] = level + 1 if most(level + 1, _WORDS) else level + 2
+    elif level > stamp and most(level + 1, _CLOSE) and most(level + 2, _OPEN) and set_off(level + 3, some):
+        plan["c"] = level + 3
+    else:
+        seen = 0
+        for i in range(stamp + 1, n):
+            seen += most(i, _WORDS)
+            if i != level and seen <= 3 and set_off(i):
                 plan["c"] = i
+                break
     plan["e"] = max(plan.values()) + 1
     return plan
 
 
 def mined_plans(heads: Iterable[tuple[tuple[str, ...], int]]) -> dict[tuple[str, ...], dict[str, int]]:
-    """The plan of each head of unknown layout that starts an entry, from the tree of all heads; their order doesn't matter."""
+    """The plan of each head that starts an entry, from the template the tree merged it into; the order of heads doesn't matter."""
     tree, merged = TemplateTree(), {}
     for masks, n in sorted(heads, key=lambda h: (-h[1], h[0])):
-        template = tree.add(masks, n)
-        merged.setdefault(id(template), []).append((masks, n))
+        merged.setdefault(id(tree.add(masks, n)), []).append((masks, n))
     out = {}
     for members in merged.values():
-        unknown = [masks for masks, _ in members if plan_of(masks) is None]
-        if unknown and (plan := template_plan(members)):
-            out |= dict.fromkeys(unknown, plan)
+        if plan := template_plan(members):
+            out |= dict.fromkeys((masks for masks, _ in members), plan)
     return out
 
 
 class LineParser:
-    """Lines to fields. Heads seen before take the positions found for them, heads of unknown layout those of ``mined``."""
+    """Lines to fields by the positions of their templates: those of ``mined``, or, for a head that wasn't mined, of itself alone."""
 
     def __init__(self, mined: dict[tuple[str, ...], dict[str, int]] | None = None) -> None:
-        self.plans: dict[tuple[str, ...], dict[str, int] | None] = {}
-        self.mined = mined or {}
+        self.plans: dict[tuple[str, ...], dict[str, int] | None] = dict(mined or {})
 
     def fields(self, line: str) -> Fields | None:
         """The fields of an entry's first line, None for any other line."""
         line = line.rstrip("\r\n")
         tokens = head_tokens(line)
-        masks = tuple(t[0] for t in tokens)
+        masks = tuple([t[0] for t in tokens])
         if masks in self.plans:
             plan = self.plans[masks]
         else:
-            plan = plan_of(masks) or self.mined.get(masks)
+            plan = template_plan([(masks, 1)])
             if len(self.plans) < 50_000:
                 self.plans[masks] = plan
         if plan is None:
             return None
         if "json" in plan:
             return ("", "", "", "", -1, "") if line.strip() == "{" else _json_fields(line)
-        if "access" in plan:
-            return _access_fields(line)
-        if "logfmt" in plan:
-            return _logfmt_fields(line)
-        at: Callable[[str], str] = lambda k: line[tokens[plan[k]][1] : tokens[plan[k]][2]]
-        if "pipe" in plan:
-            cells = line.split("|", 5)
-            if len(cells) < 6:
-                return None
-            return at("s"), level_of(cells[1]), _text(cells[2].strip()), _text(cells[3].strip()), _status(cells[4]), _tail(cells[5])[2]
-        level, component = level_of(at("l")) if "l" in plan else "", _text(at("c")) if "c" in plan else ""
+        if "pairs" in plan:
+            return _pair_fields(line)
+        at: Callable[[str], str] = lambda k: line[tokens[plan[k]][1] : tokens[plan[k]][2]].strip() if k in plan else ""
+        if "r" in plan:
+            request = at("r")[1:-1]
+            m = _REQUEST.match(request)
+            return at("s"), "", "", _text(_unescape(m[2] if m else request)), _status(at("t")), _text(_unescape(at("a")[1:-1]))
+        level, component, stamp = level_of(at("l")), _text(at("c")), at("s")
         if "cl" in plan:
             component, _, name = at("cl").rpartition(".")
             level = level_of(name)
         if "p" in plan:
             level = SEVERITIES[int(at("p").strip("<>")) % 8]
-        stamp = at("s") if "s" in plan else ""
         if "g" in plan:
             level, stamp = level_of(at("g")[0]), at("g")[1:]
-        if masks in self.mined and not level and re.fullmatch(r"[\d.]+", stamp):
+        if not level and re.fullmatch(r"[\d.]+", stamp):
             return None  # a number alone is no stamp
-        end = tokens[plan["e"]][1] if "e" in plan and plan["e"] < len(tokens) else tokens[-1][2]
-        url, status, agent = _tail(line[end:])
+        url, status, agent = _tail(line[tokens[plan["e"]][1] if plan["e"] < len(tokens) else tokens[-1][2] :])
+        if "cells" in plan:
+            url, status = _text(at("u")), _status(at("t"))
         return stamp, level, component, url, status, agent
 
 

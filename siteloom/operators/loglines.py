@@ -86,8 +86,9 @@ def log_entries(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """One row per entry: ``log_file, line_no, n_lines, stamp, log_level, component, url, status, user_agent``.
 
     Input: ``log_file, line_no, raw`` (further columns are ignored). The distinct masked heads that hold a
-    leading stamp are counted first, and the driver mines their templates, which give the fields of heads
-    of unknown layout. Lines are parsed where they are read; only narrow rows are shuffled, once, by (file, block), to order them and drop second
+    stamp are counted first; the driver merges them to templates and maps each template's positions to
+    fields. Heads are masks of at most ``HEAD_TOKENS`` tokens that end before free text, so their number
+    depends on layouts, not on lines. Lines are parsed where they are read; only narrow rows are shuffled, once, by (file, block), to order them and drop second
     shipments. Lines at a block's start that continue an entry of an earlier block are added to
     it by tables of at most one row per block, so a hot file is never ordered in one task. Defined cases: lines without
     file or number are left out; of several lines with the same number the first by content
@@ -141,7 +142,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if line and not BANNER.match(line) and line[0] not in " \t#}":
                 tree.add(tuple(t[0] for t in head_tokens(line)), 1, line[:120])
     found = list(tree.templates())
-    yield pa.RecordBatch.from_arrays([pa.array([t for t, _, _ in found], pa.string()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([e for _, _, e in found], pa.string())], names=["template", "n", "example"])
+    yield pa.RecordBatch.from_arrays([pa.array([t for t, _, _ in found], pa.list_(pa.string())), pa.array([n for _, n, _ in found], pa.int64()), pa.array([e for _, _, e in found], pa.string())], names=["masks", "n", "example"])
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -149,7 +150,7 @@ def _merge(table: pa.Table) -> pa.Table:
     for masks, n, example in sorted(zip(*(table.column(c).to_pylist() for c in ("masks", "n", "example")))):
         tree.add(tuple(masks), n, example)
     found = list(tree.templates())
-    return pa.table({"template": pa.array([t for t, _, _ in found], pa.string()), "n_lines": pa.array([n for _, n, _ in found], pa.int64()), "example": pa.array([e for _, _, e in found], pa.string())})
+    return pa.table({"template": pa.array(["".join(t).strip() for t, _, _ in found], pa.string()), "n_lines": pa.array([n for _, n, _ in found], pa.int64()), "example": pa.array([e for _, _, e in found], pa.string())})
 
 
 def log_templates(lines: DataFrame) -> DataFrame:
@@ -159,8 +160,7 @@ def log_templates(lines: DataFrame) -> DataFrame:
     (token count and leading tokens) are then merged per route. Both sides hold templates, whose number
     is bounded by the layouts, never lines.
     """
-    local = lines.select("raw").mapInArrow(_mine, "template string, n bigint, example string")
-    masks = F.split("template", " (?! )")
-    pooled = local.groupBy("template").agg(F.sum("n").alias("n"), F.min("example").alias("example")).withColumn("masks", masks)
-    route = F.concat_ws(" ", F.size("masks"), F.slice("masks", 1, TemplateTree().depth))
+    local = lines.select("raw").mapInArrow(_mine, "masks array<string>, n bigint, example string")
+    pooled = local.groupBy("masks").agg(F.sum("n").alias("n"), F.min("example").alias("example"))
+    route = F.concat_ws(",", F.size("masks"), F.slice("masks", 1, TemplateTree().depth))
     return pooled.withColumn("route", route).groupBy("route").applyInArrow(_merge, "template string, n_lines bigint, example string")

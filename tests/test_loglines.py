@@ -1,6 +1,6 @@
 import json
 
-from siteloom.functions.loglayout import LineParser, TemplateTree, head_tokens, member
+from siteloom.functions.loglayout import LineParser, TemplateTree, head_tokens, member, mined_plans, template_plan
 from siteloom.operators.loglines import log_entries, log_templates
 
 A = '192.0.2.1 - - [15/Oct/2025:00:49:31 +0000] "GET /a?x=1 HTTP/1.1" 200 60749 "https://h/t" "UA (x; y)"'
@@ -87,3 +87,35 @@ def test_entries_of_unlisted_layouts_take_the_plan_of_their_template(spark):
     }
     assert got == expected
     assert entries(spark, [(i, "h", "f", i + 1, raw, "b", 1, "k") for i, raw in enumerate(file)], block_lines=2) == expected
+
+
+NEW_LAYOUTS = {
+    "(2025-11-07T16:29:25Z) {fetcher} <INFO> rows of the queue were read": ("2025-11-07T16:29:25Z", "INFO", "fetcher", "", -1, ""),
+    "(2025-11-07T16:29:26Z) {store.disk} <CRITICAL> no space was left url=/a status=507": ("2025-11-07T16:29:26Z", "FATAL", "store.disk", "/a", 507, ""),
+    "2025-11-07 16:29:25 | WARN | crawl.queue | stale rows remain in it": ("2025-11-07 16:29:25", "WARN", "crawl.queue", "", -1, ""),
+    "2025-11-07 16:29:27 | ERROR | dns | no answer came back": ("2025-11-07 16:29:27", "ERROR", "dns", "", -1, ""),
+    "07/Nov/2025:16:29:25 +0000;E;web.pool;/x?a=1;502;the pool was empty again": ("07/Nov/2025:16:29:25 +0000", "ERROR", "web.pool", "/x?a=1", 502, ""),
+    "INFO [2025-11-07 16:29:25] mail.sender: the letter was sent away": ("2025-11-07 16:29:25", "INFO", "mail.sender", "", -1, ""),
+    "2025-11-07T16:29:25.001Z DEBUG (worker) the pool grew by 3": ("2025-11-07T16:29:25.001Z", "DEBUG", "worker", "", -1, ""),
+    "Nov  7 16:29:25 gate7 sshd: session was opened for root": ("Nov  7 16:29:25", "", "sshd", "", -1, ""),
+}
+
+
+def test_layouts_that_no_pattern_names(spark):
+    rows = [(i, "h", "f", i + 1, raw, "b", 1, "k") for i, raw in enumerate(NEW_LAYOUTS)]
+    got = entries(spark, rows)
+    assert {raw: got.get(("f", i + 1)) for i, raw in enumerate(NEW_LAYOUTS)} == {raw: (1, *v) for raw, v in NEW_LAYOUTS.items()}
+
+
+def test_fields_come_from_the_template():
+    # alone, the middle word is no level; among its template's heads the position is one
+    heads = [("2025-11-07 16:29:2%d - q - %s - a b c" % (i, w)) for i, w in enumerate(("INFO", "WARN", "ERROR", "AUDIT"))]
+    masks = [tuple(t[0] for t in head_tokens(h)) for h in heads]
+    plans = mined_plans((m, 1) for m in masks)
+    assert len({tuple(sorted(p.items())) for p in plans.values()}) == 1 and "l" in plans[masks[3]]
+    assert "l" not in template_plan([(masks[3], 1)])
+
+
+def test_token_counts_route():
+    counts = {len(head_tokens(x)) for x in LINES}
+    assert len(counts) >= 6 and max(counts) < 24

@@ -44,6 +44,7 @@ _MONTH = (
     "|janvier|février|mars|avril|juin|juillet|août|septembre|octobre|novembre|décembre)"
 )
 _DATE = re.compile(rf"(?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}[./]\d{{1,2}}[./]\d{{2,4}}|\d{{1,2}}(?:\.|st|nd|rd|th)?(?: de)? {_MONTH}\.?,?(?: de)? \d{{4}}|{_MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}})(?:,? \d{{1,2}}:\d{{2}})?")
+_DATE_HINT = re.compile(r"\d{4}|\d[./]\d|\d\s*m")
 _READING = re.compile(r"\d+\s*(?:min\b\.?|minutes?\b|minuten\b|minutos?\b)")
 _NAME = r"[A-ZÀ-Þ][\w'’\-]+(?: (?:[A-ZÀ-Þ]\.|van|von|de|del|la|le|du))*(?: [A-ZÀ-Þ][\w'’\-]+){1,2}"
 #: A byline: at most four words that end in the word for "by" or a colon and then a name, or a name, a comma and one to three words.
@@ -66,13 +67,14 @@ _ACTION = re.compile(
     r"|\b(?:newsletter|your e-?mail|e-?mail address|su correo|boletín|e-?mail-adresse|(?:seite|artikel|link) (?:teilen|kopieren|empfehlen|drucken)|votre (?:e-?mail|adresse)|la lettre)\b"
 )
 _ADVERT = re.compile(r"^[\W_]*(?:advertis\w+|sponsor\w*|promot\w+|publicidad|patrocinado|anzeige|werbung|publicité|annonce)[\W_]*$")
-_RIGHTS = re.compile(r"^(?:©|\(c\)|copyright\b|℗)|\b(?:rights reserved|derechos reservados|rechte vorbehalten|droits réservés)\b")
+_RIGHTS_FIRST, _RIGHTS = ("©", "(c)", "copyright", "℗"), ("rights reserved", "derechos reservados", "rechte vorbehalten", "droits réservés")
 #: An offer: a percentage with the word for a reduction, or for what it is taken off.
 _OFFER = re.compile(r"\d\s?%(?:\s\S+){0,2}\s(?:off|discount|descuento|dto|rabatt|nachlass|remise|réduction)\b")
 _COOKIE = re.compile(r"\b(?:cookies|cookie-\w+)\b")
 _SELF = re.compile(r"\b(?:site|website|page|we|us|you|your|sitio|web|página|usamos|utilizamos|navegar|su|webseite|seite|wir|sie|ihre?n?|nous|vous|votre|vos)\b")
 _COUNT = re.compile(r"\s*\(\d+\)$")
 _SPLIT = re.compile(r"\s*(?:\s{2,}|\t|\||·|•|/|›|»|>|–|—)\s*")
+_PARTING = ("  ", "|", "/", "•", "·", ">", "›", "»", "–", "—", "\t")
 _CELLS = re.compile(r"\t|;|\||\s{2,}|,(?=\S)")
 _CODE = re.compile(r"[{}()=<>\[\];]")
 _COMMA = re.compile(r",\S")
@@ -141,6 +143,8 @@ def is_label(text: str) -> bool:
 
 def link_density(low: str) -> float:
     """The share of a line's characters in labels, where it is cut into three or more pieces; else 0."""
+    if not any([x in low for x in _PARTING]):
+        return 0.0
     pieces = [_COUNT.sub("", p) for p in _SPLIT.split(_BULLET.sub("", low)) if p.strip(" -,;")]
     if len(pieces) < 2:
         return 0.0
@@ -168,7 +172,7 @@ def is_pointer(low: str) -> bool:
 
 def is_dated(low: str) -> bool:
     """Whether a line is a date or a reading time, with at most three words beside it."""
-    if not _DIGITS.search(low):
+    if not _DATE_HINT.search(low):
         return False
     rest, found = _DATE.subn(" ", low)
     rest, more = _READING.subn(" ", rest)
@@ -192,7 +196,7 @@ def first_pass(line: str, repeated: bool) -> int:
             return BOX
         if n <= 8 and _BYLINE.match(line):
             return META
-        if is_crumb(line) or _RIGHTS.search(low) or (n <= 14 and _OFFER.search(low)):
+        if is_crumb(line) or low.startswith(_RIGHTS_FIRST) or any([x in low for x in _RIGHTS]) or (n <= 14 and _OFFER.search(low)):
             return BAD
     if repeated:
         return SAID if n <= 6 and not ends else BAD

@@ -95,6 +95,7 @@ LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum massa cursus eros pharetra porta sodales rutrum fusce ornare tortor vestibulum donec blandit pretium congue aliquam ligula mauris viverra vel nunc ac nec at vitae a pellentesque morbi tristique senectus netus fames turpis egestas praesent semper feugiat nibh pulvinar proin gravida hendrerit lectus arcu bibendum varius vel orci dapibus ultrices purus libero justo laoreet risus suspendisse potenti metus vulputate diam phasellus quam lacus sapien faucibus molestie mattis aenean euismod elementum nisl maecenas integer cras leo auctor augue neque urna tellus felis habitant malesuada condimentum".split()
 )
 
+_SIGNS = ("{", "<", "[", "%", "__", "@@", ":")
 _MARKERS = re.compile(r"[{<]|\[[\[*+~!A-Zo]|%[\w%]|__|@@|(?<!\S):[a-z]")
 _VARIABLE = re.compile(
     r"\{\{[-~#/]?\s*[\w.|:' -]{1,60}?\s*[-~]?\}\}|\$\{\s*[\w.]{1,60}\s*\}|<%[=-]?\s*[\w.@]{1,60}\s*%>|<\?(?:php|=)?\s*(?:echo )?\$[\w>.\[\]'-]{1,60};?\s*\?>|\[\[[+*~!]?[\w.-]{1,60}\]\]|#\{\s*[\w.]{1,60}\s*\}|\{%-?\s*\w[\w ._'\"-]{0,60}-?%\}"
@@ -281,7 +282,7 @@ def body_field(body: str | None, title: str | None = None) -> str:
 def body_kind(lines: list[str], labels: list[int], title: str | None) -> str:
     """``body_field`` over lines that are classified already."""
     content = [i for i, label in enumerate(labels) if label == GOOD]
-    if _MARKERS.search(" ".join([lines[i] for i in content])) and any(leaks_variable(lines[i]) and not is_code(lines[i]) for i in content):
+    if any([x in lines[i] for i in content for x in _SIGNS]) and any(leaks_variable(lines[i]) and not is_code(lines[i]) for i in content):
         return "variable"
     if len(content) > 1:
         head = content[0] if own_headline(lines, labels, title, content[0]) else None

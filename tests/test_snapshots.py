@@ -62,7 +62,7 @@ def test_against_brute_force_at_any_chunking(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert expected
     assert found(snapshot_changes(df)) == expected
-    assert found(snapshot_changes(df.repartition(7), chunk_rows=3, sort_rows=4)) == expected
+    assert found(snapshot_changes(df.repartition(7), chunk_rows=3, site_rows=16)) == expected
 
 
 def test_empty_and_single(spark):

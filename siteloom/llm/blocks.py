@@ -115,6 +115,7 @@ def form_key(line: str, brand: str) -> int:
     return crc32(form) | (len(form) & 0x7FFFFFFF) << 32 if form else 0
 
 
+@lru_cache(maxsize=100_000)
 def is_row(line: str) -> bool:
     """Whether a line is a row of cells: a rule, or three or more cells of which one has a digit or sign alone."""
     if not ("|" in line or ";" in line or "\t" in line or "  " in line or _COMMA.search(line)):
@@ -126,7 +127,7 @@ def is_row(line: str) -> bool:
     cells = [c for c in _CELLS.split(line.strip("| ")) if c.strip()]
     if len(cells) < 3 or max(len(c.split()) for c in cells) > 4:
         return False
-    return line[0] == "|" or sum(any(ch.isdigit() for ch in c) or not any(ch.isalnum() for ch in c) or c.strip().lower() in ("n/a", "ok") for c in cells) * 3 >= len(cells)
+    return line[0] == "|" or sum([bool(_DIGITS.search(c)) or not _WORD.search(c) or c.strip().lower() in ("n/a", "ok") for c in cells]) * 3 >= len(cells)
 
 
 def is_code(line: str) -> bool:

@@ -3,23 +3,18 @@
 Systematic sampling: within a source the records' expected copies are summed up in order, one
 random offset is added, and a record is used once per integer its sum passes. A source of
 rate r thus uses each record floor(r) or ceil(r) times. Records are ordered by size, so the
-sizes of the used ones follow the source's, and the reached shares the wanted ones. Of a few
-random offsets per source the one is kept whose records come nearest to the wanted size.
+sizes of the used ones follow the source's, and the reached shares the wanted ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.session import staged
-
 #: Records of a source that are numbered in one task.
 BLOCK_RECORDS = 100_000
 #: Classes of size per doubling, and the seed of the offsets.
 CLASSES, SEED = 4, 42
-#: Offsets that are drawn for a source.
-DRAWS = 32
 
 
 def rates(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[list[dict], float]:
@@ -60,14 +55,9 @@ def mixed(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None
     starts = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).select(*block, F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
     number = F.row_number().over(Window.partitionBy(*block).orderBy("tokens", "doc_id"))
     ranked = placed.withColumn("number", number).join(starts, block).select("doc_id", "source", "tokens", "rate", (F.col("start") + F.col("number")).alias("i"))
-    ranked = staged(ranked, "mix-numbers")
-    offset = lambda k: F.pmod(F.xxhash64(F.col("source"), F.lit(seed), k if isinstance(k, Column) else F.lit(k)), F.lit(1 << 40)) / float(1 << 40)
-    uses = lambda at: F.floor(F.col("rate") * F.col("i") + at) - F.floor(F.col("rate") * (F.col("i") - 1) + at)
-    # one row of sums per source: what each draw would use
-    tried = ranked.groupBy("source").agg(F.sum(F.col("tokens") * F.col("rate")).alias("want"), F.array(*[F.sum(F.col("tokens") * uses(offset(k))) for k in range(DRAWS)]).alias("draws")).collect()
-    best = [(r["source"], min(range(DRAWS), key=lambda k: (abs(r["draws"][k] - r["want"]), k))) for r in tried]
-    draw = F.broadcast(spark.createDataFrame(best, "source string, draw int"))
-    return ranked.join(draw, "source").select("doc_id", "source", "tokens", uses(offset(F.col("draw"))).cast("int").alias("uses")).where("uses > 0")
+    offset = F.pmod(F.xxhash64(F.col("source"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    uses = F.floor(F.col("rate") * F.col("i") + offset) - F.floor(F.col("rate") * (F.col("i") - 1) + offset)
+    return ranked.select("doc_id", "source", "tokens", uses.cast("int").alias("uses")).where("uses > 0")
 
 
 def reached_shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:

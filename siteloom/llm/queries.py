@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siteloom.llm.pages import boilerplate_lines, main_content, repeated_site_lines, template_residue, text_quality, without_lines
 from siteloom.llm.mixing import mixed, reached_shares
 from siteloom.llm.packing import container_fill, packed
-from siteloom.llm.spans import shared_chars, shared_passages
+from siteloom.llm.spans import shared_chars, shared_passages, shared_spans
 from siteloom.llm.tokens import token_counts
 from siteloom.session import table
 
@@ -72,10 +72,14 @@ def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_passages(table(spark, sf_dir, "documents"))
 
 
+def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_quality": p3_quality, "p4_found": p4_found, "p4_main": p4_main,
     "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares,
-    "p10_found": p10_found, "p10_passages": p10_passages,
+    "p10_found": p10_found, "p10_passages": p10_passages, "p10_spans": p10_spans,
 }
 
 _P2 = r"""

@@ -5,7 +5,7 @@ import pytest
 from siteloom.llm import spans
 from siteloom.llm.mixing import mixed, rates, reached_shares
 from siteloom.llm.packing import container_fill, packed, sum_of_squares
-from siteloom.llm.spans import SPAN, aligned, chains, match_left, match_right, shared_chars, shared_passages
+from siteloom.llm.spans import SPAN, chains, exact_runs, gap_matches, match_left, match_right, passages, shared_chars, shared_passages, shared_spans
 from siteloom.llm.tokens import count_tokens, encoder, token_counts
 
 DOCS = "doc_id long, text string, source string, seed long, cls string, pos int, tokens string"
@@ -78,13 +78,48 @@ def test_no_documents(spark):
     assert found(docs(spark, [])) == {} and shared_passages(docs(spark, [(1, "x" * 500, None), (None, "x" * 500, None)])).count() == 0
 
 
-def test_passages(spark):
+def edited(rng, text, every):
+    """The text with a substitution, insertion or deletion about every so many characters."""
+    out, at = [], 0
+    while at < len(text):
+        step = rng.randrange(int(every * 0.9), int(every * 1.3))
+        out.append(text[at : at + step])
+        at += step
+        kind = rng.randrange(3)
+        if at < len(text):
+            out.append({0: "#" , 1: "#" + text[at], 2: ""}[kind])
+            at += 1
+    return "".join(out)
+
+
+def test_planted_fuzzy_passages(spark):
     rng = random.Random(4)
-    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
-    a, b = text(400), text(400)
-    rows = [(1, text(50) + a + text(30) + b + text(20), None), (2, a + "-" * 10 + b, None)]
-    got = shared_passages(docs(spark, rows)).collect()
-    assert [(r.a, r.b, r.start_a, r.end_a, r.exact_chars) for r in got] == [(1, 2, 50, 880, 800)]
+    text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    rows, planted = [], []
+    for i in range(60):
+        core, every = text(rng.randrange(300, 900)), rng.choice([70, 90, 120])
+        before = text(rng.randrange(0, 200))
+        rows += [(2 * i, before + core + text(50), None), (2 * i + 1, text(80) + edited(rng, core, every) + text(rng.randrange(100)), None)]
+        planted.append((2 * i, 2 * i + 1, len(before), len(before) + len(core)))
+    got = {(r.a, r.b): r for r in shared_passages(docs(spark, rows)).collect()}
+    hit = sum((a, b) in got and min(hi, got[a, b].end_a) - max(lo, got[a, b].start_a) >= 0.8 * (hi - lo) for a, b, lo, hi in planted)
+    assert hit >= 0.9 * len(planted) and set(got) <= {(a, b) for a, b, _, _ in planted}
+    # exact runs alone hold too few of them
+    assert len(found(docs(spark, rows))) < len(planted)
+
+
+def test_members_of_large_groups(spark):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    shared = text(300)
+    rows = [(i, text(150) + shared + text(150), None) for i in range(40)]
+    rows.append((100, rows[0][1], None))
+    spans_of = {}
+    for r in shared_spans(docs(spark, rows)).collect():
+        assert rows[min(r.doc_id, 40)][1][r.start : r.start + r.length] and r.length == 100
+        spans_of.setdefault(r.span_id, set()).add(r.doc_id)
+    assert max(map(len, spans_of.values())) == 41  # every pair of the 41 follows
+    assert found(docs(spark, rows)) == brute(rows)
 
 
 def test_chains_and_alignment():
@@ -92,7 +127,11 @@ def test_chains_and_alignment():
     assert match_right("abcdx", 0, "abcdy", 0) == 4 and match_left("xbcd", 4, "ybcd", 4) == 3 and match_right("a", 1, "b", 0) == 0
     a = "q" * 30 + "".join(chr(97 + i * 7 % 26) + str(i) for i in range(100)) + "z"
     b = "w" * 5 + a[30:-1]
-    assert aligned(a, b, [(60, 35)]) == [[(30, 5, len(a) - 31)]]
+    assert exact_runs(0, a, 0, b, [(60, 35)], 100) == [(30, 5, len(a) - 31)]
+    assert gap_matches("kitten", "sitting") == 4 and gap_matches("abc", "abc") == 3 and gap_matches("", "abc") == 0 and gap_matches("abcd" * 50, "abcd" * 40) == 160
+    x, y = "".join(chr(97 + i * i % 23) for i in range(300)), "".join(chr(97 + i * i * i % 19) for i in range(300))
+    one, two = x + "-" * 10 + y, x + "+" * 12 + y
+    assert passages(0, one, 0, two, [(100, 100), (400, 402)], 32) == [(0, 610, 0, 612, 600)]
 
 
 # ------------------------------------------------------------------ tokens, containers, mixing

@@ -7,11 +7,18 @@ A stamp with an offset is converted at once. A stamp without one is read as loca
 its source's clock. Each offset of the zone's history near that time, and where the year is
 missing each year, gives one candidate instant; a candidate after the reliable ingestion
 time is a violation. The latest candidate without violation is chosen.
+
+Where a source's zone is missing it is estimated: the local times of its stamps are aligned with
+their ingestion times, and of all offset histories that the time-zone database knows the one with
+the fewest violations and then the least delay is taken.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
+from functools import lru_cache
+from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -175,8 +182,42 @@ def normalise_timestamps(
     )
 
 
+#: Names preferred for an offset history that several zones share, and years in which histories are told apart.
+PREFERRED = (
+    "UTC", "Europe/London", "Europe/Berlin", "Europe/Athens", "Europe/Moscow", "Asia/Dubai", "Asia/Kolkata", "Asia/Bangkok", "Asia/Shanghai", "Asia/Tokyo",
+    "Australia/Sydney", "Pacific/Auckland", "America/Sao_Paulo", "America/Halifax", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles",
+)
+HISTORY_YEARS = (2018, 2030)
+
+
+@lru_cache(maxsize=8)
+def offset_histories(first: int = HISTORY_YEARS[0], last: int = HISTORY_YEARS[1]) -> tuple[str, ...]:
+    """One zone for each distinct history of offsets in the years given, the preferred names first."""
+    known = available_timezones()
+    names = [z for z in PREFERRED if z in known] + sorted(z for z in known if "/" in z and not z.startswith(("Etc/", "posix/", "right/", "SystemV/", "US/")) and z not in PREFERRED)
+    days = [datetime(first, 1, 1, 12) + timedelta(days=d) for d in range(0, 366 * (last - first + 1), 5)]
+    histories: dict[tuple, str] = {}
+    for name in names or ["UTC"]:
+        zone = ZoneInfo(name) if names else None
+        histories.setdefault(tuple(zone.utcoffset(d) for d in days) if zone else (), name)
+    return tuple(histories.values())
+
+
+def normalise_with_estimates(hits: DataFrame, sources: DataFrame, **options: object) -> DataFrame:
+    """``normalise_timestamps`` with estimated zones for the sources of the hits that ``sources`` gives no zone for.
+
+    A source without a zone whose stamps don't allow an estimate is read in the default zone, as are hits without
+    source. Only the hits of sources without a zone are read a second time.
+    """
+    known = sources.where("source_id is not null").dropDuplicates(["source_id"])
+    missing = hits.join(known.where("tz is not null").select("source_id"), "source_id", "left_anti")
+    guessed = estimate_zones(missing, sources=known).select("source_id", F.col("zone").alias("_zone"))
+    both = known.join(guessed, "source_id", "full_outer").select("source_id", F.coalesce("tz", "_zone").alias("tz"), "date_order")
+    return normalise_timestamps(hits, both, **options)
+
+
 def estimate_zones(
-    hits: DataFrame, zones: Sequence[str], stamp: str = "timestamp_text", received: str = "received_at", source: str = "source_id", sources: DataFrame | None = None
+    hits: DataFrame, zones: Sequence[str] | None = None, stamp: str = "timestamp_text", received: str = "received_at", source: str = "source_id", sources: DataFrame | None = None
 ) -> DataFrame:
     """For each source the zone whose offset history fits its zoneless stamps best.
 
@@ -184,9 +225,10 @@ def estimate_zones(
     format and its ingestion time. Of ``sources(source_id, date_order)`` only the order of numeric dates is
     taken, never the zone. A stamp without year is of the latest year that some zone allows. Local times are reduced to the smallest
     and mean delay per source and hour before the zones are tried, so the work per zone is bounded
-    by the hours a source was active. An hour costs its least delay, and ``VIOLATION_US`` if a
+    by the hours a source was active. ``zones`` are all distinct offset histories unless given. An hour costs its least delay, and ``VIOLATION_US`` if a
     hit would lie after its ingestion; chosen is the zone of the lowest cost, the first of equals.
     """
+    zones = offset_histories() if zones is None else zones
     base = hits.select(F.col(source).alias("source_id"), F.col(stamp).alias("_raw"), F.unix_micros(F.col(received).cast("timestamp")).alias("_got")).where("source_id is not null and _got is not null")
     if sources is not None:
         dim = sources.select(F.col(source).alias("source_id"), F.col("date_order").alias("_ord")).where("source_id is not null").dropDuplicates(["source_id"])

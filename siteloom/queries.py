@@ -10,18 +10,11 @@ from pyspark.sql import functions as F
 from siteloom import audit_queries
 from siteloom.operators.loglines import log_entries, log_templates
 from siteloom.operators.snapshots import snapshot_changes
-from siteloom.operators.timestamps import estimate_zones, normalise_timestamps
+from siteloom.operators.timestamps import estimate_zones, normalise_with_estimates
 from siteloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Zones tried where a source's zone is to be estimated.
-ZONES = (
-    "UTC", "Europe/London", "Europe/Berlin", "Europe/Athens", "Europe/Moscow", "Asia/Dubai", "Asia/Kolkata", "Asia/Bangkok", "Asia/Shanghai", "Asia/Tokyo",
-    "Australia/Sydney", "Pacific/Auckland", "America/Sao_Paulo", "America/Halifax", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles",
-)
-
-
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_changes(table(spark, sf_dir, "crawl_history")).select("host", "crawled_at", "page_url", "code", "delta")
 
@@ -35,11 +28,11 @@ def p6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalise_timestamps(table(spark, sf_dir, "log_hits"), table(spark, sf_dir, "log_sources"))
+    return normalise_with_estimates(table(spark, sf_dir, "log_hits"), table(spark, sf_dir, "log_sources"))
 
 
 def p7_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimate_zones(table(spark, sf_dir, "log_hits"), ZONES, sources=table(spark, sf_dir, "log_sources"))
+    return estimate_zones(table(spark, sf_dir, "log_hits"), sources=table(spark, sf_dir, "log_sources"))
 
 
 QUERIES: dict[str, Query] = {"p5_found": p5_found, "p6_found": p6_found, "p6_templates": p6_templates, "p7_found": p7_found, "p7_zones": p7_zones} | audit_queries.QUERIES

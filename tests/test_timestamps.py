@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from siteloom.operators.timestamps import estimate_zones, normalise_timestamps
+from siteloom.operators.timestamps import estimate_zones, normalise_timestamps, normalise_with_estimates, offset_histories
 
 UTC = dt.timezone.utc
 SOURCES = [(1, "UTC", "dmy"), (2, "Europe/Berlin", "dmy"), (3, "America/New_York", "mdy"), (4, "Asia/Kolkata", "dmy"), (5, None, "mdy"), (6, "Australia/Lord_Howe", "dmy")]
@@ -82,3 +82,26 @@ def test_zones_are_estimated_from_stamps_of_any_format(spark):
     order = spark.createDataFrame([(i, "mdy") for i in range(len(forms))], "source_id int, date_order string")
     got = estimate_zones(hits(spark, rows), ["UTC", "Europe/Berlin", "America/New_York", "America/Chicago", "Asia/Kolkata"], sources=order).collect()
     assert {r.source_id: (r.zone, r.stamps) for r in got} == dict.fromkeys(range(len(forms)), ("America/New_York", 400))
+
+
+def test_missing_zones_are_estimated_and_used(spark):
+    from zoneinfo import ZoneInfo
+
+    zones = {1: "Asia/Kathmandu", 2: "America/New_York", 3: "Australia/Lord_Howe", 4: "UTC"}
+    rows, truth = [], {}
+    for source, zone in zones.items():
+        for i in range(300):
+            at = dt.datetime(2024, 9, 1, tzinfo=UTC) + dt.timedelta(hours=29 * i, minutes=i % 50)
+            truth[1000 * source + i] = at
+            rows.append((1000 * source + i, source, at.astimezone(ZoneInfo(zone)).strftime("%d %b %Y %H:%M:%S" if i % 2 else "%Y-%m-%dT%H:%M:%S"), at + dt.timedelta(seconds=30 + i % 500), None, None))
+    rows += [(1, None, "2024-01-05 10:00:00", dt.datetime(2024, 1, 5, 12, tzinfo=UTC), None, None), (2, 77, "no time", dt.datetime(2024, 1, 5, 12, tzinfo=UTC), None, None)]
+    # source 2 is known, the others' zones are missing
+    dim = spark.createDataFrame([(1, None, "dmy"), (2, "America/New_York", "dmy"), (3, None, "dmy")], "source_id int, tz string, date_order string")
+    got = {r.hit_id: r.utc_micros for r in normalise_with_estimates(hits(spark, rows), dim).collect()}
+    right = sum(got.get(k) == int(v.timestamp()) * 1_000_000 for k, v in truth.items())
+    assert right >= 0.99 * len(truth) and got[1] == micros("2024-01-05 10:00:00") and 2 not in got
+
+
+def test_histories():
+    names = offset_histories()
+    assert names[0] == "UTC" and len(names) == len(set(names)) > 50

@@ -19,7 +19,7 @@ from siteloom.functions.url import bucket_key, expected_locale, host_key, is_ass
 from siteloom.operators import agents, components, diff, enrichment, features, keywords, linkgraph, logs, neardup, rules, sampling, sitewide
 from siteloom.plans.audit import audit
 from siteloom.session import shared_dir, table
-from siteloom.sources.crawls import recent_crawls
+from siteloom.sources.crawls import recent_crawls, sitemap_table
 from siteloom.streaming import logs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,9 +176,139 @@ def html_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.page_features(captures(spark, sf_dir)).select("crawl_order", "title", "meta_description", "html_lang", "robots_meta", F.size("h1s").alias("n_h1"), (F.size("discovered_links") + F.col("external_links")).alias("n_links"))
 
 
+# ------------------------------------------------------------------ headers, markup, structured data, files of a site, field data
+
+
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with response headers, a viewport, images and extracted values that follow from ``page_id``, so that every rule fires somewhere."""
+    k = lambda n: F.col("page_id") % n
+    link = F.when(k(7) == 0, F.concat(F.lit("<"), F.col("canonical"), F.lit('>; rel="canonical"'))).when(k(7) == 1, F.lit("</a>; rel=canonical, </b>; rel=canonical")).when(k(7) == 2, F.lit("<mailto:x>; rel=canonical")).when(k(7) == 3, F.lit("</a>; rel=prev"))
+    headers = {
+        "X-Robots-Tag": F.when(k(5) == 0, "noindex, nofollow").when(k(5) == 1, "somebot: noindex"), "Strict-Transport-Security": F.when(k(3) == 0, "max-age=9"), "Content-Type": F.col("content_type"),
+        "cache-control": F.when(k(4) == 0, "no-store, no-cache, max-age=0").when(k(4) == 1, "no-store"), "content-encoding": F.when(k(6) == 0, "gzip").when(k(6) == 1, "identity"), "Vary": F.when(k(12) == 0, "Cookie, Accept-Encoding"), "Link": link,
+    }
+    given = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("k"), v.alias("v")) for n, v in headers.items()]), lambda e: e["v"].isNotNull()))
+    images = F.transform(F.slice(F.array(*map(F.lit, (0, 1, 2, 3))), 1, k(5).cast("int")), lambda i: F.struct(F.when(i % 2 == 0, F.lit("/a.JPG?x")).otherwise(F.lit("data:image/x.png")).alias("src"), F.when(i < 2, F.lit("4")).alias("width"), F.lit(" ").alias("height"), F.when(i < 3, F.lit("lazy")).alias("loading")))
+    view = F.when(k(4) == 0, "width=device-width, initial-scale=1").when(k(4) == 1, "width = device-width, user-scalable=no").when(k(4) == 2, "width=320")
+    return pages_of(spark, sf_dir).select(
+        "*", given.alias("headers"), images.alias("images"), view.alias("viewport"), (1 + k(2)).cast("int").alias("title_count"), F.when(k(5) == 0, F.array(F.lit("bad tag"))).otherwise(F.array().cast("array<string>")).alias("hreflang_invalid"),
+        F.create_map(F.lit("price"), F.when(k(3) == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("1")))).alias("extracted"),
+    )
+
+
+_OK = f"coalesce(status, 0) <> 0 AND status < 400 AND {_HTML}"
+_FAILED = f"SELECT page_id, CASE WHEN coalesce(status, 0) = 0 THEN 'FETCH_FAILED' WHEN status >= 400 THEN 'HTTP_ERROR' ELSE 'NON_HTML_CONTENT' END AS code FROM pages WHERE coalesce(status, 0) = 0 OR status >= 400 OR NOT {_HTML}"
+
+
+def _rule_sql(conditions: dict[str, str]) -> str:
+    return _FAILED + "".join(f" UNION ALL SELECT page_id, '{code}' FROM pages WHERE {_OK} AND ({cond})" for code, cond in conditions.items())
+
+
+_WEB = lambda c: f"(lower({_u(c, 1)}) IN ('http', 'https') AND {_u(c, 2)} <> '')"
+
+
+@query("header_issues", _rule_sql({
+    "HEADER_X_ROBOTS_NOINDEX": "page_id % 5 = 0", "HEADER_X_ROBOTS_NOFOLLOW": "page_id % 5 = 0", "HEADER_HSTS_MISSING": f"lower({_u('final_url', 1)}) = 'https' AND page_id % 3 <> 0", "HEADER_CONTENT_TYPE_MISSING": "content_type IS NULL",
+    "HEADER_CACHE_CONTROL_AGGRESSIVE_NOCACHE": "page_id % 4 = 0", "HEADER_LINK_CANONICAL_MULTIPLE": "page_id % 7 = 1", "HEADER_LINK_CANONICAL_INVALID": f"page_id % 7 = 2 OR (page_id % 7 = 0 AND canonical IS NOT NULL AND NOT {_WEB('canonical')})",
+    "HEADER_LINK_CANONICAL_HTML_MISMATCH": "false", "HEADER_CONTENT_ENCODING_MISSING": "page_id % 6 <> 0", "HEADER_VARY_ACCEPT_ENCODING_MISSING": "page_id % 6 = 0 AND page_id % 12 <> 0",
+}))
+def header_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rule_issues(headed(spark, sf_dir), rules.header_rules, ("page_id",)).select("page_id", "code")
+
+
+@query("markup_issues", _rule_sql({
+    "TITLE_MULTIPLE": "title IS NOT NULL AND page_id % 2 = 1", "HREFLANG_INVALID": "page_id % 5 = 0", "EXTRACTION_MISSING_REQUIRED": "page_id % 3 = 0", "IMAGES_MISSING_DIMENSIONS": "page_id % 5 > 2", "IMAGES_MISSING_LAZY_LOADING": "page_id % 5 > 3",
+    "IMAGES_LEGACY_FORMAT": "page_id % 5 > 0", "MOBILE_VIEWPORT_MISSING": "page_id % 4 = 3", "MOBILE_VIEWPORT_WEAK": "page_id % 4 = 2", "MOBILE_VIEWPORT_LOCKS_ZOOM": "page_id % 4 = 1",
+}))
+def markup_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rule_issues(headed(spark, sf_dir), rules.markup_rules(["price"]), ("page_id",)).select("page_id", "code")
+
+
+_BLANK = lambda c: f"coalesce(trim({c}), '') = ''"
+
+
+@query("schema_issues", " UNION ALL ".join(f"SELECT page_id AS crawl_order, '{code}' AS code FROM pages WHERE page_id % 6 = {k} AND ({cond})" for k, code, cond in (
+    (0, "SCHEMA_ARTICLE_MISSING_HEADLINE", _BLANK("title")), (0, "SCHEMA_ARTICLE_MISSING_IMAGE", _BLANK("canonical")), (0, "SCHEMA_ARTICLE_MISSING_DATE_PUBLISHED", _BLANK("html_lang")), (0, "SCHEMA_ARTICLE_MISSING_AUTHOR", _BLANK("meta_description")),
+    (1, "SCHEMA_ORG_MISSING_NAME", _BLANK("title")), (1, "SCHEMA_ORG_MISSING_URL", _BLANK("canonical")), (1, "SCHEMA_ORG_MISSING_LOGO", _BLANK("meta_description")), (1, "SCHEMA_LOCALBUSINESS_MISSING_ADDRESS", _BLANK("html_lang")), (1, "SCHEMA_LOCALBUSINESS_MISSING_TELEPHONE", _BLANK("robots_meta")),
+    (2, "SCHEMA_PRODUCT_MISSING_NAME", _BLANK("title")), (2, "SCHEMA_PRODUCT_MISSING_IMAGE", _BLANK("canonical")), (2, "SCHEMA_PRODUCT_OFFERS_MISSING_PRICE", _BLANK("meta_description")), (2, "SCHEMA_PRODUCT_OFFERS_MISSING_CURRENCY", f"NOT ({_BLANK('meta_description')}) AND {_BLANK('html_lang')}"),
+    (3, "SCHEMA_PRODUCT_MISSING_NAME", "true"), (3, "SCHEMA_PRODUCT_MISSING_IMAGE", "true"), (3, "SCHEMA_PRODUCT_MISSING_OFFERS", "true"),
+    (4, "SCHEMA_FAQ_NO_QUESTIONS", _BLANK("title")), (4, "SCHEMA_FAQ_QUESTION_INCOMPLETE", f"NOT ({_BLANK('title')}) AND {_BLANK('meta_description')}"), (5, "SCHEMA_BREADCRUMB_NO_ITEMS", _BLANK("title")), (5, "SCHEMA_BREADCRUMB_ITEM_INCOMPLETE", f"NOT ({_BLANK('title')}) AND {_BLANK('html_lang')}"),
+)))
+def schema_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose structured data, one kind by ``page_id``, is written from the audit columns."""
+    t, c, m, g, r = (F.col(x) for x in ("title", "canonical", "meta_description", "html_lang", "robots_meta"))
+    some = F.trim(F.coalesce(t, F.lit(""))) != ""
+    kinds = (
+        F.struct(F.lit("NewsArticle").alias("@type"), t.alias("headline"), c.alias("image"), g.alias("datePublished"), m.alias("author")),
+        F.struct(F.lit("LocalBusiness").alias("@type"), t.alias("name"), c.alias("url"), m.alias("logo"), g.alias("address"), r.alias("telephone")),
+        F.struct(F.lit("Product").alias("@type"), t.alias("name"), c.alias("image"), F.array(F.struct(m.alias("price"), g.alias("priceCurrency")), F.struct(F.lit(None).cast("string").alias("price"), F.lit(None).cast("string").alias("priceCurrency"))).alias("offers")),
+        F.struct(F.lit("Product").alias("@type")),
+        F.struct(F.lit("FAQPage").alias("@type"), F.when(some, F.array(F.struct(t.alias("name"), F.struct(m.alias("text")).alias("acceptedAnswer")))).alias("mainEntity")),
+        F.struct(F.lit("BreadcrumbList").alias("@type"), F.when(some, F.array(F.struct(F.lit(1).alias("position"), t.alias("name"), g.alias("item")))).alias("itemListElement")),
+    )
+    script = F.lit("")
+    for i, kind in enumerate(kinds):
+        # the second, empty offer of a product would only matter where the first is complete
+        text = F.to_json(kind) if i != 2 else F.to_json(kind.withField("offers", F.slice(kind["offers"], 1, 1)))
+        script = F.when(F.col("page_id") % 6 == i, text).otherwise(script)
+    html = F.concat(F.lit('<html><head><script type="application/ld+json">'), F.replace(script, F.lit("<"), F.lit("\\u003c")), F.lit("</script></head><body></body></html>"))
+    made = pages_of(spark, sf_dir).select("url", "final_url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.create_map().cast("map<string,string>").alias("headers"), "redirect_chain", html.alias("html"), "crawl_order")
+    return features.page_features(made).select("crawl_order", F.explode("schema_codes").alias("code"))
+
+
+_SITES = f"SELECT lower({_u('final_url', 2)}) AS site, count(*) AS n, min(page_id) AS k FROM pages WHERE final_url IS NOT NULL GROUP BY 1"
+
+
+@query("infrastructure_issues", f"WITH s AS ({_SITES}), f AS (SELECT site, k, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN 404 ELSE 200 END AS robots, k % 3 = 0 AS blocks, k % 2 = 0 AS listed, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 500 ELSE 200 END AS sitemap, k % 3 = 1 AS old, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 6 = 1 THEN 410 ELSE 204 END AS llms, k % 7 = 0 AS blank FROM s) "
+       + " UNION ALL ".join(f"SELECT site, '{c}' AS code FROM f WHERE {w}" for c, w in (
+           ("ROBOTS_BLOCKS_ALL", "robots = 200 AND blocks"), ("ROBOTS_NO_SITEMAP", "robots = 200 AND NOT listed"), ("ROBOTS_MISSING", "robots = 404"), ("ROBOTS_UNREACHABLE", "robots IS NULL"), ("SITEMAP_MISSING", "sitemap = 500 AND NOT listed"),
+           ("SITEMAP_UNREACHABLE", "sitemap IS NULL AND NOT listed"), ("SITEMAP_LASTMOD_STALE", "old"), ("LLMSTXT_EMPTY", "llms = 204 AND blank"), ("LLMSTXT_MISSING", "llms = 410"), ("LLMSTXT_UNREACHABLE", "llms IS NULL"))))
+def infrastructure_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = lambda n: F.col("k") % n
+    sites = pages_of(spark, sf_dir).where("final_url is not null").groupBy(url_host(F.col("final_url")).alias("site")).agg(F.min("page_id").alias("k"))
+    row = sites.select(
+        "site", F.when(k(4) == 0, None).when(k(4) == 1, 404).otherwise(200).alias("robots_status"), (k(3) == 0).alias("robots_blocks_all"), F.when(k(2) == 0, F.array(F.lit("/s.xml"))).alias("robots_sitemaps"), F.when(k(5) == 0, None).when(k(5) == 1, 500).otherwise(200).alias("sitemap_status"),
+        F.when(k(3) == 1, F.array(F.lit("2025-06-01"), F.lit("2020-06-01"))).otherwise(F.array(F.lit("2025-06-01"), F.lit("no date"))).alias("lastmods"), F.when(k(6) == 0, None).when(k(6) == 1, 410).otherwise(204).alias("llms_status"), F.when(k(7) == 0, "  ").otherwise("# t").alias("llms_text"),
+    )
+    return rules.infrastructure_issues(row, "2026-01-01").select("site", "code")
+
+
+@query("field_data_issues", f"WITH s AS ({_SITES}) SELECT site, unnest(CASE WHEN k % 9 = 0 THEN ['CRUX_QUERY_FAILED'] ELSE list_filter([CASE WHEN n * 40 > 4000 THEN 'CRUX_LCP_POOR' WHEN n * 40 > 2500 THEN 'CRUX_LCP_NEEDS_IMPROVEMENT' END, CASE WHEN k % 700 > 500 THEN 'CRUX_INP_POOR' WHEN k % 700 > 200 THEN 'CRUX_INP_NEEDS_IMPROVEMENT' END, CASE WHEN k % 30 > 25 THEN 'CRUX_CLS_POOR' WHEN k % 30 > 10 THEN 'CRUX_CLS_NEEDS_IMPROVEMENT' END], x -> x IS NOT NULL) END) AS code FROM s")
+def field_data_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = pages_of(spark, sf_dir).where("final_url is not null").groupBy(url_host(F.col("final_url")).alias("site")).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("k"))
+    part = lambda name, value: F.concat(F.lit(f'"{name}":{{"percentiles":{{"p75":'), value, F.lit("}}"))
+    cls = F.concat(F.lit('"'), (F.col("k") % 30 / 100).cast("decimal(4,2)").cast("string"), F.lit('"'))
+    body = F.concat(F.lit('{"record":{"metrics":{'), part("largest_contentful_paint", (F.col("n") * 40).cast("string")), F.lit(","), part("interaction_to_next_paint", (F.col("k") % 700).cast("string")), F.lit(","), part("cumulative_layout_shift", cls), F.lit("}}}"))
+    rows = sites.select("site", F.when(F.col("k") % 9 == 0, F.when(F.col("k") % 2 == 0, "{broken")).otherwise(body).alias("raw_json"))
+    return rules.field_data_issues(rows, sites.select("site")).select("site", "code")
+
+
+@query("sitemap_entries", f"SELECT lower({_u('final_url', 2)}) AS sitemap_url, url AS url, CASE WHEN page_id % 2 = 0 THEN crawled_at END AS lastmod FROM pages WHERE final_url IS NOT NULL AND coalesce(trim(url), '') <> ''")
+def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of one sitemap per site, written with entities and CDATA."""
+    loc = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<![CDATA["), F.col("url"), F.lit("]]>"))).otherwise(F.replace("url", F.lit("&"), F.lit("&amp;")))
+    entry = F.concat(F.lit("<url>\n<loc> "), loc, F.lit(" </loc>"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<lastmod>"), F.col("crawled_at"), F.lit("</lastmod>"))).otherwise(F.lit("")), F.lit("</url>"))
+    files = pages_of(spark, sf_dir).where("final_url is not null and trim(coalesce(url, '')) != ''").groupBy(url_host(F.col("final_url")).alias("url")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("xml"))
+    return sitemap_table(files)
+
+
+@query("sitemap_membership", "WITH s AS (SELECT DISTINCT url AS key FROM pages WHERE page_id % 2 = 0 AND url IS NOT NULL) SELECT page_id, coalesce(url IN (SELECT key FROM s), false) OR coalesce(final_url IN (SELECT key FROM s), false) AS in_sitemap FROM pages")
+def sitemap_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages_of(spark, sf_dir)
+    return sitewide.in_sitemap(p.drop("in_sitemap"), p.where("page_id % 2 = 0").select("url")).select("page_id", "in_sitemap")
+
+
+@query("extracted_values", "SELECT page_id AS crawl_order, coalesce(len(h1s), 0) AS heads, coalesce(len(discovered_links), 0) AS links, coalesce(len(h1s), 0) = 0 AS missing FROM pages")
+def extracted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = features.page_features(captures(spark, sf_dir), {"heads": {"selector": "h1", "all": True}, "links": {"selector": "a@href", "all": True}, "first": "body > h1"})
+    size = lambda name: F.coalesce(F.size(F.element_at("extracted", name)), F.lit(0))
+    return got.select("crawl_order", size("heads").alias("heads"), size("links").alias("links"), (size("first") == 0).alias("missing"))
+
+
 # ------------------------------------------------------------------ site-wide
 
-_DUP = """SELECT min_by({c}, page_id) AS value, count(*) AS "count", list_sort(list(final_url)) AS urls FROM pages WHERE {c} IS NOT NULL AND {c} <> '' GROUP BY lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))) HAVING count(*) > 1"""
+_DUP = """SELECT min_by({c}, page_id) AS value, count(*) AS "count" FROM pages WHERE {c} IS NOT NULL AND {c} <> '' GROUP BY lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))) HAVING count(*) > 1"""
+_DUP_PAGES = """WITH k AS (SELECT page_id, final_url, {c} AS v, lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))) AS key FROM pages WHERE {c} IS NOT NULL AND {c} <> ''), g AS (SELECT key, min_by(v, page_id) AS value FROM k GROUP BY key HAVING count(*) > 1) SELECT value, final_url FROM k JOIN g USING (key)"""
 
 
 @query("duplicate_titles", _DUP.format(c="title"))
@@ -191,6 +321,16 @@ def duplicate_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitewide.duplicate_groups(pages_of(spark, sf_dir), "meta_description")
 
 
+@query("duplicate_title_pages", _DUP_PAGES.format(c="title"))
+def duplicate_title_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitewide.duplicate_members(pages_of(spark, sf_dir), "title")
+
+
+@query("duplicate_description_pages", _DUP_PAGES.format(c="meta_description"))
+def duplicate_description_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitewide.duplicate_members(pages_of(spark, sf_dir), "meta_description")
+
+
 @query("duplicate_title_issues", r"""WITH n AS (SELECT final_url, count(*) OVER (PARTITION BY lower(trim(regexp_replace(title, '\s+', ' ', 'g')))) AS group_size FROM pages WHERE title IS NOT NULL AND title <> '')
 SELECT DISTINCT final_url, 'TITLE_DUPLICATE_SITEWIDE' AS code, 'medium' AS severity, group_size FROM n WHERE group_size > 1""")
 def duplicate_title_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,11 +391,16 @@ def top_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitewide.top_issues(sitewide.page_issues(pages_of(spark, sf_dir)))
 
 
-@query("issue_catalog", f"SELECT i.code AS code, arg_min(i.severity, page_id * 1000 + o) AS severity, arg_min(i.message, page_id * 1000 + o) AS message, count(*) AS \"count\", list_sort(list(DISTINCT final_url)) AS urls FROM {_ISSUES} GROUP BY 1")
+@query("issue_catalog", f"SELECT i.code AS code, arg_min(i.severity, page_id * 1000 + o) AS severity, arg_min(i.message, page_id * 1000 + o) AS message, count(*) AS \"count\", count(DISTINCT final_url) AS n_urls FROM {_ISSUES} GROUP BY 1")
 def issue_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitewide.issue_catalog(sitewide.page_issues(pages_of(spark, sf_dir)))
 
 
+@query("issue_urls", f"SELECT DISTINCT i.code AS code, final_url FROM {_ISSUES}")
+def issue_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitewide.issue_urls(sitewide.page_issues(pages_of(spark, sf_dir)))
+
+
 @query("first_issue_per_code", f"SELECT final_url, i.code AS code, i.severity AS severity FROM {_ISSUES} QUALIFY row_number() OVER (PARTITION BY final_url, i.code ORDER BY page_id, o) = 1")
 def first_issue_per_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitewide.first_per_code(sitewide.page_issues(pages_of(spark, sf_dir))).select("final_url", "code", "severity")
@@ -295,6 +440,11 @@ def page_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", zero("metrics.gsc.impressions").alias("impressions"), zero("metrics.gsc.clicks").alias("clicks"), zero("metrics.ga4.sessions").alias("sessions"))
 
 
+@query("traffic_matches", _TRAFFIC.replace(", g AS", ", g AS", 1) + " SELECT CAST((SELECT count(*) FROM g0) AS BIGINT) AS total, count_if(m.page_id IS NOT NULL AND EXISTS (SELECT 1 FROM g WHERE g.key = " + _match("m.final_url") + ")) AS matched, greatest(0, (SELECT count(*) FROM g0) - count_if(EXISTS (SELECT 1 FROM g WHERE g.key = " + _match("m.final_url") + "))) AS unmatched FROM m")
+def traffic_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrichment.match_counts(pages_of(spark, sf_dir), traffic(spark, sf_dir)[0]).select("total", "matched", "unmatched")
+
+
 @query("priority_issues", _TRAFFIC + """, r AS (SELECT m.*, CASE WHEN impressions > 0 THEN 'gsc' WHEN sessions > 0 THEN 'ga4' END AS ranked_by, CASE WHEN impressions > 0 THEN impressions WHEN sessions > 0 THEN sessions END AS rank_value FROM m),
 i AS (SELECT r.*, unnest(generate_series(1, len(issues))) AS o FROM r WHERE ranked_by IS NOT NULL)
 SELECT issues[o].code AS code, issues[o].severity AS severity, final_url AS url, ranked_by, CAST(rank_value AS DOUBLE) AS rank_value, CAST(impressions AS DOUBLE) AS impressions, CAST(clicks AS DOUBLE) AS clicks FROM i WHERE issues[o].severity IN ('high', 'medium')
@@ -310,11 +460,11 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """Suppliers, linked where one follows another among an order's lines."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     after = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey"))
-    edges = lines.select(F.col("l_suppkey").alias("src"), after.alias("dst")).where("src != dst and src % 7 != 0").distinct()
+    edges = lines.select(F.col("l_suppkey").alias("src"), after.alias("dst")).where("src != dst").distinct()
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), edges
 
 
-_GRAPH = """WITH e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS dst FROM lineitem) WHERE src <> dst AND src % 7 <> 0),
+_GRAPH = """WITH e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS dst FROM lineitem) WHERE src <> dst),
 g AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY src), n AS (SELECT count(*) AS n FROM supplier), r0 AS (SELECT s_suppkey AS id, 1.0::DOUBLE / n AS r FROM supplier, n)"""
 for _i in range(20):
     _GRAPH += f""", r{_i + 1} AS MATERIALIZED (SELECT v.id, 0.15::DOUBLE / n.n + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM r{_i} WHERE id NOT IN (SELECT src FROM g)) / n.n + 0.85::DOUBLE * coalesce(x.s, 0) AS r
@@ -336,21 +486,19 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.link_edges(linked_pages(spark, sf_dir))
 
 
-@query("supplier_components", """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS dst FROM lineitem WHERE l_quantity = 1) WHERE src <> dst), u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+@query("supplier_components", """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS dst FROM lineitem) WHERE src <> dst), u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 c AS (SELECT DISTINCT a AS id, a AS r FROM u UNION SELECT u.b, c.r FROM c JOIN u ON u.a = c.id) SELECT id, min(r) AS component FROM c GROUP BY id""")
 def supplier_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 1")
-    after = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey"))
-    return components.connected_components(lines.select(F.col("l_suppkey").alias("a"), after.alias("b")).where("a != b").distinct())
+    return components.connected_components(supply_graph(spark, sf_dir)[1].toDF("a", "b"))
 
 
 _TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(body_text), '[^\p{L}\p{N}\s]+', ' ', 'g'), '\s+'), t -> length(t) >= 2)"
 
 
 @query("minhash_signatures", f"""WITH t AS (SELECT page_id, {_TOKENS} AS t FROM pages WHERE body_text IS NOT NULL), s AS (SELECT DISTINCT page_id, array_to_string(t[i:i + 4], ' ') AS g FROM (SELECT page_id, t, unnest(generate_series(1, len(t) - 4)) AS i FROM t WHERE len(t) >= 50)),
-h AS (SELECT page_id, j, min(('0x' || left(md5('minhash-salt-' || j || '|' || g), 8))::BIGINT) AS v FROM s, (SELECT unnest(range(16)) AS j) GROUP BY page_id, j) SELECT page_id, list(v ORDER BY j) AS sig FROM h GROUP BY page_id""")
+h AS (SELECT page_id, j, min(('0x' || left(md5('minhash-salt-' || j || '|' || g), 8))::BIGINT) AS v FROM s, (SELECT unnest(range(128)) AS j) GROUP BY page_id, j) SELECT page_id, list(v ORDER BY j) AS sig FROM h GROUP BY page_id""")
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.signatures(pages_of(spark, sf_dir), "page_id", "body_text", "parity", hashes=16).select("page_id", "sig")
+    return neardup.signatures(pages_of(spark, sf_dir), "page_id", "body_text", "parity").select("page_id", "sig")
 
 
 @query("near_duplicates")
@@ -370,19 +518,27 @@ def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("keyword_summary", f"SELECT keyword, count_if(in_title + in_meta_description + in_h1 + in_body > 0) AS pages, CAST(sum(in_title + in_meta_description + in_h1 + in_body) AS BIGINT) AS total, CAST(sum(in_title) AS BIGINT) AS in_title, CAST(sum(in_meta_description) AS BIGINT) AS in_meta_description, CAST(sum(in_h1) AS BIGINT) AS in_h1, CAST(sum(in_body) AS BIGINT) AS in_body FROM {_MATCHES} GROUP BY keyword")
 def keyword_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keywords.keyword_summary(pages_of(spark, sf_dir), WORDS).drop("ord", "urls")
+    return keywords.keyword_summary(pages_of(spark, sf_dir), WORDS).drop("ord")
+
+
+@query("keyword_urls", f"SELECT DISTINCT keyword, final_url FROM {_MATCHES} WHERE in_title + in_meta_description + in_h1 + in_body > 0")
+def keyword_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.keyword_urls(pages_of(spark, sf_dir), WORDS)
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _TERM = lambda c, p: f"SELECT final_url, '{p}' AS place, unnest(list_filter(string_split(trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9''\\-]+', ' ', 'g')), ' '), t -> length(t) >= 3 AND NOT list_contains({_STOP}, t))) AS term FROM pages"
 
 
+_PLACED = " UNION ALL ".join(f"SELECT page_id, {i} AS place_no, generate_subscripts(l, 1) AS pos, unnest(l) AS term FROM (SELECT page_id, string_split(trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9''\\-]+', ' ', 'g')), ' ') AS l FROM pages)" for i, c in enumerate(("title", "meta_description", "array_to_string(h1s, ' ')", "body_text")))
+
+
 @query("term_frequencies", "SELECT term, count(*) AS occurrences, count(DISTINCT final_url) AS pages, " + ", ".join(f"count_if(place = '{p}') AS in_{p}" for p in ("title", "meta_description", "h1", "body")) + " FROM (" + " UNION ALL ".join((_TERM("title", "title"), _TERM("meta_description", "meta_description"), _TERM("array_to_string(h1s, ' ')", "h1"), _TERM("body_text", "body"))) + ") GROUP BY term")
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keywords.term_frequencies(pages_of(spark, sf_dir))
+    return keywords.term_frequencies(pages_of(spark, sf_dir)).drop("first")
 
 
-@query("top_terms", "SELECT term, count(*) AS occurrences FROM (" + " UNION ALL ".join((_TERM("title", "title"), _TERM("meta_description", "meta_description"), _TERM("array_to_string(h1s, ' ')", "h1"), _TERM("body_text", "body"))) + ") GROUP BY term ORDER BY 2 DESC, 1 LIMIT 20")
+@query("top_terms", f"SELECT term, count(*) AS occurrences FROM ({_PLACED}) WHERE length(term) >= 3 AND NOT list_contains({_STOP}, term) GROUP BY term ORDER BY 2 DESC, min((page_id, place_no, pos)) LIMIT 20")
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.top_terms(pages_of(spark, sf_dir)).select("term", "occurrences")
 

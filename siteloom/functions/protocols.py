@@ -41,6 +41,11 @@ def parse_link_header(value: str | None) -> list[dict[str, Any]]:
     return out
 
 
+def link_rels(value: str | None) -> list[str]:
+    """The distinct relations that a Link header names, in lower case and in order."""
+    return list(dict.fromkeys(rel for link in parse_link_header(value) for rel in link["rel"]))
+
+
 # ---------------------------------------------------------------- robots.txt
 
 
@@ -79,25 +84,29 @@ def url_allowed(path: str, agent: str, rules: list[tuple[str, int, str, str]]) -
     return not fits or max(fits, key=lambda r: len(r[3]))[2] == "allow"
 
 
+# The signals, and the words for yes and no.
+SIGNALS, YES, NO = ("search", "ai-train", "ai-input"), ("yes", "allow", "true"), ("no", "disallow", "false")
+
+
 def parse_content_signals(text: str | None) -> dict[str, str]:
-    """The signals (search, ai-input, ai-train ...) of ``Content-Signal`` lines; later lines win."""
+    """The known signals of ``Content-Signal`` (or ``Content-Signals``) lines as yes or no; later lines win, other words are skipped."""
     out: dict[str, str] = {}
     for line in (text or "").splitlines():
-        m = re.match(r"\s*content-signal\s*:\s*(.*)$", line.split("#", 1)[0], re.IGNORECASE)
+        m = re.match(r"\s*content-signals?\s*:\s*(.*)$", line.split("#", 1)[0], re.IGNORECASE)
         for piece in (m[1] if m else "").split(","):
-            k, eq, v = piece.partition("=")
-            if eq and k.strip() and v.strip().lower() in ("yes", "no"):
-                out[k.strip().lower()] = v.strip().lower()
+            k, _, v = (x.strip().lower() for x in piece.partition("="))
+            if k in SIGNALS and v in YES + NO:
+                out[k] = "yes" if v in YES else "no"
     return out
 
 
 def evaluate_llms(text: str | None) -> dict[str, Any]:
-    """Heading, sections, links and bytes of an llms.txt."""
+    """Heading, sections, links and bytes of an llms.txt; headings may be indented, links may have titles."""
     body = text or ""
     return {
-        "has_h1": bool(re.search(r"^# \S", body, re.MULTILINE)),
-        "sections": len(re.findall(r"^## \S", body, re.MULTILINE)),
-        "links": len(re.findall(r"\[[^\]]+\]\([^)\s]+\)", body)),
+        "has_h1": bool(re.search(r"^\s*#\s+\S", body, re.MULTILINE)),
+        "sections": len(re.findall(r"^\s*##\s+\S", body, re.MULTILINE)),
+        "links": len(re.findall(r"\[[^\]]+\]\([^)]+\)", body)),
         "bytes": len(body.encode()),
     }
 
@@ -184,8 +193,9 @@ def ld_issues(nodes: list[dict[str, Any]]) -> list[str]:
         if "Product" in types:
             found += lacks("name", "SCHEMA_PRODUCT_MISSING_NAME") + lacks("image", "SCHEMA_PRODUCT_MISSING_IMAGE") + lacks("offers", "SCHEMA_PRODUCT_MISSING_OFFERS")
             offers = [o for o in _items(node.get("offers")) if isinstance(o, dict)] if present(node.get("offers")) else []
-            found += ["SCHEMA_PRODUCT_OFFERS_MISSING_PRICE"] * any(not present(o.get("price")) and not present(o.get("lowPrice")) for o in offers)
-            found += ["SCHEMA_PRODUCT_OFFERS_MISSING_CURRENCY"] * any(not present(o.get("priceCurrency")) for o in offers)
+            # the first offer that lacks something is the one reported
+            lacking = ("PRICE" if not present(o.get("price")) and not present(o.get("lowPrice")) else "" if present(o.get("priceCurrency")) else "CURRENCY" for o in offers)
+            found += [f"SCHEMA_PRODUCT_OFFERS_MISSING_{what}" for what in [next(filter(None, lacking), "")] if what]
         if types & {"Article", "BlogPosting", "NewsArticle"}:
             for field, name in (("headline", "HEADLINE"), ("image", "IMAGE"), ("datePublished", "DATE_PUBLISHED"), ("author", "AUTHOR")):
                 found += lacks(field, f"SCHEMA_ARTICLE_MISSING_{name}")

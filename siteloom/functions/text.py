@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 #: White space as scripts of web pages see it, no-break and other Unicode spaces included.
 SPACES = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
 
-#: Words that are no terms. A parameter of ``terms``; this default is a plain list of English function words.
+# The words of three letters or more that are no terms; shorter tokens are none anyway. A parameter of ``terms``.
 STOP_WORDS: tuple[str, ...] = tuple(
-    """about above after again against all also and any are because been before being below between both but can cannot could did does doing don down during each even few for from further
-    get got had has have having her here hers herself him himself his how into its itself just let may more most myself need nor not now off once only other our ours ourselves out over own
-    same she should some such than that the their theirs them themselves then there these they this those through too under until upon very was were what when where which while who whom why will with would you your yours
-    yourself yourselves""".split()
+    """about above after again against ain all also and any are aren because been before being below between both but can cannot could couldn did didn does doesn doing don down during each even few for from further
+    get got had hadn has hasn have haven having her here hers herself him himself his how into isn its itself just let may mightn more most mustn myself need needn nor not now off once only other our ours ourselves out over own
+    same shan she should shouldn some such than that the their theirs them themselves then there these they this those through too under until very was wasn were weren what when where which while who whom why will with won would wouldn
+    you your yours yourself yourselves
+    ago already always another anything around back come coming else everything find first follow give going good great home however include keep know last like look make many might much must new next old one part place right
+    said say see set since still sure take tell thing think though three time two use used using via want way well whole within work year yet""".split()
 )
 
 

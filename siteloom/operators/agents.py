@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.functions.protocols import evaluate_llms, parse_content_signals, parse_robots, url_allowed
+from siteloom.functions.protocols import evaluate_llms, link_rels, parse_content_signals, parse_robots, url_allowed
 
 # Agents whose policies are looked up, their files, and what counts as an article and an organisation.
 AI_AGENTS = ("GPTBot", "ChatGPT-User", "OAI-SearchBot", "ClaudeBot", "anthropic-ai", "PerplexityBot", "Google-Extended", "CCBot", "Bytespider", "Applebot-Extended", "cohere-ai", "Meta-ExternalAgent")
@@ -51,6 +51,32 @@ def schema_coverage(pages: DataFrame, start_url: str) -> DataFrame:
     )
 
 
+#: A fetcher takes (url, method, headers) and gives (status, headers, text); it raises if there is no answer.
+Probe = Callable[[str, str, dict[str, str]], tuple[int, dict[str, str], str]]
+WEB_BOT_AUTH = "http-message-signatures-directory"
+
+
+def probe_site(start_url: str, fetch: Probe) -> dict[str, Any]:
+    """What a site offers to agents: ``probes`` as ``readiness`` takes them, ``statuses`` of the well-known files (None without an answer), and
+    ``link_rels`` of the start page's Link header."""
+    origin = re.match(r"[A-Za-z][\w+.\-]*://[^/?#]*", start_url)[0]
+
+    def ask(url: str, method: str = "GET", headers: dict[str, str] | None = None) -> tuple[int | None, dict[str, str]]:
+        try:
+            status, got, _ = fetch(url, method, headers or {})
+            return status, {k.lower(): v for k, v in got.items()}
+        except Exception:
+            return None, {}
+
+    ok = lambda status: status is not None and 200 <= status < 300
+    statuses = {name: ask(f"{origin}/.well-known/{name}")[0] for name in (*WELL_KNOWN, WEB_BOT_AUTH)}
+    status, headers = ask(start_url, headers={"Accept": "text/markdown"})
+    kind = headers.get("content-type", "").lower()
+    rels = link_rels(ask(start_url, "HEAD")[1].get("link"))
+    probes = {name: ok(statuses[name]) for name in WELL_KNOWN} | {"web-bot-auth": ok(statuses[WEB_BOT_AUTH]), "markdown": ok(status) and ("text/markdown" in kind or "application/markdown" in kind)}
+    return {"probes": probes, "statuses": statuses, "link_rels": rels}
+
+
 def readiness(robots_txt: str | None, llms_txt: str | None, coverage: Mapping[str, Any], probes: Mapping[str, bool], sitemap: bool = True, link_header: bool = False, llms_full: bool = False) -> dict[str, Any]:
     """Four scores of at most 100, their rounded mean, and the issues as (code, severity).
 

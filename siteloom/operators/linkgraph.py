@@ -55,10 +55,33 @@ def top_pages(ranked: DataFrame, n: int = TOP) -> DataFrame:
     return ranked.orderBy(F.desc("page_rank"), "crawl_order").limit(n)
 
 
+def exact_median(rows: DataFrame, column: str) -> float | None:
+    """The median of a column, without holding its values in one buffer: bracketed by approximate quantiles, then counted exactly
+    over the distinct values inside the bracket, which are read in order up to the middle. Nulls don't count."""
+    known = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    n, marks = known.agg(F.count(F.lit(1)), F.percentile_approx("x", [0.495, 0.505], 1000)).first()
+    if not n:
+        return None
+    low, high = marks
+    below = known.where(F.col("x") < low).count()
+    first, last = (n - 1) // 2, n // 2
+    inside = known.where((F.col("x") >= low) & (F.col("x") <= high)).groupBy("x").agg(F.count(F.lit(1)).alias("k"))
+    if below > first or below + (inside.agg(F.sum("k")).first()[0] or 0) <= last:
+        below, inside = 0, known.groupBy("x").agg(F.count(F.lit(1)).alias("k"))
+    seen, found = below, []
+    for r in inside.orderBy("x").toLocalIterator():
+        seen += r["k"]
+        while len(found) < 2 and seen > (first, last)[len(found)]:
+            found.append(r["x"])
+        if len(found) == 2:
+            break
+    return sum(found) / 2
+
+
 def underlinked_pages(ranked: DataFrame, n: int = TOP) -> DataFrame:
-    """Pages with more words than the median and at most the median rank, most words first. The medians are exact and two numbers."""
-    words, rank = ranked.agg(F.median(F.coalesce("word_count", F.lit(0))), F.median("page_rank")).first()
-    if words is None:
+    """Pages with more words than the median and at most the median rank, most words first. The medians are exact."""
+    words, rank = exact_median(ranked.withColumn("word_count", F.coalesce("word_count", F.lit(0))), "word_count"), exact_median(ranked, "page_rank")
+    if words is None or rank is None:
         return ranked.limit(0)
     return ranked.where((F.col("word_count") > words) & (F.col("page_rank") <= rank)).orderBy(F.desc("word_count"), "crawl_order").limit(n)
 

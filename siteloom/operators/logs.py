@@ -173,6 +173,17 @@ def hit_counters(hits: DataFrame, bots: Sequence[tuple[str, str]] = BOTS) -> Dat
     return hits.agg(F.count(F.lit(1)).alias("total_lines"), F.count_if(bad).alias("parse_errors"), F.count_if(~bad & classify_bot(F.col("user_agent"), bots).isNotNull()).alias("bot_lines"))
 
 
+def verdict_counters(hits: DataFrame, verified: bool) -> DataFrame:
+    """``spoofed_hits, unverified_bot_hits``; without verification every bot's hit is unverified."""
+    return hits.agg(F.count_if(F.lit(verified) & (F.col("verdict") == "spoofed")).alias("spoofed_hits"), F.count_if(F.lit(not verified) | (F.col("verdict") == "unverified")).alias("unverified_bot_hits"))
+
+
+def fails(issues: Sequence[tuple[str, str]], severity: str | None) -> bool:
+    """Whether issues (code, severity) reach the severity from which a run counts as failed; None never does."""
+    order = ("high", "medium", "low")
+    return severity is not None and any(order.index(s) <= order.index(severity) for _, s in issues)
+
+
 def orphans(urls: DataFrame, pages: DataFrame, cap: int | None = ORPHAN_CAP) -> DataFrame:
     """Visited URLs that no page of the crawl has, as requested or final URL, most hits first."""
     known = pages.select(F.explode(F.array("url", "final_url")).alias("url")).distinct()
@@ -212,6 +223,7 @@ class LogReport:
     orphans: DataFrame | None = None
     stale: DataFrame | None = None
     mismatches: DataFrame | None = None
+    verdicts: DataFrame | None = None
     issues: list[tuple[str, str]] = field(default_factory=list)
 
 

@@ -16,6 +16,8 @@ from siteloom.session import staged
 
 # Fixed values.
 HASHES, BANDS, ROWS, SHINGLE, THRESHOLD, FEWEST_TOKENS = 128, 16, 8, 5, 0.85, 50
+#: Members of a band up to which all pairs of it are compared.
+PAIRED = 32
 #: Before each shingle, with the number of the hash; set it to compare signatures with another system.
 SALT = "minhash-salt-"
 
@@ -65,17 +67,35 @@ def shingle_words(text: str) -> list[str]:
     return [t for t in _NO_WORD.sub(" ", text.lower()).split() if len(t) >= 2]
 
 
+def _met(keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs of signatures ``a, b`` that share a key of at most ``PAIRED`` members, and the other keys with their least and greatest member."""
+    groups = keys.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("n > 1")
+    near = keys.join(groups.where(F.col("n") <= PAIRED).select(key), key, "left_semi")
+    pairs = near.select(key, F.col("sid").alias("a")).join(near.select(key, F.col("sid").alias("b")), key).where("a < b").select("a", "b")
+    return pairs, groups.where(F.col("n") > PAIRED).select(key, "lo", "hi")
+
+
 def similar_signatures(signed: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """``a, b, similarity`` between different signatures (``sid``) that share a band and agree in at least ``threshold`` of their values.
 
-    Equal signatures are one ``sid``, so copies make no pairs. Candidates meet by hash of band and
-    values, an equality join whose hot keys AQE splits; each pair is kept once before signatures are compared.
+    Equal signatures are one ``sid``, so copies make no pairs. The members of a band are all compared if they are at most ``PAIRED``.
+    A larger band is taken apart by the members' other bands: signatures that agree in 85 % of their values share a second
+    band with a probability of 99 %. What is still large then are signatures that share two bands or more; each is linked to
+    the least and the greatest of them. So work is linear in any band, and clusters, which are
+    connected by links, lose next to nothing.
     """
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows))))
+    at = lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows))
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), at))
     keys = staged(signed.select("sid", band.alias("band")), "bands")
-    hot = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    near = keys.join(hot, "band", "left_semi")
-    pairs = near.select("band", F.col("sid").alias("a")).join(near.select("band", F.col("sid").alias("b")), "band").where("a < b").select("a", "b").distinct()
+    pairs, hot = _met(keys, "band")
+    hot = staged(hot.select("band"), "hot-bands")
+    if not hot.isEmpty():
+        members = keys.join(hot, "band", "left_semi").withColumnRenamed("band", "hot")
+        finer = staged(members.join(keys, "sid").where("hot != band").select("sid", F.xxhash64(F.least("hot", "band"), F.greatest("hot", "band")).alias("key")).distinct(), "finer-bands")
+        more, groups = _met(finer, "key")
+        stars = finer.join(groups, "key").select("sid", F.explode(F.array("lo", "hi")).alias("rep")).where("sid != rep").select(F.least("sid", "rep").alias("a"), F.greatest("sid", "rep").alias("b"))
+        pairs = pairs.unionByName(more).unionByName(stars)
+    pairs = pairs.distinct()
     sig = signed.select("sid", "sig")
     both = pairs.join(sig.select(F.col("sid").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("sid").alias("b"), F.col("sig").alias("sb")), "b")
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda v: v)) / F.size("sa")

@@ -100,11 +100,11 @@ def markup_rules(required: list[str] | None = None) -> list[tuple[str, Column]]:
 
 def header_rules() -> list[tuple[str, Column]]:
     """Rules on response headers. Link headers are split on commas before a target, so commas inside one don't matter."""
-    robots = F.transform(F.split(F.lower(F.coalesce(header("x-robots-tag"), F.lit(""))), ","), F.trim)
+    robots = F.transform(F.split(F.lower(F.coalesce(header("x-robots-tag"), F.lit(""))), ","), lambda x: F.trim(x))
     plain = F.filter(robots, lambda d: ~d.contains(":"))
     cache = F.lower(F.coalesce(header("cache-control"), F.lit("")))
     encoding = F.lower(F.trim(F.coalesce(header("content-encoding"), F.lit(""))))
-    vary = F.transform(F.split(F.lower(F.coalesce(header("vary"), F.lit(""))), ","), F.trim)
+    vary = F.transform(F.split(F.lower(F.coalesce(header("vary"), F.lit(""))), ","), lambda x: F.trim(x))
     links = F.filter(F.split(F.coalesce(header("link"), F.lit("")), r",\s*(?=<)"), lambda p: p.rlike(r'(?i);\s*rel\s*=\s*("[^"]*\bcanonical\b[^"]*"|canonical\b)'))
     target = F.regexp_extract(F.get(links, F.lit(0)), "<([^>]*)>", 1)
     origin = F.regexp_extract("final_url", r"^[a-zA-Z][\w+.\-]*://[^/?#]*", 0)
@@ -173,6 +173,17 @@ def web_vitals(rows: DataFrame) -> DataFrame:
     return out.withColumn("codes", F.array_compact(F.array(grade("lcp_ms", 2500, 4000, "LCP"), grade("inp_ms", 200, 500, "INP"), grade("cls", 0.1, 0.25, "CLS"))))
 
 
+def field_data_issues(rows: DataFrame | None, spark_rows: DataFrame, key_given: bool = True) -> DataFrame:
+    """``site, code, severity`` of field data that was asked for: what ``web_vitals`` finds, CRUX_QUERY_FAILED where ``raw_json`` is null or no
+    JSON, and CRUX_API_KEY_MISSING alone for every site of ``spark_rows`` where there was no key to ask with."""
+    if not key_given or rows is None:
+        found = spark_rows.select("site", F.lit("CRUX_API_KEY_MISSING").alias("code"))
+    else:
+        failed = F.try_parse_json("raw_json").isNull()
+        found = web_vitals(rows).withColumn("codes", F.when(failed, F.array(F.lit("CRUX_QUERY_FAILED"))).otherwise(F.col("codes"))).select("site", F.explode("codes").alias("code"))
+    return found.select("site", "code", severity_of(F.col("code")).alias("severity"))
+
+
 def speed_reports(rows: DataFrame) -> DataFrame:
     """Scores (0 to 100) and metrics of speed audits from ``raw_json``; what is absent is null."""
     score = lambda name: half_up(F.expr(f"try_variant_get(_v, '$.categories[\"{name}\"].score', 'double')") * 100)
@@ -200,4 +211,4 @@ def infrastructure_issues(site: DataFrame, now: str, stale_days: int = 365) -> D
     return site.select("site", F.explode(codes_of(rules)).alias("code")).select("site", "code", severity_of(F.col("code")).alias("severity"))
 
 
-__all__ = ["SEVERITY", "SITE_SEVERITY", "audit_issues", "codes_of", "expected_locale", "header_rules", "infrastructure_issues", "is_html", "markup_rules", "metadata_rules", "robots_allows", "rule_issues", "severity_of", "speed_reports", "web_vitals"]
+__all__ = ["SEVERITY", "SITE_SEVERITY", "audit_issues", "codes_of", "expected_locale", "field_data_issues", "header_rules", "infrastructure_issues", "is_html", "markup_rules", "metadata_rules", "robots_allows", "rule_issues", "severity_of", "speed_reports", "web_vitals"]

@@ -44,18 +44,22 @@ def bucket_quotas(sizes: list[tuple[str, int]], sample: int) -> dict[str, int]:
 def sampled_urls(urls: DataFrame, sample: int) -> DataFrame:
     """``url, bucket`` of at most ``sample`` distinct URLs: buckets by language and first segment, evenly spaced inside.
 
-    Buckets are counted and numbered in Spark; the driver sees one row per bucket, of which a site has
-    few. Without more URLs than wanted, all are taken.
+    Buckets are counted and numbered in Spark; the driver sees at most one bucket more than URLs are wanted.
+    Without more URLs than wanted, all are taken.
     """
     rows = urls.select("url").where("url is not null").distinct().withColumn("bucket", bucket_key(F.col("url")))
-    sizes = [(r["bucket"], r["n"]) for r in rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()]
-    quota = bucket_quotas(sizes, sample) if sum(n for _, n in sizes) > sample else dict(sizes)
+    counted = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    # at most ``sample`` buckets can get a place, the largest; more never reach the driver
+    largest = [(r["bucket"], r["n"]) for r in counted.orderBy(F.desc("n"), "bucket").limit(sample + 1).collect()]
+    if len(largest) <= sample and sum(n for _, n in largest) <= sample:
+        return rows.select("url", "bucket")
+    quota = bucket_quotas(largest, sample)
     if not quota:
-        return rows.limit(0)
-    plan = urls.sparkSession.createDataFrame([(k, int(q), int(n)) for k, n in sizes if (q := quota.get(k, 0)) > 0], "bucket string, quota int, size int")
+        return rows.limit(0).select("url", "bucket")
+    plan = urls.sparkSession.createDataFrame([(k, int(quota[k]), int(n)) for k, n in largest if quota.get(k)], "bucket string, quota int, size int")
     # numbered in two levels, so a hot bucket isn't sorted in one task: by the URL's head, then inside
     head = F.substring("url", 1, HEAD)
-    placed = rows.join(F.broadcast(plan), "bucket").withColumn("head", head)
+    placed = rows.join(plan, "bucket").withColumn("head", head)
     before = Window.partitionBy("bucket").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("bucket", "head").agg(F.count(F.lit(1)).alias("n")).select("bucket", "head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     number = F.row_number().over(Window.partitionBy("bucket", "head").orderBy("url")) - 1

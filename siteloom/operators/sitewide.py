@@ -40,17 +40,23 @@ def is_indexable() -> Column:
     return (F.col("status") >= 200) & (F.col("status") < 400) & html & ~has_code("ROBOTS_NOINDEX")
 
 
-def listed(rows: DataFrame, keys: By, column: str, name: str) -> DataFrame:
-    """``keys`` and a sorted array of all values of ``column``."""
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias(name))
+def _keyed(pages: DataFrame, column: str, by: By) -> DataFrame:
+    return pages.where(F.col(column).isNotNull() & (F.col(column) != "")).select(*by, "final_url", "crawl_order", F.col(column).alias("value"), F.xxhash64(duplicate_key(F.col(column))).alias("key"))
+
+
+def _groups(named: DataFrame, by: By) -> DataFrame:
+    return named.groupBy(*by, "key").agg(F.min_by("value", "crawl_order").alias("value"), F.count(F.lit(1)).alias("count")).where("count > 1")
 
 
 def duplicate_groups(pages: DataFrame, column: str, by: By = ()) -> DataFrame:
-    """Values that several pages share: ``by, value, count, urls``. The value is spelled as on the first page; all URLs are listed."""
-    named = pages.where(F.col(column).isNotNull() & (F.col(column) != "")).select(*by, "final_url", "crawl_order", F.col(column).alias("value"), F.xxhash64(duplicate_key(F.col(column))).alias("key"))
-    groups = named.groupBy(*by, "key").agg(F.min_by("value", "crawl_order").alias("value"), F.count(F.lit(1)).alias("count")).where("count > 1")
-    urls = listed(named, [*by, "key"], "final_url", "urls")
-    return groups.join(urls, [*by, "key"]).select(*by, "value", "count", "urls")
+    """Values that several pages share: ``by, value, count``. The value is spelled as on the first page; ``duplicate_members`` has the pages."""
+    return _groups(_keyed(pages, column, by), by).select(*by, "value", "count")
+
+
+def duplicate_members(pages: DataFrame, column: str, by: By = ()) -> DataFrame:
+    """``by, value, final_url``: every page of every group, one row each, so no group is held in one row or task."""
+    named = _keyed(pages, column, by)
+    return named.drop("value").join(_groups(named, by), [*by, "key"]).select(*by, "value", "final_url")
 
 
 def duplicate_issues(pages: DataFrame, column: str, code: str, severity: str, by: By = ()) -> DataFrame:
@@ -175,14 +181,19 @@ def site_summary(pages: DataFrame, by: By = ()) -> DataFrame:
 
 
 def issue_catalog(issues: DataFrame) -> DataFrame:
-    """Per code: severity and message of its first issue, its count and the URLs; high severities first."""
+    """Per code: severity and message of its first issue, its count, and on how many URLs; high severities first. ``issue_urls`` has the URLs."""
     first = F.struct("crawl_order", "ord")
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
     codes = issues.groupBy("code").agg(F.min_by("severity", first).alias("severity"), F.min_by("message", first).alias("message"), F.count(F.lit(1)).alias("count"))
-    urls = listed(issues.select("code", "final_url").distinct(), ["code"], "final_url", "urls")
+    urls = issue_urls(issues).groupBy("code").agg(F.count(F.lit(1)).alias("n_urls"))
     return codes.join(urls, "code").orderBy(rank, F.desc("count"), "code")
 
 
+def issue_urls(issues: DataFrame) -> DataFrame:
+    """``code, final_url``: the distinct URLs of each code, one row each."""
+    return issues.select("code", "final_url").distinct()
+
+
 def priority_issues(pages: DataFrame, limit: int = 10) -> DataFrame:
     """High and medium issues of pages with traffic, high first, then by impressions, or sessions where there are none.
 

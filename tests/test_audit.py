@@ -1,12 +1,13 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteloom.operators import components, diff, enrichment, keywords, linkgraph, logs, neardup, rules, sampling, sitewide
+from siteloom.operators import agents, components, diff, enrichment, keywords, linkgraph, logs, neardup, rules, sampling, sitewide
 from siteloom.plans.audit import analyze_logs, audit, scan_directory
-from siteloom.plans.render import diff_text, to_html, to_json, to_text
+from siteloom.plans.render import diff_text, log_html, log_json, log_text, to_html, to_json, to_text, write_json
 from siteloom.sources import crawls
 from siteloom.streaming import logs as streams
 
@@ -140,7 +141,10 @@ def test_log_analysis(spark):
     assert [o.url for o in r.orphans.collect()] == [S + "/orphan"] and [(m.url, m.worst_status, m.hits) for m in r.mismatches.collect()] == [(S + "/broken", 503, 1)]
     assert [x.url for x in r.stale.collect()] == [S + "/x"] and r.issues == [("LOG_BASELINE_STALE", "low")] and r.window.first().duration_hours == 2
     assert {x.code for x in logs.log_issues(r).collect()} == {"LOG_ORPHAN_PAGE", "LOG_STATUS_MISMATCH", "LOG_STALE_PRIORITY_PAGE"}
-    late = analyze_logs(lines, S, "combined", since="2026-04-25T11:00:00Z", until="2026-04-25T12:00:00Z")
+    assert tuple(r.verdicts.first()) == (1, 0) and json.loads(log_json(r))["summary"]["spoofed_hits"] == 1 and "BOTS" in log_text(r) and "<table>" in log_html(r)
+    assert logs.fails(r.issues, "low") and not logs.fails(r.issues, "medium") and not logs.fails(r.issues, None)
+    assert analyze_logs(lines, S, "combined").issues == []
+    late = analyze_logs(lines, S, "combined", since="2026-04-25T11:00:00Z", until="2026-04-25T12:00:00Z", verify=True)
     assert late.bots.collect()[0].hits == 2 and late.orphans is None and ("LOG_DNS_UNAVAILABLE", "low") in late.issues
     with pytest.raises(ValueError):
         analyze_logs(spark.createDataFrame([("garbage",)], "value string"), S)
@@ -185,10 +189,10 @@ def test_directory_and_keywords(spark, tmp_path):
     (tmp_path / "sub" / "index.HTML").write_text(page("Alpha beta", body="alpha alpha"))
     (tmp_path / "x.htm").write_text(page("Gamma", extra='<link rel="canonical" href="https://k.example/x">'))
     (tmp_path / "no.txt").write_text("alpha")
-    (tmp_path / "kw").write_text("alpha # c\n\n beta \nalpha\n")
+    (tmp_path / "kw").write_text("# c\nalpha\n\n beta \nalpha\nc# guide\n")
     words = crawls.keyword_file(spark, str(tmp_path / "kw"))
-    r = scan_directory(spark, str(tmp_path), words, 2)
-    assert words == ["alpha", "beta"] and {x.final_url for x in r.pages.collect()} == {"/sub/", "https://k.example/x"}
+    r = scan_directory(spark, str(tmp_path), words[:2], 2)
+    assert words == ["alpha", "beta", "c# guide"] and {x.final_url for x in r.pages.collect()} == {"/sub/", "https://k.example/x"}
     assert {(k.keyword, k.total) for k in r.parts["keywords"].collect()} == {("alpha", 3), ("beta", 1)}
 
 
@@ -221,5 +225,82 @@ def test_groups_list_every_url(spark):
     urls = [f"{S}/{i:04}" for i in range(1050)]
     schema = "final_url string, crawl_order int, title string, meta_description string, h1s array<string>, body_text string, issues array<struct<code:string,severity:string,message:string,recommendation:string>>"
     pages = spark.createDataFrame([(u, i, "Same", None, [], "", [("X", "low", "m", "")]) for i, u in enumerate(urls)], schema)
-    group, code, word = sitewide.duplicate_groups(pages, "title").first(), sitewide.issue_catalog(sitewide.page_issues(pages)).first(), keywords.keyword_summary(pages, ["same"]).first()
-    assert group["count"] == code["count"] == word.pages == 1050 and group.urls == code.urls == word.urls == urls
+    issues = sitewide.page_issues(pages)
+    group, code, word = sitewide.duplicate_groups(pages, "title").first(), sitewide.issue_catalog(issues).first(), keywords.keyword_summary(pages, ["same"]).first()
+    assert group["count"] == code["count"] == code.n_urls == word.pages == 1050
+    for rows in (sitewide.duplicate_members(pages, "title"), sitewide.issue_urls(issues), keywords.keyword_urls(pages, ["same"])):
+        assert sorted(r.final_url for r in rows.collect()) == urls
+
+
+def test_site_files_field_data_and_agents_count(spark, tmp_path):
+    files = {"robots.txt": (200, "User-agent: *\nDisallow: /\n"), "sitemap.xml": (404, ""), "llms.txt": (None, "")}
+    site = crawls.site_row(spark, S, files)
+    vitals = spark.createDataFrame([(S, None)], "site string, raw_json string")
+    probes = agents.probe_site(S + "/", lambda url, method, headers: (200, {"Content-Type": "text/markdown", "Link": '</x>; rel="api describedby"'}, "") if url == S + "/" else (404, {}, ""))
+    assert probes["link_rels"] == ["api", "describedby"] and probes["probes"]["markdown"] and not probes["probes"]["api-catalog"] and probes["statuses"]["api-catalog"] == 404
+    out = audit(captures(spark, {"/": page("Home of the tested site")}), S + "/", robots_txt=files["robots.txt"][1], site=site, now="2026-01-01", field_data=vitals, agent_probes=probes, content_dedup=False, link_graph=False)
+    own = {r.code for r in out.parts["site_issues"].collect()}
+    assert own == {"ROBOTS_BLOCKS_ALL", "ROBOTS_NO_SITEMAP", "SITEMAP_MISSING", "LLMSTXT_UNREACHABLE", "CRUX_QUERY_FAILED", "AGENT_NO_EXPLICIT_AI_POLICY", "AGENT_HOMEPAGE_NO_ORG"}
+    s = out.summary.first()
+    assert s.issues_high + s.issues_medium + s.issues_low == out.issues.count() + len(own)
+    write_json(out, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "site_issues")).count() == len(own)
+    missing = rules.field_data_issues(None, vitals.select("site"), key_given=False).collect()
+    assert [(r.code, r.severity) for r in missing] == [("CRUX_API_KEY_MISSING", "medium")]
+
+
+def test_near_duplicates_of_a_hot_band(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 30, 128)
+    sigs = []
+    for k in range(6):  # six clusters that share one band, so it is hot
+        centre = rng.integers(0, 1 << 30, 128)
+        centre[:8] = base[:8]
+        for _ in range(15):
+            one = centre.copy()
+            at = rng.choice(np.arange(8, 128), 8, replace=False)
+            one[at] = rng.integers(0, 1 << 30, 8)
+            sigs.append((k, one))
+    df = spark.createDataFrame([(i, s.tolist()) for i, (_, s) in enumerate(sigs)], "sid long, sig array<long>")
+    pairs = neardup.similar_signatures(df)
+    assert {sigs[r.a][0] == sigs[r.b][0] for r in pairs.collect()} == {True}
+    comp = {r.id: r.component for r in components.connected_components(pairs.select("a", "b")).collect()}
+    assert len(comp) == len(sigs) and len({(sigs[i][0], c) for i, c in comp.items()}) == 6
+
+
+def test_median_and_numbers(spark):
+    values = [float(i % 37) for i in range(1001)] + [None]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    assert linkgraph.exact_median(rows, "x") == np.median([v for v in values if v is not None]) and linkgraph.exact_median(rows.limit(0), "x") is None
+    assert linkgraph.exact_median(spark.createDataFrame([(1.0,), (2.0,)], "x double"), "x") == 1.5
+    urls = [f"{S}/{i % 7}/{i:03}" for i in range(90)]
+    got = crawls.numbered(spark.createDataFrame([(i % 2, u) for i, u in enumerate(urls)], "g int, u string"), ["g"], "u", "n", head=22).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(90)) and [(r.g, r.u) for r in got] == sorted((i % 2, u) for i, u in enumerate(urls))
+
+
+def test_components_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))]
+    label = {x: x for e in edges for x in e}
+    for _ in range(300):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == label
+
+
+def test_page_url_of_a_file(spark, tmp_path):
+    (tmp_path / "a.html").write_text('<base href="https://b.example/"><meta property="og:url" content="https://b.example/og">')
+    (tmp_path / "b.html").write_text('<base href="https://b.example/x">')
+    (tmp_path / "c.html").write_text('<meta property="og:url" content="https://b.example/og"><link href=" https://c.example/c " rel="canonical">')
+    (tmp_path / "d.html").write_text('<meta property="og:url" content="https://b.example/og"><link rel="canonical" href="/rel">')
+    assert sorted(r.url for r in crawls.html_folder(spark, str(tmp_path)).collect()) == ["/d.html", "https://b.example/og", "https://b.example/x", "https://c.example/c"]
+
+
+def test_nested_sitemaps_keep_their_order(spark):
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>s{i}</loc></sitemap>" for i in range(60)) + "</sitemapindex>"
+    files = spark.createDataFrame([("r", index)] + [(f"s{i}", f"<urlset><url><loc>https://s.example/{i}</loc></url></urlset>") for i in range(60)], "url string, xml string")
+    urls, limited = crawls.sitemap_seeds(files, ["r"], max_files=5)
+    assert sorted(r.url for r in urls.collect()) == [f"https://s.example/{i}" for i in range(4)] and limited
+    everything, limited = crawls.sitemap_seeds(files, ["r"], max_files=61)
+    assert everything.count() == 60 and not limited

@@ -61,6 +61,10 @@ def test_robots():
     assert P.url_allowed("/x/y/z", "a", r["rules"]) and not P.url_allowed("/x/q", "a", r["rules"]) and P.url_allowed("/x", "none", [])
     assert P.parse_robots("User-agent: *\nDisallow: /")["blocks_all"] and P.parse_robots(None)["rules"] == []
     assert P.parse_content_signals("Content-Signal: search=yes, ai-train=no\ncontent-signal: ai-train=yes, x=maybe") == {"search": "yes", "ai-train": "yes"}
+    assert P.parse_content_signals("Content-Signals: ai-input=disallow, search=TRUE, other=yes") == {"ai-input": "no", "search": "yes"}
+    llms = P.evaluate_llms("  # T\n\n  ## S\n[a](b \"title\")\n[c](d)")
+    assert llms["has_h1"] and llms["sections"] == 1 and llms["links"] == 2
+    assert P.link_rels('</a>; rel="Next prev", </b>; rel=next') == ["next", "prev"]
 
 
 def test_sitemaps():
@@ -71,6 +75,7 @@ def test_sitemaps():
 
 @pytest.mark.parametrize(("node", "codes"), [
     ({"@type": "Product", "name": "n", "image": ["i"], "offers": {"price": 0}}, ["SCHEMA_PRODUCT_OFFERS_MISSING_CURRENCY"]), ({"@type": "Product"}, ["SCHEMA_PRODUCT_MISSING_NAME", "SCHEMA_PRODUCT_MISSING_IMAGE", "SCHEMA_PRODUCT_MISSING_OFFERS"]),
+    ({"@type": "Product", "name": "n", "image": ["i"], "offers": {"x": 0}}, ["SCHEMA_PRODUCT_OFFERS_MISSING_PRICE"]), ({"@type": "Product", "name": "n", "image": ["i"], "offers": [{"price": 1, "priceCurrency": "EUR"}, {"price": 2}, {}]}, ["SCHEMA_PRODUCT_OFFERS_MISSING_CURRENCY"]),
     ({"@type": "FAQPage", "mainEntity": []}, ["SCHEMA_FAQ_NO_QUESTIONS"]), ({"@type": "FAQPage", "mainEntity": [{"name": "q"}]}, ["SCHEMA_FAQ_QUESTION_INCOMPLETE"]), ({"@type": "BreadcrumbList", "itemListElement": [{"position": 1, "name": "x"}]}, ["SCHEMA_BREADCRUMB_ITEM_INCOMPLETE"]),
     ({"@type": "LocalBusiness", "name": "n", "url": "u", "logo": "l", "address": {"a": 1}}, ["SCHEMA_LOCALBUSINESS_MISSING_TELEPHONE"]), ({"@type": "Organization", "name": " "}, ["SCHEMA_ORG_MISSING_NAME", "SCHEMA_ORG_MISSING_URL", "SCHEMA_ORG_MISSING_LOGO"]), ({"@type": "Thing"}, []),
 ])
@@ -108,11 +113,14 @@ def test_fetching():
         calls.append(url)
         if url == "http://h/busy":
             return (503, {}, "") if calls.count(url) < 3 else (200, {}, "late")
+        if url == "http://h/odd":
+            return 501, {}, "odd"
         return site[url]
 
     got = fetch_page("http://h/a", fetch, pause=lambda s: None)
     assert (got["final_url"], got["status"], len(got["redirect_chain"]), got["html"]) == ("http://h/c", 200, 2, "ok")
     assert fetch_page("http://h/busy", fetch, pause=lambda s: None)["html"] == "late"
+    assert fetch_page("http://h/odd", fetch, pause=lambda s: None)["status"] == 501 and calls.count("http://h/odd") == 1
     assert fetch_page("http://h/l", fetch, pause=lambda s: None)["status"] == 0 and fetch_page("http://h/none", fetch, pause=lambda s: None)["status"] == 0
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions.url import match_url, toggled_slash, url_host
 
+
 def _once(key: Column) -> Column:
     """A key computed once: a generator keeps the optimizer from repeating its expression in every filter and join that uses it."""
     return F.explode(F.array(key))
@@ -31,18 +34,38 @@ def traffic_index(traffic: DataFrame, fields: tuple[str, ...], ord_col: str | No
     return both.groupBy("key").agg(F.min_by("value", F.struct("prio", "first")).alias("value"))
 
 
-def with_traffic(pages: DataFrame, gsc: DataFrame | None = None, ga4: DataFrame | None = None) -> DataFrame:
-    """``pages`` with a ``metrics`` struct of nullable ``gsc`` and ``ga4``, matched on the canonical final URL."""
+def with_sources(pages: DataFrame, sources: Mapping[str, tuple[DataFrame | None, Sequence[str]]]) -> DataFrame:
+    """``pages`` with a ``metrics`` struct that has a nullable struct per source, matched on the canonical final URL.
+
+    ``sources`` maps a name to a table with ``url`` and metrics (None: the struct is null) and the names of its metrics.
+    """
     out = pages.withColumn("_key", _once(match_url(F.col("final_url"))))
     parts = []
-    for name, table, fields in (("gsc", gsc, GSC_FIELDS), ("ga4", ga4, GA4_FIELDS)):
-        empty = F.lit(None).cast("struct<" + ",".join(f"{f}:double" for f in fields) + ">")
+    for name, (table, fields) in sources.items():
         if table is None:
-            parts.append(empty.alias(name))
+            parts.append(F.lit(None).cast("struct<" + ",".join(f"{f}:double" for f in fields) + ">").alias(name))
         else:
-            out = out.join(traffic_index(table, fields).select(F.col("key").alias("_key"), F.col("value").alias(f"_{name}")), "_key", "left")
+            out = out.join(traffic_index(table, tuple(fields)).select(F.col("key").alias("_key"), F.col("value").alias(f"_{name}")), "_key", "left")
             parts.append(F.col(f"_{name}").alias(name))
-    return out.withColumn("metrics", F.struct(*parts)).drop("_key", "_gsc", "_ga4")
+    return out.withColumn("metrics", F.struct(*parts)).drop("_key", *[f"_{name}" for name in sources])
+
+
+def with_traffic(pages: DataFrame, gsc: DataFrame | None = None, ga4: DataFrame | None = None) -> DataFrame:
+    """``with_sources`` for search traffic and analytics."""
+    return with_sources(pages, {"gsc": (gsc, GSC_FIELDS), "ga4": (ga4, GA4_FIELDS)})
+
+
+def loaded_sources(loaders: Mapping[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame | None], list[tuple[str, str]]]:
+    """The tables of several sources, and a row (source, message) for each that couldn't be had; its table is None, so the others still count."""
+    tables: dict[str, DataFrame | None] = {}
+    errors: list[tuple[str, str]] = []
+    for name, load in loaders.items():
+        try:
+            tables[name] = load()
+        except Exception as e:
+            tables[name] = None
+            errors.append((name, str(e).splitlines()[0] if str(e) else type(e).__name__))
+    return tables, errors
 
 
 def match_counts(pages: DataFrame, traffic: DataFrame, fields: tuple[str, ...] = GSC_FIELDS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siteloom.session import staged
@@ -26,22 +26,26 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, it
 
     ``vertices(id)`` are distinct, ``edges(src, dst)`` run between them. Rank of vertices without
     out-edges is spread evenly. Edges are written once with their source's out-degree; each iteration is one
-    join and one aggregation, with its ranks written to the shared folder, so lineage never
-    grows and the sum of dangling rank is read back as one number. No vertices give no rows.
+    job: a join, an aggregation, and the ranks written to the shared folder, so lineage never
+    grows; the sum of dangling rank is observed while they are written. No vertices give no rows.
     """
-    n = vertices.count()
-    if not n:
-        return vertices.select("id", F.lit(0.0).alias("rank")).limit(0)
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     weighted = staged(edges.join(degree, "src"), "edges")
-    nodes = staged(vertices.select("id").join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("degree").isNull().alias("dangling")), "vertices")
-    ranks = nodes.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
+    nodes = vertices.select("id").join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("degree").isNull().alias("dangling"))
+    seen = Observation()
+    nodes = staged(nodes.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("dangling").alias("loose")), "vertices")
+    n = seen.get["n"]
+    if not n:
+        return vertices.select("id", F.lit(0.0).alias("rank")).limit(0)
+    ranks, loose, total = nodes.select("id", "dangling", F.lit(1.0 / n).alias("rank")), seen.get["loose"] / n, 1.0
     for _ in range(iterations):
-        loose = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         base = (1.0 - damping) / n + damping * loose / n
         given = weighted.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
-        ranks = staged(nodes.join(given, "id", "left").select("id", "dangling", (base + damping * F.coalesce("given", F.lit(0.0))).alias("rank")), "ranks")
-    total = ranks.agg(F.sum("rank")).first()[0]
+        fresh = nodes.join(given, "id", "left").select("id", "dangling", (base + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
+        # both sums are taken while the ranks are written: a round is one job
+        seen = Observation()
+        ranks = staged(fresh.observe(seen, F.sum("rank").alias("total"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("loose")), "ranks")
+        total, loose = seen.get["total"], seen.get["loose"]
     return ranks.select("id", (F.col("rank") / total).alias("rank"))
 
 

@@ -73,6 +73,16 @@ def clear_staged(spark: SparkSession) -> int:
     return done
 
 
+def ship(spark: SparkSession) -> str:
+    """Send this package to the executors of a cluster whose workers don't have it, once per session. Returns the archive's path."""
+    import shutil
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="siteloom-"), "siteloom"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -253,12 +253,25 @@ def stamp_of(name: str) -> str:
     return re.sub(r"T(\d\d)-(\d\d)-(\d\d)-(\d{3})Z", r"T\1:\2:\3.\4Z", name)
 
 
+def claimed(spark: SparkSession, path: str, site: str, stamp: str) -> bool:
+    """Whether this call, and no other, took the stamp for a site: a file that can only be created once marks it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_claims/{file_stamp(site)}/{file_stamp(stamp)}")
+    return bool(mark.getFileSystem(conf).createNewFile(mark))
+
+
 def persist_crawl(rows: DataFrame, path: str, crawled_at: str) -> dict[str, str | None]:
-    """Append a crawl's pages to the history, partitioned by site and time. Returns its stamp and the previous one, per call for one site."""
+    """Append a crawl's pages to the history, partitioned by site and time. Returns its stamp and the previous one, per call for one site.
+
+    A stamp is claimed before anything is written, so of two writers with one stamp the second takes the next millisecond.
+    """
     spark = rows.sparkSession
     site = rows.select(host_key(F.col("start_url")).alias("h")).first()["h"]
-    earlier = [r["crawled_at"] for r in list_crawls(spark, path, site).collect()]
-    stamp = free_stamp(crawled_at, set(earlier))
+    earlier = {r["crawled_at"] for r in list_crawls(spark, path, site).collect()}
+    stamp = free_stamp(crawled_at, earlier)
+    while not claimed(spark, path, site, stamp):
+        earlier.add(stamp)
+        stamp = free_stamp(crawled_at, earlier)
     rows.select(F.lit(site).alias("host"), F.lit(stamp).alias("crawled_at"), "start_url", "page_url", "status", "codes", "totals").write.mode("append").partitionBy("host", "crawled_at").parquet(path)
     return {"host": site, "crawled_at": stamp, "previous": max((e for e in earlier if e < stamp), default=None)}
 

@@ -138,28 +138,32 @@ def _site_texts(pages: DataFrame) -> DataFrame:
     return base.select("page_id", "site", hashed.alias("forms"))
 
 
+def _frequent(texts: DataFrame, least_rows: int, share_of: int) -> DataFrame:
+    once = texts.select("site", F.explode(F.array_distinct(F.filter("forms", lambda f: f.isNotNull()))).alias("f"))
+    counts = once.groupBy("site", "f.h1", "f.h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows)
+    rows = texts.groupBy("site").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.join(rows, "site").where(F.col("n") * share_of >= F.col("rows")).select("h1", "h2", "n")
+
+
 def frequent_lines(pages: DataFrame, least_rows: int = LEAST_ROWS, share_of: int = LEAST_SHARE_OF) -> DataFrame:
     """``h1, h2, n`` of the line forms that a site repeats on many of its pages.
 
     A form counts once per row: its hashes are made distinct inside the row, so counting needs
     one shuffle, after map-side pre-aggregation that shrinks a hot site's lines to their forms.
     """
-    texts = _site_texts(pages)
-    once = texts.select("site", F.explode(F.array_distinct(F.filter("forms", lambda f: f.isNotNull()))).alias("f"))
-    counts = once.groupBy("site", "f.h1", "f.h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows)
-    rows = texts.groupBy("site").agg(F.count(F.lit(1)).alias("rows"))
-    return counts.join(rows, "site").where(F.col("n") * share_of >= F.col("rows")).select("h1", "h2", "n")
+    return _frequent(staged(_site_texts(pages), "line-forms"), least_rows, share_of)
 
 
 def repeated_site_lines(pages: DataFrame, least_rows: int = LEAST_ROWS, share_of: int = LEAST_SHARE_OF) -> DataFrame:
     """``page_id, line_no`` of every line whose form its site repeats.
 
     Sites and forms travel as 96-bit hashes. Rows without a host in ``final_url`` belong to no
-    site; null and empty bodies have no lines; further columns are ignored. The frequent forms
-    are joined by equality, so a hot site's lines spread over their forms' hashes.
+    site; null and empty bodies have no lines; further columns are ignored. Forms are computed and written
+    once, for the count and for the join, which is by equality, so a hot site's lines spread over their forms' hashes.
     """
-    lines = _site_texts(pages).select("page_id", F.posexplode("forms").alias("line_no", "f")).where("f is not null").select("page_id", "line_no", "f.h1", "f.h2")
-    found = lines.join(frequent_lines(pages, least_rows, share_of).select("h1", "h2"), ["h1", "h2"], "left_semi")
+    texts = staged(_site_texts(pages), "line-forms")
+    lines = texts.select("page_id", F.posexplode("forms").alias("line_no", "f")).where("f is not null").select("page_id", "line_no", "f.h1", "f.h2")
+    found = lines.join(_frequent(texts, least_rows, share_of).select("h1", "h2"), ["h1", "h2"], "left_semi")
     return found.select("page_id", F.col("line_no").cast("int").alias("line_no"))
 
 

@@ -11,7 +11,7 @@ from siteloom.llm.pages import boilerplate_lines, main_content, repeated_site_li
 from siteloom.llm.mixing import mixed, reached_shares
 from siteloom.llm.packing import container_fill, packed
 from siteloom.llm.spans import shared_chars, shared_passages, shared_spans
-from siteloom.llm.tokens import token_counts
+from siteloom.llm.tokens import RANKS, token_counts
 from siteloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +48,16 @@ def p4_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_content(table(spark, sf_dir, "pages"))
 
 
+#: The setting that names the tokenizer's rank file on the executors.
+TOKENIZER_KEY = "siteloom.tokenizer.ranks"
+
+
+def counted(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), keep, spark.conf.get(TOKENIZER_KEY, RANKS))
+
+
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "containers"))
+    return packed(counted(spark, sf_dir), table(spark, sf_dir, "containers"))
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +65,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(token_counts(table(spark, sf_dir, "documents"), ("source",)), table(spark, sf_dir, "mix_targets"))
+    return mixed(counted(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

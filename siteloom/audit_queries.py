@@ -18,7 +18,7 @@ from siteloom.functions.text import STOP_WORDS, comparable, duplicate_key, half_
 from siteloom.functions.url import bucket_key, expected_locale, host_key, is_asset, match_url, matches_paths, normalize_url, primary_lang, toggled_slash, url_host, url_path
 from siteloom.operators import agents, components, diff, enrichment, features, keywords, linkgraph, logs, neardup, rules, sampling, sitewide
 from siteloom.plans.audit import audit
-from siteloom.session import shared_dir, table
+from siteloom.session import shared_dir, staged, table
 from siteloom.sources.crawls import recent_crawls, sitemap_table
 from siteloom.streaming import logs as streams
 
@@ -464,11 +464,18 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), edges
 
 
-_GRAPH = """WITH e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS dst FROM lineitem) WHERE src <> dst),
-g AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY src), n AS (SELECT count(*) AS n FROM supplier), r0 AS (SELECT s_suppkey AS id, 1.0::DOUBLE / n AS r FROM supplier, n)"""
-for _i in range(20):
-    _GRAPH += f""", r{_i + 1} AS MATERIALIZED (SELECT v.id, 0.15::DOUBLE / n.n + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM r{_i} WHERE id NOT IN (SELECT src FROM g)) / n.n + 0.85::DOUBLE * coalesce(x.s, 0) AS r
-FROM r{_i} v CROSS JOIN n LEFT JOIN (SELECT e.dst, sum(p.r / g.d) AS s FROM e JOIN g USING (src) JOIN r{_i} p ON p.id = e.src GROUP BY e.dst) x ON x.dst = v.id)"""
+def _rank_sql(edges: str, vertices: str, before: str = "WITH ") -> str:
+    """Twenty rounds of rank over ``edges`` (src, dst) and ``vertices`` (id), as r0 to r20."""
+    sql = f"""{before}e AS MATERIALIZED ({edges}), v AS MATERIALIZED ({vertices}), g AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY src), n AS (SELECT count(*) AS n FROM v), r0 AS (SELECT id, 1.0::DOUBLE / n AS r FROM v, n)"""
+    for i in range(20):
+        sql += f""", r{i + 1} AS MATERIALIZED (SELECT v.id, 0.15::DOUBLE / n.n + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM r{i} WHERE id NOT IN (SELECT src FROM g)) / n.n + 0.85::DOUBLE * coalesce(x.s, 0) AS r
+FROM r{i} v CROSS JOIN n LEFT JOIN (SELECT e.dst, sum(p.r / g.d) AS s FROM e JOIN g USING (src) JOIN r{i} p ON p.id = e.src GROUP BY e.dst) x ON x.dst = v.id)"""
+    return sql
+
+
+_GRAPH = _rank_sql("SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS dst FROM lineitem) WHERE src <> dst", "SELECT s_suppkey AS id FROM supplier")
+_PAGE_EDGES = "SELECT p.page_id AS src, t.dst FROM (SELECT page_id, unnest(discovered_links) AS target FROM p) p JOIN (SELECT final_url, max(page_id) AS dst FROM p GROUP BY final_url) t ON t.final_url = p.target WHERE p.page_id <> t.dst"
+_PAGE_RANKS = _rank_sql(_PAGE_EDGES, "SELECT page_id AS id FROM p", _LINKED + ", ")
 
 
 @query("pagerank", _GRAPH + " SELECT id, round(r / (SELECT sum(r) FROM r20), 9) AS rank FROM r20")
@@ -476,9 +483,17 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.pagerank(*supply_graph(spark, sf_dir)).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("underlinked_pages")
+@query("page_ranks", _PAGE_RANKS + " SELECT id AS page_id, round(r / (SELECT sum(r) FROM r20), 9) AS rank FROM r20")
+def page_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank of every page; some link nowhere, so their rank is spread."""
+    return linkgraph.page_ranks(linked_pages(spark, sf_dir)).select("page_id", F.round("page_rank", 9).alias("rank"))
+
+
+@query("underlinked_pages", _PAGE_RANKS + """, w AS (SELECT p.page_id, p.final_url, coalesce(p.word_count, 0) AS wc, p.word_count, round(r20.r / (SELECT sum(r) FROM r20), 12) AS rank FROM p JOIN r20 ON r20.id = p.page_id)
+SELECT page_id, final_url, word_count FROM w WHERE word_count > (SELECT median(wc) FROM w) AND rank <= (SELECT median(rank) FROM w) ORDER BY word_count DESC, page_id LIMIT 10""")
 def underlinked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkgraph.link_graph(linked_pages(spark, sf_dir))["underlinked"]
+    ranked = linkgraph.page_ranks(linked_pages(spark, sf_dir)).withColumn("page_rank", F.round("page_rank", 12))
+    return linkgraph.underlinked_pages(staged(ranked, "page-ranks")).select("page_id", "final_url", "word_count")
 
 
 @query("link_edges", _LINKED + "SELECT p.page_id AS src, t.dst FROM (SELECT page_id, unnest(discovered_links) AS target FROM p) p JOIN (SELECT final_url, max(page_id) AS dst FROM p GROUP BY final_url) t ON t.final_url = p.target WHERE p.page_id <> t.dst")
@@ -554,6 +569,19 @@ def schema_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.schema_coverage(pages_of(spark, sf_dir), SITE + "/")
 
 
+_AGENT_ROBOTS = "User-agent: GPTBot\nDisallow: /\nUser-agent: CCBot\nAllow: /\nContent-Signal: search=yes, ai-train=disallow"
+
+
+@query("agent_readiness", f"""WITH c AS (SELECT count(*) AS likes, count_if(list_has_any(schema_types, ['Article', 'BlogPosting', 'NewsArticle'])) AS typed FROM pages WHERE regexp_matches({_path('final_url')}, '(?i)/(blog|posts?|news|articles?)(/|$)')),
+s AS (SELECT 85 AS discoverability, 85 AS content, 40 AS bot_access, 10 + CASE WHEN likes > 0 THEN CAST(floor(typed * 25.0 / likes + 0.5) AS INTEGER) ELSE 25 END AS capabilities FROM c)
+SELECT unnest(['discoverability', 'content', 'bot_access', 'capabilities', 'total']) AS area, unnest([discoverability, content, bot_access, capabilities, CAST(floor((discoverability + content + bot_access + capabilities) / 4.0 + 0.5) AS INTEGER)]) AS score FROM s""")
+def agent_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a site with two named agents, two signals, a full llms.txt, an API catalog and Web bot authentication."""
+    cover = agents.schema_coverage(pages_of(spark, sf_dir), SITE + "/none").first().asDict() | {"home_has_organization": False}
+    got = agents.readiness(_AGENT_ROBOTS, "# T\n## S\n[a](b)\n" + "x" * 200, cover, {"api-catalog": True, "web-bot-auth": True, "markdown": False}, llms_full=True)
+    return spark.createDataFrame([(k, int(got[k])) for k in ("discoverability", "content", "bot_access", "capabilities", "total")], "area string, score int")
+
+
 # ------------------------------------------------------------------ logs
 
 
@@ -633,9 +661,13 @@ def log_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMBINED = "^(\\S+) \\S+ \\S+ \\[([^\\]]+)\\] \"(\\S+) (.*?) HTTP/[0-9.]+\" (\\d+) \\S+ \"[^\"]*\" \"([^\"]*)\"$"
 
 
-@query("parsed_combined", f"SELECT regexp_extract(raw, '{_COMBINED}', 1) AS ip, regexp_extract(raw, '{_COMBINED}', 3) AS method, regexp_extract(raw, '{_COMBINED}', 4) AS url, CAST(regexp_extract(raw, '{_COMBINED}', 5) AS INTEGER) AS status, regexp_extract(raw, '{_COMBINED}', 6) AS user_agent FROM log_lines WHERE regexp_matches(raw, '{_COMBINED}')")
+_AT = f"strptime(left(regexp_extract(raw, '{_COMBINED}', 2), 20), '%d/%b/%Y:%H:%M:%S')"
+_OFF = f"right(regexp_extract(raw, '{_COMBINED}', 2), 5)"
+
+
+@query("parsed_combined", f"SELECT regexp_extract(raw, '{_COMBINED}', 1) AS ip, strftime({_AT}, '%Y-%m-%dT%H:%M:%S') || left({_OFF}, 3) || ':' || right({_OFF}, 2) AS timestamp, regexp_extract(raw, '{_COMBINED}', 3) AS method, regexp_extract(raw, '{_COMBINED}', 4) AS url, CAST(regexp_extract(raw, '{_COMBINED}', 5) AS INTEGER) AS status, regexp_extract(raw, '{_COMBINED}', 6) AS user_agent FROM log_lines WHERE regexp_matches(raw, '{_COMBINED}')")
 def parsed_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.parse_lines(table(spark, sf_dir, "log_lines"), "combined", "raw").drop("timestamp")
+    return logs.parse_lines(table(spark, sf_dir, "log_lines"), "combined", "raw")
 
 
 def _json_sql(layout: str) -> str:

@@ -155,6 +155,13 @@ def analyze_logs(lines: DataFrame, site: str, layout: str = "auto", crawl: DataF
     return report
 
 
+def all_issues(report: SiteReport) -> DataFrame:
+    """``code, severity`` of every issue of a report, the site's own included."""
+    own = report.parts.get("site_issues")
+    issues = report.issues.select("code", "severity")
+    return issues if own is None else issues.unionByName(own.select("code", "severity"))
+
+
 def diff_crawls(old: SiteReport, new: SiteReport) -> dict[str, Any]:
     """All differences of two audits, and the change of issue totals."""
-    return {**diff.diff_reports(old.pages, new.pages), "severity_delta": diff.severity_delta(sitewide.severity_totals(old.issues), sitewide.severity_totals(new.issues))}
+    return {**diff.diff_reports(old.pages, new.pages), "severity_delta": diff.severity_delta(sitewide.severity_totals(all_issues(old)), sitewide.severity_totals(all_issues(new)))}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siteloom.llm.blocks import BAD, GOOD, brand_of, content_lines, form_key
 from siteloom.llm.quality import KINDS, LEAST_SPREAD, NOISE, STATS, STEPS, page_stats
-from siteloom.llm.residue import body_kind, short_field
+from siteloom.llm.residue import COVERAGE, body_kind, short_field
 from siteloom.session import staged
 
 # ---------------------------------------------------------------- lines a site repeats, as link density of its pages
@@ -195,10 +195,13 @@ def _quality(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for page, count, (title, body, lines, labels) in zip(batch.column("page_id").to_pylist(), batch.column("word_count").to_pylist(), _judged(batch, sets)):
-            lang, stats, n, m = page_stats(lines, labels)
-            has_text = any(x == GOOD for x in labels)
+            lang, stats, n, m, foreign = page_stats(lines, labels)
+            main = [len(x) for x, label in zip(lines, labels) if label == GOOD]
+            has_text = bool(main)
             pieces = len(body.split()) if body else 0
-            out.append((page, lang, *stats, n, m, has_text and body_kind(lines, labels, title) not in ("", "variable"), pieces, count is not None and count != pieces, has_text))
+            # most pages hold too much that no message has, and needn't be read for one
+            residue = has_text and foreign <= (1 - COVERAGE) * sum(main) and body_kind(lines, labels, title) not in ("", "variable")
+            out.append((page, lang, *stats, n, m, residue, pieces, count is not None and count != pieces, has_text))
         types = [pa.int64(), pa.string(), *[pa.float64()] * len(STATS), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.bool_(), pa.bool_()]
         names = ["page_id", "lang", *STATS, "n_words", "n_lines", "residue", "words", "wrong_count", "has_text"]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)

@@ -15,6 +15,7 @@ from functools import lru_cache
 from operator import mul
 
 from siteloom.llm.blocks import _BULLET, _COUNT, _WORD, ALL_STOP, CLOSERS, ENDINGS, GOOD, STOP_WORDS, is_row
+from siteloom.llm.residue import outside
 
 #: The statistics of the distance, in the order of its vectors.
 STATS = ("log_words", "word_length", "symbol_share", "punct_share", "common_share", "line_words", "cell_share", "digit_share")
@@ -38,13 +39,20 @@ _SYMBOL = re.compile(r"[^\w\s|;,]")
 _RUN, _DIGIT = re.compile(r"\w+"), re.compile(r"\d")
 
 
+#: Counts of a token, packed into one integer of fields of so many bits, so that a page's counts are added up in one pass.
+FIELD_BITS = 48
+_FIELD = (1 << FIELD_BITS) - 1
+
+
 @lru_cache(maxsize=200_000)
-def _token(token: str) -> tuple[int, ...]:
-    """Of a token in lower case: words, runs of letters and digits, their characters, symbols, digits, common words, and common words of each language."""
+def _token(token: str) -> int:
+    """Of a token in lower case, packed: words, runs of letters and digits, their characters, symbols, digits, characters that no message has
+    (``residue.outside``), common words, and common words of each language."""
     words, runs = _WORD.findall(token), _RUN.findall(token)
-    return (
-        len(words), len(runs), sum(map(len, runs)), len(_SYMBOL.findall(token)), len(_DIGIT.findall(token)), sum(w in ALL_STOP for w in words), *(sum(w in stop for w in words) for stop in STOP_WORDS.values()),
+    counts = (
+        len(words), len(runs), sum(map(len, runs)), len(_SYMBOL.findall(token)), len(_DIGIT.findall(token)), outside(token), sum(w in ALL_STOP for w in words), *(sum(w in stop for w in words) for stop in STOP_WORDS.values()),
     )
+    return sum(n << FIELD_BITS * i for i, n in enumerate(counts))
 
 
 def is_sentence(line: str) -> bool:
@@ -52,8 +60,9 @@ def is_sentence(line: str) -> bool:
     return line.rstrip(CLOSERS).endswith(ENDINGS[:-1])
 
 
-def page_stats(lines: list[str], labels: list[int]) -> tuple[str, list[float], int, int]:
-    """Language, statistics in the order of ``STATS``, and the numbers of words and lines they rest on (1 at least).
+def page_stats(lines: list[str], labels: list[int]) -> tuple[str, list[float], int, int, int]:
+    """Language, statistics in the order of ``STATS``, the numbers of words and lines they rest on (1 at least), and the characters
+    that no filler, message or notice has.
 
     An own headline and one leading sentence are set aside; bullets and counts at a line's end aren't read as
     symbols. The language is the one whose common words are most frequent, '' if they are rare. A page
@@ -66,8 +75,8 @@ def page_stats(lines: list[str], labels: list[int]) -> tuple[str, list[float], i
         main = main[1:]
     text = "\n".join([_COUNT.sub("", _BULLET.sub("", x)) if not x[0].isalpha() or x[-1] == ")" else x for x in main])
     tokens = Counter(text.lower().split())
-    many = list(tokens.values())
-    words, runs, run_chars, symbols, digits, common, *by_lang = [sum(map(mul, column, many)) for column in zip(*map(_token, tokens))] or [0] * (6 + len(STOP_WORDS))
+    packed = sum(map(mul, map(_token, tokens), tokens.values()))
+    words, runs, run_chars, symbols, digits, foreign, common, *by_lang = [packed >> FIELD_BITS * i & _FIELD for i in range(7 + len(STOP_WORDS))]
     size, n, m = max(1, len(text)), max(1, runs), max(1, len(main))
     stats = [
         math.log2(1 + words),
@@ -81,4 +90,4 @@ def page_stats(lines: list[str], labels: list[int]) -> tuple[str, list[float], i
     ]
     most = max(by_lang)
     lang = list(STOP_WORDS)[by_lang.index(most)] if most and most >= max(2, 0.08 * words) else ""
-    return lang, stats, n, m
+    return lang, stats, n, m, foreign

@@ -91,7 +91,9 @@ ENDINGS, CLOSERS = (".", "!", "?", "…", ":"), "\"'”»)]"
 def form_of(line: str, brand: str) -> str:
     """What two lines of a site must share to be one line: lower case, no bullet, no count behind, digit runs
     and the site's own name as one sign each."""
-    low = " ".join(line.lower().split())
+    low = line.strip().lower()
+    if "  " in low or "\t" in low or "\xa0" in low or "\u3000" in low:
+        low = " ".join(low.split())
     if low and not low[0].isalpha() or low[1:2] in (".", ")"):
         low = _BULLET.sub("", low)
     if low.endswith(")"):
@@ -184,10 +186,15 @@ def is_dated(low: str) -> bool:
 def first_pass(line: str, repeated: bool) -> int:
     """The label a trimmed line gets by itself; ``repeated`` says whether its site repeats it."""
     low = line.lower()
+    ends = line.rstrip(CLOSERS).endswith(ENDINGS)
+    if ends and len(line) >= LONG and not repeated and "cookie" not in low:
+        # most text is long prose, for which words need no parsing
+        tokens = low.split()
+        if len(tokens) > 14 and sum(map(ALL_STOP.__contains__, tokens)) >= PROSE_DENSITY * len(tokens):
+            return GOOD
     words = _WORD.findall(low)
     n = len(words)
     prose = n >= 9 and sum(map(ALL_STOP.__contains__, words)) >= PROSE_DENSITY * n
-    ends = line.rstrip(CLOSERS).endswith(ENDINGS)
     if not (prose and ends and n > 14):  # a long sentence has none of these forms
         if is_row(line) or is_code(line):
             return ROW

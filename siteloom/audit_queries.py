@@ -684,20 +684,37 @@ for _layout in logs.LAYOUTS:
     _json_query(_layout)
 
 
-@query("stream_event_hours", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS bot, count(*) AS hits FROM events GROUP BY 1, 2")
-def stream_event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of hits: hourly windows under a watermark that covers the table's disorder, until the input ends."""
-    static = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_dir(f"{sf_dir}/events.parquet") else spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet")
-    hits = stream.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("bot"))
-    name = f"event_hours_{datetime.datetime.now().timestamp():.6f}".replace(".", "_")
-    out = f"{shared_dir(spark)}/{name}"
+def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream that ends with it."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema)
+    return reader.parquet(f"{sf_dir}/{name}.parquet") if _is_dir(f"{sf_dir}/{name}.parquet") else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _stream_hours(spark: SparkSession, hits: DataFrame, name: str) -> DataFrame:
+    """Hourly windows of a stream of hits under a watermark that covers the table's disorder, until the input ends."""
+    out = f"{shared_dir(spark)}/{name}_{datetime.datetime.now().timestamp():.6f}".replace(".", "_")
     windows = streams.windowed_hits(hits, "1 hour", "3650 days")
     done = windows.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "bot", "hits")
 
 
+@query("stream_event_hours", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS bot, count(*) AS hits FROM events GROUP BY 1, 2")
+def stream_event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_hours(spark, _streamed(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("bot")), "event_hours")
+
+
+_UTC = f"({_AT} - to_minutes(CAST(left({_OFF}, 1) || '1' AS INTEGER) * (60 * CAST({_OFF}[2:3] AS INTEGER) + CAST(right({_OFF}, 2) AS INTEGER))))"
+
+
+@query("stream_bot_hours", f"""WITH l AS (SELECT time_bucket(INTERVAL 1 HOUR, {_UTC}) AS start, CASE {' '.join(f"WHEN regexp_matches(regexp_extract(raw, '{_COMBINED}', 6), '(?i){p}') THEN '{n}'" for n, p in BOTS)} END AS bot FROM log_lines WHERE regexp_matches(raw, '{_COMBINED}') AND regexp_extract(raw, '{_COMBINED}', 4) <> '')
+SELECT start, bot, count(*) AS hits FROM l WHERE bot IS NOT NULL GROUP BY 1, 2""")
+def stream_bot_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw log lines as a stream: parsed, attributed to bots, counted by the hour."""
+    lines = _streamed(spark, sf_dir, "log_lines").select(F.col("raw").alias("value"))
+    return _stream_hours(spark, streams.stream_bot_hits(lines, "combined", SITE, BOTS), "bot_hours")
+
+
 def _is_dir(path: str) -> bool:
     import os
 

@@ -105,3 +105,10 @@ def test_missing_zones_are_estimated_and_used(spark):
 def test_histories():
     names = offset_histories()
     assert names[0] == "UTC" and len(names) == len(set(names)) > 50
+
+
+def test_estimates_of_nothing(spark):
+    dim = spark.createDataFrame([(1, None, None)], "source_id int, tz string, date_order string")
+    assert normalise_with_estimates(hits(spark, []), dim).count() == 0
+    one = hits(spark, [(1, 1, "2026-01-01 00:00:00", None, None, None), (2, 1, None, dt.datetime(2026, 1, 1, tzinfo=UTC), None, None)])
+    assert [r.utc_micros for r in normalise_with_estimates(one, dim.limit(0)).collect()] == [micros("2026-01-01")]

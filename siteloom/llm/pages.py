@@ -66,13 +66,14 @@ def site_lines(pages: DataFrame, least_rows: int = LEAST_ROWS, share_of: int = L
 def with_site_lines(pages: DataFrame, *columns: str) -> DataFrame:
     """The named columns, the host, a hash of it, and the keys of the lines its site repeats (null if none).
 
-    Pages are joined by site without a hint: the table of sites is broadcast only below the optimizer's own
-    threshold, and otherwise the pages are shuffled, where adaptive execution splits a hot site. Pages
+    The table of sites grows with their number, so it is never broadcast; the pages are shuffled by site, where adaptive
+    execution splits a hot one. Pages
     without a site get a hash of their own, so that they don't meet in one task.
     """
     host = site_of(F.col("final_url"))
     each = pages.select(*columns, host.alias("host"), F.coalesce(F.when(host.isNotNull(), F.xxhash64(host)), F.xxhash64("page_id", "final_url")).alias("site"))
-    return each.join(site_lines(pages), "site", "left")
+    # the lists of a partition's sites are few, so they are hashed and the texts aren't sorted
+    return each.join(site_lines(pages).hint("shuffle_hash"), "site", "left")
 
 
 def _judged(batch: pa.RecordBatch, sets: dict[int, frozenset[int]]) -> Iterator[tuple[str | None, str | None, list[str], list[int]]]:

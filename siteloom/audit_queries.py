@@ -305,6 +305,12 @@ def extracted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("crawl_order", size("heads").alias("heads"), size("links").alias("links"), (size("first") == 0).alias("missing"))
 
 
+@query("extraction_totals", "SELECT 'heads' AS field, true AS required, count_if(len(h1s) > 0) AS pages_matched, count_if(coalesce(len(h1s), 0) = 0) AS pages_missing FROM pages UNION ALL SELECT 'links', false, count_if(len(discovered_links) > 0), count_if(coalesce(len(discovered_links), 0) = 0) FROM pages UNION ALL SELECT 'none', false, 0, count(*) FROM pages")
+def extraction_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = {"heads": {"selector": "h1", "all": True, "required": True}, "links": {"selector": "a@href", "all": True}, "none": ".nowhere"}
+    return features.extraction_summary(features.page_features(captures(spark, sf_dir), specs), specs)
+
+
 # ------------------------------------------------------------------ site-wide
 
 _DUP = """SELECT min_by({c}, page_id) AS value, count(*) AS "count" FROM pages WHERE {c} IS NOT NULL AND {c} <> '' GROUP BY lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))) HAVING count(*) > 1"""
@@ -489,6 +495,12 @@ def page_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.page_ranks(linked_pages(spark, sf_dir)).select("page_id", F.round("page_rank", 9).alias("rank"))
 
 
+@query("top_pages", _PAGE_RANKS + " SELECT p.page_id, p.final_url FROM p JOIN r20 ON r20.id = p.page_id ORDER BY round(r20.r / (SELECT sum(r) FROM r20), 12) DESC, p.page_id LIMIT 10")
+def top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = linkgraph.page_ranks(linked_pages(spark, sf_dir)).withColumn("page_rank", F.round("page_rank", 12))
+    return linkgraph.top_pages(ranked).select("page_id", "final_url")
+
+
 @query("underlinked_pages", _PAGE_RANKS + """, w AS (SELECT p.page_id, p.final_url, coalesce(p.word_count, 0) AS wc, p.word_count, round(r20.r / (SELECT sum(r) FROM r20), 12) AS rank FROM p JOIN r20 ON r20.id = p.page_id)
 SELECT page_id, final_url, word_count FROM w WHERE word_count > (SELECT median(wc) FROM w) AND rank <= (SELECT median(rank) FROM w) ORDER BY word_count DESC, page_id LIMIT 10""")
 def underlinked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -558,7 +570,13 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.top_terms(pages_of(spark, sf_dir)).select("term", "occurrences")
 
 
-@query("sitemap_sample")
+@query("sitemap_sample", f"""WITH s AS (SELECT url, list_filter(string_split(lower({_path('url')}), '/'), x -> x <> '') AS g FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)),
+u AS (SELECT url, CASE WHEN len(g) = 0 THEN '/' WHEN regexp_matches(g[1], '^[a-z]{{2}}(-[a-z]{{2}})?$') THEN left(g[1], 2) || '/' || coalesce(g[2], '(root)') ELSE g[1] END AS bucket FROM s),
+b AS (SELECT bucket, count(*) AS n FROM u GROUP BY bucket), t AS (SELECT count(*) AS k, sum(n) AS total, least(100, sum(n)) - count(*) AS rest, sum(n) - count(*) AS spare FROM b),
+w AS (SELECT bucket, n, least(n - 1, (rest * (n - 1)) // spare) AS whole, (rest * (n - 1)) % spare AS rem, rest FROM b, t),
+q AS (SELECT bucket, n, CASE WHEN (SELECT k FROM t) > 100 THEN CAST(row_number() OVER (ORDER BY n DESC, bucket) <= 100 AS INTEGER) ELSE 1 + whole + CASE WHEN n > 1 AND row_number() OVER (ORDER BY n > 1 DESC, rem DESC, n DESC, bucket) <= rest - (SELECT sum(whole) FROM w) THEN 1 ELSE 0 END END AS quota FROM w),
+i AS (SELECT url, bucket, row_number() OVER (PARTITION BY bucket ORDER BY url) - 1 AS i FROM u), p AS (SELECT bucket, n, quota, unnest(range(CAST(quota AS BIGINT))) AS s FROM q)
+SELECT i.url, i.bucket FROM p JOIN i ON i.bucket = p.bucket AND i.i = CAST(floor((s + 0.5) * n / quota) AS BIGINT)""")
 def sitemap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sampled_urls(pages_of(spark, sf_dir).select("url"), 100)
 
@@ -582,6 +600,42 @@ def agent_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, int(got[k])) for k in ("discoverability", "content", "bot_access", "capabilities", "total")], "area string, score int")
 
 
+_ARTICLE = f"regexp_matches({_path('final_url')}, '(?i)/(blog|posts?|news|articles?)(/|$)')"
+_TYPED = "coalesce(list_has_any(schema_types, ['Article', 'BlogPosting', 'NewsArticle']), false)"
+_READY = f"""WITH s AS (SELECT lower({_u('final_url', 2)}) AS site, min(page_id) AS k, count_if({_ARTICLE}) AS likes, count_if({_ARTICLE} AND {_TYPED}) AS typed FROM pages WHERE final_url IS NOT NULL GROUP BY 1),
+f AS (SELECT *, k % 3 > 0 AS robots, k % 3 = 2 AS named, k % 5 > 0 AS llms, k % 5 IN (1, 3, 4) AS h1, k % 5 IN (2, 3, 4) AS sections, k % 5 IN (2, 4) AS links, k % 5 = 4 AS large, k % 2 = 0 AS home, k % 4 = 0 AS org, CASE WHEN likes > 0 THEN CAST(floor(typed * 25.0 / likes + 0.5) AS INTEGER) ELSE 25 END AS typed_score FROM s),
+r AS (SELECT site, likes, typed, named, llms, h1, sections, links, large, home, org, 50 * robots::INT + 35 * (k % 2 = 1)::INT + 15 * (k % 7 = 0)::INT AS discoverability, llms::INT * (30 + 10 * (h1::INT + sections::INT + links::INT + large::INT)) + 15 * (k % 7 = 1)::INT AS content,
+  CASE WHEN named THEN 30 ELSE 0 END + 10 * (k % 11 = 0)::INT AS bot_access, 20 * (k % 2 = 0)::INT + 25 * org::INT + typed_score AS capabilities FROM f)
+"""
+
+
+def ready_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites with files and coverage that follow from their least ``page_id``."""
+    k = lambda n: F.col("k") % n
+    path = url_path(F.col("final_url"))
+    article = path.rlike(agents.ARTICLE_PATH)
+    typed = F.coalesce(F.arrays_overlap("schema_types", F.array(*map(F.lit, agents.ARTICLE_TYPES))), F.lit(False))
+    sites = pages_of(spark, sf_dir).where("final_url is not null").groupBy(url_host(F.col("final_url")).alias("site")).agg(F.min("page_id").alias("k"), F.count_if(article).alias("article_like"), F.count_if(article & typed).alias("article_with_schema"))
+    heading, section, link = F.when(k(5).isin(1, 3, 4), "# T\n").otherwise(""), F.when(k(5).isin(2, 3, 4), " ## S\n").otherwise(""), F.when(k(5).isin(2, 4), '[a](b "c")').otherwise("")
+    half = "".join(f"User-agent: {a}\nDisallow: /x\n" for a in agents.AI_AGENTS[:6]) + "Content-Signals: search=allow, ai-train=no, ai-input=TRUE\n"
+    return sites.select(
+        "site", F.when(k(3) == 1, "User-agent: *\nDisallow:").when(k(3) == 2, half).alias("robots_text"), F.when(k(5) > 0, F.concat(heading, section, link, F.when(k(5) == 4, "x" * 200).otherwise("text"))).alias("llms_text"),
+        F.create_map(F.lit("api-catalog"), k(2) == 0, F.lit("mcp/server-card.json"), k(2) == 0, F.lit("web-bot-auth"), k(11) == 0).alias("probes"), (k(2) == 1).alias("sitemap"), (k(7) == 0).alias("link_header"), (k(7) == 1).alias("llms_full"),
+        "article_like", "article_with_schema", (k(2) == 0).alias("home_crawled"), (k(4) == 0).alias("home_has_organization"),
+    )
+
+
+@query("site_readiness", _READY + " SELECT site, discoverability, content, least(100, bot_access + CASE WHEN named THEN 30 ELSE 0 END) AS bot_access, capabilities, CAST(floor((discoverability + content + least(100, bot_access + CASE WHEN named THEN 30 ELSE 0 END) + capabilities) / 4.0 + 0.5) AS INTEGER) AS total FROM r")
+def site_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agents.site_readiness(ready_sites(spark, sf_dir)).drop("codes")
+
+
+@query("site_agent_issues", _READY + """ SELECT site, unnest(list_filter([CASE WHEN NOT named THEN 'AGENT_NO_EXPLICIT_AI_POLICY' END, CASE WHEN llms AND NOT h1 THEN 'AGENT_LLMSTXT_NO_H1' END, CASE WHEN llms AND NOT sections THEN 'AGENT_LLMSTXT_NO_SECTIONS' END,
+CASE WHEN llms AND NOT links THEN 'AGENT_LLMSTXT_NO_LINKS' END, CASE WHEN llms AND NOT large THEN 'AGENT_LLMSTXT_TOO_SMALL' END, CASE WHEN likes > 0 AND typed = 0 THEN 'AGENT_ARTICLES_NO_SCHEMA' END, CASE WHEN home AND NOT org THEN 'AGENT_HOMEPAGE_NO_ORG' END], x -> x IS NOT NULL)) AS code FROM r""")
+def site_agent_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agents.site_readiness(ready_sites(spark, sf_dir)).select("site", F.explode("codes").alias("code"))
+
+
 # ------------------------------------------------------------------ logs
 
 
@@ -715,6 +769,18 @@ def stream_bot_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream_hours(spark, streams.stream_bot_hits(lines, "combined", SITE, BOTS), "bot_hours")
 
 
+@query("stream_sessions", """WITH e AS (SELECT ts, event_type AS bot, CAST(user_id AS VARCHAR) AS ip, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY bot, ip ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", bot, ip, count(*) AS hits FROM g GROUP BY bot, ip, g""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits on a stream: events of one type and user without a pause of half an hour."""
+    hits = _streamed(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("bot"), F.col("user_id").cast("string").alias("ip"))
+    out = f"{shared_dir(spark)}/sessions_{datetime.datetime.now().timestamp():.6f}".replace(".", "_")
+    done = streams.sessions(hits, "30 minutes", "3650 days").writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    plain = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return spark.read.parquet(out).select(plain("start"), plain("end"), "bot", "ip", "hits")
+
+
 def _is_dir(path: str) -> bool:
     import os
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,3 +101,26 @@ def readiness(robots_txt: str | None, llms_txt: str | None, coverage: Mapping[st
         ("AGENT_HOMEPAGE_NO_ORG", coverage["home_crawled"] and not coverage["home_has_organization"]),
     ]
     return {**scores, "total": whole(sum(scores.values()) / 4), "policies": policies, "signals": signals, "issues": [(c, "low") for c, on in rules if on]}
+
+
+def site_readiness(sites: DataFrame) -> DataFrame:
+    """``readiness`` for many sites: ``site``, the scores, ``total`` and ``codes``.
+
+    ``sites`` has ``site, robots_text, llms_text, probes`` (map from name to boolean), ``sitemap, link_header, llms_full`` (booleans) and the columns of
+    ``schema_coverage``. Null texts are files that a site lacks, other nulls count as no. One pass, nothing is shuffled.
+    """
+    names = ("discoverability", "content", "bot_access", "capabilities", "total")
+    columns = ("site", "robots_text", "llms_text", "probes", "sitemap", "link_header", "llms_full", "article_like", "article_with_schema", "home_crawled", "home_has_organization")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            got = []
+            for r in rows:
+                cover = {k: r[k] or 0 for k in columns[-4:]}
+                got.append(readiness(r["robots_text"], r["llms_text"], cover, dict(r["probes"] or {}), bool(r["sitemap"]), bool(r["link_header"]), bool(r["llms_full"])))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("site"), *[pa.array([int(g[n]) for g in got], pa.int32()) for n in names], pa.array([[c for c, _ in g["issues"]] for g in got], pa.list_(pa.string()))], names=["site", *names, "codes"]
+            )
+
+    return sites.select(*columns).mapInArrow(run, "site string, " + ", ".join(f"{n} int" for n in names) + ", codes array<string>")

@@ -18,6 +18,8 @@ from siteloom.session import staged
 
 #: A line is frequent on a site from this many rows, and from this share (1 in N) of its rows with text.
 LEAST_ROWS, LEAST_SHARE_OF = 5, 5
+#: Rows from which a form of at most so many characters counts as repeated all the same; a fetch repeated twice makes two rows.
+FEW_ROWS, SHORT_FORM = 3, 80
 #: Forms that a task counts before it hands them on, and sites whose forms a task keeps.
 COUNTED_FORMS, KEPT_SITES = 500_000, 2_000
 
@@ -47,7 +49,8 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def site_lines(pages: DataFrame, least_rows: int = LEAST_ROWS, share_of: int = LEAST_SHARE_OF) -> DataFrame:
-    """``site, repeated``: per site (hash of the host) the keys of the line forms that it repeats on many of its pages.
+    """``site, repeated``: per site (hash of the host) the keys of the line forms that it repeats on many of its pages:
+    in a fifth of its rows with text, and in five of them, or three where the form is short.
 
     Counts are added up inside tasks before they are shuffled by (site, form), so a hot site spreads over its
     forms. A site's array is bounded: with a form in at least 1 of N rows, it holds at most N times
@@ -59,7 +62,8 @@ def site_lines(pages: DataFrame, least_rows: int = LEAST_ROWS, share_of: int = L
     # the flag is aggregated, so that its filter stays above the shuffle, which both sides then share
     counts = once.groupBy("site", "form").agg(F.sum("n").alias("n"), F.max("is_total").alias("is_total"))
     totals = counts.where("is_total").select("site", F.col("n").alias("rows"))
-    frequent = counts.where(~F.col("is_total") & (F.col("n") >= least_rows)).join(totals, "site").where(F.col("n") * share_of >= F.col("rows"))
+    short = (F.shiftright("form", 32) <= SHORT_FORM) & (F.col("n") >= min(FEW_ROWS, least_rows))
+    frequent = counts.where(~F.col("is_total") & (short | (F.col("n") >= least_rows))).join(totals, "site").where(F.col("n") * share_of >= F.col("rows"))
     return frequent.groupBy("site").agg(F.collect_list("form").alias("repeated"))
 
 

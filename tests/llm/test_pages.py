@@ -154,6 +154,11 @@ def test_boilerplate_of_held_out_sites(spark):
     assert len({r["body"].split("\n")[i] for r, i in ((rows[p], i) for p, i in truth)}) > 200
     got = {(r.page_id, r.line_no) for r in boilerplate_lines(pages(spark, rows)).collect()}
     assert len(got & bad) >= 0.9 * len(bad) and len(got & bad) >= 0.9 * len(got)
+    # sites of three pages
+    rows3, truth3 = site_pages(3, seed=5)
+    bad3 = {k for k, v in truth3.items() if v}
+    got3 = {(r.page_id, r.line_no) for r in boilerplate_lines(pages(spark, rows3)).collect()}
+    assert len(got3 & bad3) >= 0.9 * len(bad3) and len(got3 & bad3) >= 0.9 * len(got3)
     # a page on its own, with neighbours alone
     alone = {(p, i) for p, r in enumerate(rows) for i, label in enumerate(content_lines(r["body"], r["title"])[1]) if label == 0}
     assert len(alone & bad) >= 0.35 * len(bad) and len(alone & bad) >= 0.9 * len(alone)

@@ -351,7 +351,7 @@ def subheads(labels: list[int]) -> None:
 
 def message(lines: list[str], labels: list[int], head: int | None) -> None:
     """Where a page has no content but its headline, the first sentences behind that are its content: the
-    message of an error page. Without a headline, the first that aren't the page's very first line."""
+    message of an error page. Without a headline, the first that aren't the page's very first line, or else that line."""
     if any(label == GOOD and i != head for i, label in enumerate(labels)):
         return
     at = head + 1 if head is not None else next((i for i, x in enumerate(labels) if x in (BAD, META)), -1) + 1
@@ -359,6 +359,8 @@ def message(lines: list[str], labels: list[int], head: int | None) -> None:
         if head is not None and labels[at] == BAD and not lines[at].rstrip(CLOSERS).endswith(ENDINGS):
             return
         at += 1
+    if at >= len(labels) and head is None:
+        at = next((i for i, x in enumerate(labels) if x != -1), at)
     while at < len(labels) and labels[at] in (NEAR, SHORT):
         labels[at] = GOOD
         at += 1

@@ -29,7 +29,7 @@ PARTS: dict[str, str] = {
     "cause": """
 not found|not be found|can't find|cannot find|couldn't find|could not find|can not be found|cannot be found|can't be found|nothing was found|nothing here|nothing to see|doesn't exist|does not exist|didn't exist|no longer exist*|no longer available|no longer here|isn't here|is not here|any more|anymore|is gone|was gone|has gone|gone|went missing|wandered off|has moved|have moved|was moved|been moved|been removed|been deleted|was deleted|was removed|moved or|renamed|new address|may have been
 unavailable|not available|isn't available|temporarily|out of service|out of order|down for|is down|are down|offline|under maintenance|maintenance|being updated|back soon|be back|be right back|under construction
-went wrong|gone wrong|goes wrong|oops|whoops|uh oh|unexpected|error|errors|http #|fatal|exception|stack trace|traceback|crashed|failed|failure|fails|could not|couldn't|cannot|can't|unable|is not working|not working|unhandled|undefined method|undefined function|syntax|parse|internal error|bad gateway|gateway timeout|bad request|timed out|time out|timeout|too long to respond|no response|no valid answer|did not answer|didn't answer|not respond*|isn't responding|overloaded|too busy|too many|limit exceeded|rate limit*|slow down
+went wrong|gone wrong|goes wrong|oops|whoops|uh oh|unexpected|error|errors|http #|fatal|exception|stack trace|traceback|crashed|failed|failure|fails|could not|couldn't|cannot|can't|unable|is not working|not working|unhandled|undefined method|undefined function|syntax|parse|internal error|bad gateway|gateway timeout|bad request|timed out|time out|timeout|too long to respond|no response|no answer|no valid|invalid response|invalid answer|empty response|did not answer|didn't answer|not respond*|isn't responding|overloaded|too busy|too many|limit exceeded|rate limit*|slow down
 forbidden|denied|refused|not allowed|not permitted|no permission|have permission|permission|permissions|not authori*|unauthori*|is blocked|was blocked|been blocked|request blocked|banned|expired|has ended|logged out|invalid|conflict
 no encontrad*|no se encuentra|no se encontró|no encontramos|no podemos encontrar|no pudimos encontrar|no hemos podido|no pudo|no puede|no se pudo|no se puede|no existe|ya no existe|ya no está|ha cambiado|se ha movido|ha sido movida|ha sido eliminad*|fue eliminad*|no disponible|no está disponible|fuera de servicio|temporalmente|en mantenimiento|mantenimiento|mantenimiento programado|en construcción|volveremos|vuelta pronto|ha ocurrido|se ha producido|se produjo|ocurrió|algo salió mal|algo ha salido mal|salió mal|inesperado|error interno|errores|fallo|falló|ha fallado|acceso denegado|denegad*|prohibid*|no autorizad*|no tiene permiso*|no tienes permiso*|permisos|caducad*|ha caducado|expirad*|demasiadas|demasiado|bloquead*
 nicht gefunden|nicht finden|existiert nicht|existiert nicht mehr|gibt es nicht|nicht mehr|nicht vorhanden|verschoben|gelöscht|entfernt|umgezogen|nicht verfügbar|nicht erreichbar|vorübergehend|außer betrieb|wartung*|in wartung|warten gerade|im aufbau|gleich zurück|bald zurück|bald wieder|schiefgelaufen|schief gelaufen|schief gegangen|fehler|unerwartet*|aufgetreten|ist aufgetreten|fehlgeschlagen|gescheitert|konnte nicht|konnten nicht|kann nicht|können nicht|verweigert|verboten|gesperrt|keine berechtigung|nicht berechtigt|nicht erlaubt|unzulässig*|abgelaufen|zu viele|überlastet|hoppla|ups
@@ -38,7 +38,7 @@ niet gevonden|niet vinden|bestaat niet|bestaat niet meer|niet meer|niet beschikb
 """,
     # the thing that failed
     "thing": """
-page|pages|site|website|web site|server|servers|upstream server|resource|document|file|url|address|link|item|article|content|request|service|gateway|host|database|connection|connections|session|application|app|system|account|portal|view|owner|internal server|area|section|access|something|things
+page|pages|site|website|web site|server|servers|upstream server|resource|document|file|url|address|link|item|article|content|request|service|gateway|host|database|connection|connections|session|application|app|system|account|portal|view|owner|internal server|area|section|answer|reply|access|something|things
 página|páginas|sitio|servidor|recurso|documento|archivo|dirección|enlace|artículo|contenido|solicitud|solicitudes|servicio|conexión|sesión|base de datos|aplicación|sistema|cuenta|acceso|algo
 seite|seiten|website|webseite|server|dokument|datei|adresse|artikel|inhalt|inhalte|anfrage|anfragen|dienst|verbindung|sitzung|datenbank|anwendung|system|konto|zugriff|zugang|interner|bereich|etwas|da ist was
 serveur|ressource|fichier|adresse|lien|contenu|requête|requêtes|service|connexion|session|base de données|application|système|compte|accès|quelque chose
@@ -46,7 +46,7 @@ pagina|adres|bestand|verzoek|dienst|sessie|toegang|risorsa|indirizzo|richiesta|s
 """,
     # what is asked of the reader, and what stands around
     "request": """
-please|try again|retry|come back|check back|visit us|later|later on|reload|refresh|go back|go ahead|return to|start page|home page|homepage|check the|check that|contact|administrator|admin|webmaster|support team|in # minutes|# minutes|# seconds|minutes|seconds|moment|shortly|soon|reference|incident|incident number|error code|code #|code: #|http|line #|sorry|apologi*|thank you for your patience|patience|looking for|looked for|requested|you wanted|you want|tried to|by its owner|log in|sign in|to view|this takes|about #
+please|try again|retry|come back|check back|visit us|later|later on|reload|refresh|go back|go ahead|return to|start page|home page|homepage|check the|check that|contact|administrator|admin|webmaster|support team|in # minutes|# minutes|# seconds|minutes|seconds|moment|shortly|soon|reference|incident|incident number|error code|code #|code: #|http|line #|sorry|apologi*|thank you for your patience|patience|looking for|looked for|requested|you wanted|you want|tried to|log in|sign in|to view|this takes|about #
 por favor|inténtelo|inténtalo|vuelva|vuelve|de nuevo|más tarde|intentarlo|recargue|recarga|contacte|administrador|lo sentimos|perdone|disculpe|solicitad*|busca|buscaba|código #|código: #|minutos|segundos|ver este|inicie sesión
 bitte|versuchen|erneut|noch einmal|später|laden sie|neu laden|zurück|kontaktieren|administrator|leider|entschuldigung|tut uns leid|angefordert*|gesucht*|suchen|gesuchte|kennung|code #|minuten|sekunden|moment|augenblick|zu sehen|anmelden
 veuillez|réessayer|réessayez|plus tard|rechargez|revenez|retournez|contactez|administrateur|désolé*|demandé*|recherchez|recherchée|cherchez|code #|minutes|secondes|instant|patienter|voir cette
@@ -67,15 +67,15 @@ vereist|nodig|inschakel*|ingeschakeld|zet|schakel|uitgeschakeld|werkt niet|werkt
 """,
     # what templates say about text that is still to be written
     "filler": """
-lorem ipsum|dolor sit amet|consectetur adipiscing|dummy|placeholder|sample text|filler text|sample content|sample page|sample|example page|example text|only an example|is an example|untitled|no title|new page|new post|new document|default title|default page|just another|demo site|demo page|hello world|test test|test page|test post|this is a test|testing #|asdf*|qwer*|asdf|qwerty|foo bar|foobar|xxx|xxxx|blah|blah blah|todo|to do:|tbd|tba|fixme|to be written|to be added|to follow|coming soon|copy goes|goes here|text here|title here|headline here|description here|name here|the real one arrives|real one|until the real
+lorem ipsum|dolor sit amet|consectetur adipiscing|dummy|placeholder|sample text|filler text|sample content|sample page|sample|example page|example text|only an example|is an example|untitled|no title|new page|new post|new document|default title|default page|just another|demo site|demo page|hello world|test test|test page|test post|this is a test|testing #|asdf*|qwer*|asdf|qwerty|foo bar|foobar|xxx|xxxx|blah|blah blah|todo|to do:|tbd|tba|fixme|to be written|to be added|to follow|coming soon|copy goes|goes here|text here|title here|headline here|description here|name here
 de ejemplo|texto de relleno|texto de prueba|de muestra|sin título|página nueva|hola mundo|próximamente|texto aquí|va el texto|título aquí|inserte|aquí va
 platzhalter*|beispieltext|beispielseite|blindtext|mustertext|musterseite|fülltext|ohne titel|neue seite|hallo welt|ihr text|text einfügen|titel einfügen|überschrift einfügen|hier steht|in kürze|kommt bald|folgt in kürze|einfügen
 texte d'exemple|texte provisoire|texte de remplissage|faux texte|à remplacer|provisoire|sans titre|nouvelle page|bonjour tout le monde|votre texte|texte ici|titre ici|à venir|bientôt disponible|exemple de page|page d'exemple
 voorbeeldtekst|voorbeeldpagina|zonder titel|uw tekst hier|tekst hier|testo segnaposto|senza titolo|il tuo testo|texto de exemplo|sem título|seu texto aqui
 """,
     # an order to write it, and what is to be written
-    "order": "enter|insert|add|write|edit|replace|click|describe|type|put|fill in|change|delete|publish|tell|pencil|escriba|inserte|añada|edite|sustituya|reemplace|haga clic|geben sie|schreiben sie|fügen sie|ersetzen|bearbeiten|klicken|saisissez|écrivez|insérez|ajoutez|modifiez|remplacez|cliquez|voer|schrijf|vul|inserisci|scrivi|insira|escreva",
-    "text": "your text|your own|your title|your headline|your description|your product|your company|your name|your content|text|title|headline|heading|subheading|description|caption|paragraph|copy|words|sentence|sentences|section|block|here|max|characters|visitors|product|short|page|content|about you|own words|su texto|texto|título|descripción|aquí|titel|text|überschrift|beschreibung|hier|später|texte|titre|ici|tekst|hier|testo|titolo|qui|aqui",
+    "order": "enter|insert|add|write|edit|replace|click|describe|type|put|fill in|change|delete|publish|escriba|inserte|añada|edite|sustituya|reemplace|haga clic|geben sie|schreiben sie|fügen sie|ersetzen|bearbeiten|klicken|saisissez|écrivez|insérez|ajoutez|modifiez|remplacez|cliquez|voer|schrijf|vul|inserisci|scrivi|insira|escreva",
+    "text": "your text|your own|your title|your headline|your description|your product|your company|your name|your content|text|title|headline|heading|subheading|description|caption|paragraph|copy|words|sentence|sentences|section|block|here|max|characters|product|short|page|content|own words|su texto|texto|título|descripción|aquí|titel|text|überschrift|beschreibung|hier|später|texte|titre|ici|tekst|hier|testo|titolo|qui|aqui",
 }
 #: The classes whose parts count for a kind, and the combinations that make it one. A class named alone suffices.
 KINDS: dict[str, tuple[frozenset[str], tuple[frozenset[str], ...]]] = {
@@ -86,7 +86,7 @@ KINDS: dict[str, tuple[frozenset[str], tuple[frozenset[str], ...]]] = {
 #: Parts of class "script" that are a whole notice.
 CHECKS = frozenset("one more step|checking your browser|just a moment|just a second|un momento|einen moment|un instant|security check|comprobación de seguridad|sicherheitsprüfung|sicherheitsüberprüfung|contrôle de sécurité|beveiligingscontrole|un attimo".split("|"))
 #: Parts of class "text" that point to the place to write at.
-PLACES = frozenset("here|your own|your text|your title|your product|your headline|own words|about you|aquí|hier|ici|su texto|your description|your company|qui|aqui|max|block|section".split("|"))
+PLACES = frozenset("here|your own|your text|your title|your product|your headline|own words|aquí|hier|ici|su texto|your description|your company|qui|aqui|max|block|section".split("|"))
 #: Words that count neither way, besides the stop words.
 NEUTRAL = ALL_STOP | frozenset("has have had can could will would may might do does did be been being me my us there here's it's you're we're i'm let's all any some just only yet about into out up off ya nos me está están hay sido ser este esta cette ces cet été être suis sommes ihren ihre ihr ihrem diese dieser dieses dieser wird wurde wurden worden uns mich mir het een de van op te voor wij u uw je jouw is zijn wordt il lo la gli una per del di o da do os as um uma por".split())
 

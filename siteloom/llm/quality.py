@@ -48,11 +48,20 @@ _FIELD = (1 << FIELD_BITS) - 1
 def _token(token: str) -> int:
     """Of a token in lower case, packed: words, runs of letters and digits, their characters, symbols, digits, characters that no message has
     (``residue.outside``), common words, and common words of each language."""
-    words, runs = _WORD.findall(token), _RUN.findall(token)
-    counts = (
-        len(words), len(runs), sum(map(len, runs)), len(_SYMBOL.findall(token)), len(_DIGIT.findall(token)), outside(token), sum(w in ALL_STOP for w in words), *(sum(w in stop for w in words) for stop in STOP_WORDS.values()),
-    )
-    return sum(n << FIELD_BITS * i for i, n in enumerate(counts))
+    b, size = FIELD_BITS, len(token)
+    if token.isdecimal():
+        return 1 << b | size << 2 * b | size << 4 * b
+    if token.isalpha():
+        words, packed = [token], 1 | 1 << b | size << 2 * b | outside(token) << 5 * b
+    else:
+        words, runs = _WORD.findall(token), _RUN.findall(token)
+        packed = len(words) | len(runs) << b | len("".join(runs)) << 2 * b | len(_SYMBOL.findall(token)) << 3 * b | len(_DIGIT.findall(token)) << 4 * b | outside(token) << 5 * b
+    for word in words:
+        if word in ALL_STOP:
+            packed += 1 << 6 * b
+            for i, stop in enumerate(STOP_WORDS.values(), 7):
+                packed += (word in stop) << i * b
+    return packed
 
 
 def is_sentence(line: str) -> bool:

@@ -200,23 +200,25 @@ def weight(token: str) -> int:
 
 
 @lru_cache(maxsize=1)
-def vocabulary() -> tuple[frozenset[str], tuple[str, ...]]:
-    """The words that stand in parts, and the stems."""
+def vocabulary() -> tuple[frozenset[str], tuple[str, ...], frozenset[str]]:
+    """The words that stand in parts, the stems, and the stems' first two letters."""
     words, stems = set(LATIN), set()
     for listed in (*PARTS.values(), "|".join(CHECKS | PLACES)):
         for part in listed.replace("\n", "|").split("|"):
             words |= set(_PIECE.findall(part))
             if part.strip().endswith("*"):
                 stems.add(_PIECE.findall(part)[-1])
-    return frozenset(words), tuple(stems)
+    return frozenset(words), tuple(stems), frozenset(s[:2] for s in stems)
 
 
 @lru_cache(maxsize=100_000)
 def outside(token: str) -> int:
     """The weight of a token in lower case that no part can match."""
-    words, stems = vocabulary()
-    token = _DIGITS.sub("#", token.replace("’", "'"))
-    return 0 if any(p in words or p.startswith(stems) for p in _PIECE.findall(token)) else weight(token)
+    own = weight(_DIGITS.sub("#", token.replace("’", "'")))
+    if not own:
+        return 0
+    words, stems, heads = vocabulary()
+    return 0 if any(p in words or (p[:2] in heads and p.startswith(stems)) for p in _PIECE.findall(token)) else own
 
 
 _PIECE, _DIGITS = re.compile(r"\w+"), re.compile(r"\d+")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from siteloom.llm import spans
@@ -108,6 +109,47 @@ def test_planted_fuzzy_passages(spark):
     assert len(found(docs(spark, rows))) < len(planted)
 
 
+def group_of_quotations(n, size=600, every=250):
+    """Records that each quote one core with edits of their own, behind texts of their own."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    core = text(size)
+    return [(i, text(rng.randrange(150)) + edited(rng, core, every) + text(150), None) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [1000, 5])
+def test_passages_of_every_two_records(spark, monkeypatch, block):
+    monkeypatch.setattr(spans, "BLOCK", block)
+    rows = group_of_quotations(14)
+    rows += [(100, rows[3][1], None), (-5, rows[3][1], None), (101, "z" + rows[0][1][:60] + "y" * 300, None)]
+    got = {}
+    for r in shared_passages(docs(spark, rows).repartition(3)).collect():
+        got[r.a, r.b] = max(got.get((r.a, r.b), 0), r.end_a - r.start_a)
+        for d, start, end in ((r.a, r.start_a, r.end_a), (r.b, r.start_b, r.end_b)):
+            assert 0 <= start <= end - SPAN and end <= len(dict((i, t) for i, t, _ in rows)[d])
+    ids = sorted([*range(14), 100, -5])
+    assert set(got) == {(a, b) for a in ids for b in ids if a < b} and min(got.values()) > 450
+    assert got[3, 100] == got[-5, 3] == len(rows[3][1])
+
+
+def test_passages_of_repeated_text(spark):
+    unit = group_of_quotations(1)[0][1]
+    rows = [(1, "a" * 3000 + unit[:90], None), (2, unit[100:190] + "a" * 2500, None), (3, "a" * 20 + "b" * 20 + "a" * 250, None)]
+    rows += [(4, unit[:70] * 40, None), (5, unit[500:550] + unit[20:70] + unit[:70] * 30 + unit[:30], None)]
+    got = {}
+    for r in shared_passages(docs(spark, rows)).collect():
+        got[r.a, r.b] = max(got.get((r.a, r.b), 0), r.agreeing)
+    assert got[1, 2] == 2500 and got[1, 3] == got[2, 3] == 250 and got[4, 5] == 2180 and len(got) == 4
+
+
+def test_runs_of_a_seed():
+    hashes = spans.Hashes(np.frombuffer(("ab" * 50 + "xyz" * 40).encode("utf-32-le"), np.uint32))
+    first, last, step = spans.tandem_runs(hashes, np.zeros(10, int), np.array([0, 2, 4, 6, 50, 100, 103, 106, 7, 9]), np.array([1, 1, 1, 1, 1, 2, 2, 2, 3, 3], np.uint64))
+    assert sorted(zip(first.tolist(), last.tolist(), step.tolist())) == [(0, 3, 2), (4, 4, 0), (5, 7, 3), (8, 8, 0), (9, 9, 0)]
+    assert spans.run_matches(5, 5, 0, 9, 9, 0) == {(5, 9)} and spans.run_matches(0, 90, 30, 7, 7, 0) == {(0, 7), (30, 7), (60, 7), (90, 7)}
+    assert spans.run_matches(0, 90, 30, 0, 30, 30) == {(0, 0), (30, 30), (30, 0), (60, 30), (60, 0), (90, 30)}
+
+
 def test_members_of_large_groups(spark):
     rng = random.Random(6)
     text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
